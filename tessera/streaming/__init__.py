@@ -1,0 +1 @@
+"""Empty on purpose: the engine being matched has no streaming operator."""
