@@ -80,8 +80,8 @@ def churn_propensity(days_inactive: Column, base_rate: float = fixed.RETAIL_BASE
 
 
 def safe_ratio(part: Column, whole: Column, digits: int, empty: float | None = None) -> Column:
-    """part / whole where whole is positive, else the given value."""
-    return F.when(whole > 0, F.round(part / whole, digits)).otherwise(F.lit(empty).cast("double"))
+    """part / whole where whole is positive, else the given value. Decimal money is divided exactly."""
+    return F.when(whole > 0, F.round(part / whole, digits).cast("double")).otherwise(F.lit(empty).cast("double"))
 
 
 def banded(value: Column, cuts: Sequence[float] = fixed.INCOME_CUTS, names: Sequence[str] = fixed.INCOME_BANDS) -> Column:
@@ -117,7 +117,8 @@ def loan_repayment(principal: Column, rate_percent: Column, months: Column) -> C
     # the rate is nulled where it is zero so that no branch divides by zero
     charged = F.nullif(monthly, F.lit(0.0))
     annuity = principal * charged / (F.lit(1.0) - F.pow(F.lit(1.0) + charged, -months))
-    return F.round(F.coalesce(annuity, principal / months), 2)
+    equal_parts = F.round(money(principal) / months, 2).cast("double")
+    return F.coalesce(F.round(annuity, 2), equal_parts)
 
 
 def price_from_margin(cost: Column, margin: Column) -> Column:

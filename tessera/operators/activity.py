@@ -49,7 +49,7 @@ def rfm_features(orders: DataFrame, key: str, at: str, amount: str, snapshot: st
 def with_recency(rfm: DataFrame, snapshot: str) -> DataFrame:
     base = F.lit(snapshot).cast("date")
     return rfm.withColumn("days_since_last_purchase", F.datediff(base, "last_purchase_date")).withColumn(
-        "average_order_value", F.round(F.col("lifetime_spend").cast("double") / F.col("total_orders"), 2)
+        "average_order_value", F.round(F.col("lifetime_spend") / F.col("total_orders"), 2).cast("double")
     )
 
 
@@ -57,7 +57,7 @@ def trend_columns() -> dict[str, Column]:
     """Ratios of the windows of rfm_features; NULL or 0 where the base is empty."""
     spend30, spend90 = F.col("spend_last_30d").cast("double"), F.col("spend_last_90d").cast("double")
     return {
-        "avg_order_value_last_90d": safe_ratio(spend90, F.col("orders_last_90d"), 2, 0.0),
+        "avg_order_value_last_90d": safe_ratio(F.col("spend_last_90d"), F.col("orders_last_90d"), 2, 0.0),
         "spend_trend_30_vs_90": safe_ratio(spend30, spend90 / 3, 3),
         "order_freq_trend_90_vs_365": safe_ratio(F.col("orders_last_90d"), F.col("orders_last_365d") / 4, 3),
     }

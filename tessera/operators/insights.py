@@ -120,7 +120,7 @@ def export_results(
             c["recommended_actions"].alias("recommended_actions"),
         ),
     )
-    return totals.select(
+    return totals.withColumn("i", ranked).select(
         F.struct(
             "total_customers",
             F.size("all").alias("num_clusters"),
@@ -128,7 +128,7 @@ def export_results(
             _texts(tuple(features)).alias("features"),
         ).alias("summary"),
         shown.alias("clusters"),
-        F.transform(ranked, lambda x: F.struct(x["feature"].alias("feature"), x["importance"].alias("importance"))).alias(
+        F.transform("i", lambda x: F.struct(x["feature"].alias("feature"), x["importance"].alias("importance"))).alias(
             "feature_importance"
         ),
     )

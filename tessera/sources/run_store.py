@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,16 +35,15 @@ class RunStore:
         self.spark = spark
         self.runs_path = f"{path.rstrip('/')}/runs"
         self.labels_path = f"{path.rstrip('/')}/labels"
-        self.schema = T._parse_datatype_string(SCHEMA)
+        self.schema = T.StructType.fromDDL(SCHEMA)
 
     def _stored(self) -> DataFrame:
-        stored = self.schema.jsonValue()
-        schema = T.StructType.fromJson(stored)
-        schema = T.StructType([*schema.fields[:-1], T.StructField(_DELETED, T.BooleanType()), schema.fields[-1]])
+        fields = self.schema.fields
+        schema = T.StructType([*fields[:-1], T.StructField(_DELETED, T.BooleanType()), fields[-1]])
         try:
             return self.spark.read.schema(schema).parquet(self.runs_path).where(~F.col(_DELETED)).drop(_DELETED)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], self.schema)
 
@@ -85,12 +85,14 @@ class RunStore:
 
     def delete(self, run_id: str) -> None:
         """Replaces the run's partition by an empty marker; other runs are not touched."""
-        blank = self.get(run_id).select(
+        if self.get(run_id).isEmpty():
+            return
+        blank = self.spark.range(1).select(
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name != "id"],
-            "id",
+            F.lit(run_id).alias("id"),
             F.lit(True).alias(_DELETED),
         )
-        self._write(blank.limit(1), "overwrite")
+        self._write(blank, "overwrite")
 
     def save_labels(self, run_id: str, labels: DataFrame, row_id: str) -> None:
         """Cluster of every row of a run."""
