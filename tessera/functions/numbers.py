@@ -14,41 +14,66 @@ SPACES = (
 )
 
 
+_NUMBER_STARTS = tuple("0123456789+-.I")
+
+
 def trimmed(col: Column) -> Column:
     """Text without leading and trailing Unicode space."""
-    return F.btrim(col, F.lit(SPACES))
+    first, last = F.left(col, F.lit(1)), F.right(col, F.lit(1))
+    # a text between two printable ASCII characters, as most are, stays as it is
+    clean = first.between("!", "~") & last.between("!", "~")
+    return F.when(clean, col).otherwise(F.btrim(col, F.lit(SPACES)))
 
 
 def lenient_number(col: Column) -> Column:
     """The number a text starts with ('5-LOW' -> 5.0), NULL if there is none."""
-    found = F.regexp_extract(trimmed(col), PREFIX_NUMBER, 0)
-    return F.nullif(found, F.lit("")).try_cast("double")
+    return leading_number(trimmed(col))
+
+
+def leading_number(text: Column) -> Column:
+    """lenient_number of a text that is already trimmed."""
+    found = F.nullif(F.regexp_extract(text, PREFIX_NUMBER, 0), F.lit("")).try_cast("double")
+    # most texts are decided by their first character, without the pattern
+    return F.when(F.left(text, F.lit(1)).isin(*_NUMBER_STARTS), found)
 
 
-def strict_number(col: Column) -> Column:
-    """The number a text is as a whole, NULL otherwise."""
-    number = trimmed(col).try_cast("double")
+def whole_number(text: Column) -> Column:
+    """The number a trimmed text is as a whole, NULL otherwise."""
+    number = text.try_cast("double")
     return F.when(~F.isnan(number), number)
 
 
-def cell_number(col: Column, dtype: T.DataType, mode: str = "lenient") -> Column:
-    """The numeric reading of a cell of any type; NULL where it is not a number."""
-    if mode not in ("lenient", "strict"):
-        raise ValueError(f"unknown mode {mode!r}")
-    if isinstance(dtype, T.NumericType):
-        number = col.cast("double")
-        return F.when(~F.isnan(number), number) if isinstance(dtype, (T.DoubleType, T.FloatType)) else number
-    text = cell_text(col, dtype)
-    return lenient_number(text) if mode == "lenient" else strict_number(text)
+def is_calendar(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def cell_text(col: Column, dtype: T.DataType) -> Column:
     """Trimmed text of a cell; NULL for a missing or empty one."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        col = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        col = F.to_json(col)
-    return F.nullif(trimmed(col.cast("string")), F.lit(""))
+        return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        return F.to_json(col)
+    if not isinstance(dtype, T.StringType):
+        return col.cast("string")
+    return F.nullif(trimmed(col), F.lit(""))
+
+
+def cell_number(col: Column, dtype: T.DataType, mode: str = "lenient", text: Column | None = None) -> Column:
+    """The numeric reading of a cell of any type; NULL where it is not a number.
+
+    `text` is the cell's cell_text if that is at hand.
+    """
+    if mode not in ("lenient", "strict"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(col), col.cast("double"))
+    if isinstance(dtype, T.NumericType):
+        return col.cast("double")
+    if mode == "lenient" and is_calendar(dtype):
+        # the number an ISO date starts with
+        return F.year(col).cast("double")
+    text = cell_text(col, dtype) if text is None else text
+    return leading_number(text) if mode == "lenient" else whole_number(text)
 
 
 def number_text(col: Column) -> Column:

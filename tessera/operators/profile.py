@@ -9,21 +9,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import fixed_values as fixed
-from tessera.functions.numbers import cell_number, cell_text, number_text
+from tessera.functions.numbers import cell_number, cell_text, is_calendar, number_text
+
+
+def _numbers(df: DataFrame, columns: Sequence[str], mode: str, *extra: str) -> DataFrame:
+    """Every column as a number _n0, _n1, ... and, where it may hold text, as text _t0, _t1, ..."""
+    texts, numbers = [], []
+    for position, name in enumerate(columns):
+        dtype, col = df.schema[name].dataType, F.col(f"`{name}`")
+        only_numbers = isinstance(dtype, T.NumericType) or (mode == "lenient" and is_calendar(dtype))
+        if only_numbers:
+            texts.append(col.alias(f"_c{position}"))
+            number = cell_number(F.col(f"_c{position}"), dtype, mode)
+        else:
+            texts.append(cell_text(col, dtype).alias(f"_t{position}"))
+            number = cell_number(col, dtype, mode, F.col(f"_t{position}"))
+            numbers.append(F.col(f"_t{position}"))
+        # adding zero turns -0.0 into 0.0
+        numbers.append((number + F.lit(0.0)).alias(f"_n{position}"))
+    # texts first, so that every text is trimmed once
+    return df.select(*extra, *texts).select(*extra, *numbers)
 
 
 def _cells(df: DataFrame, columns: Sequence[str], mode: str, *extra: str) -> DataFrame:
     """One row per cell: column position, number, text (NULL for a number)."""
-    reads, cells = [], []
-    for position, name in enumerate(columns):
-        dtype = df.schema[name].dataType
-        reads.append((cell_number(F.col(f"`{name}`"), dtype, mode) + F.lit(0.0)).alias(f"_n{position}"))
+    read = _numbers(df, columns, mode, *extra)
+    cells = []
+    for position in range(len(columns)):
         number, text = F.col(f"_n{position}"), F.lit(None).cast("string")
-        if not isinstance(dtype, T.NumericType):
-            reads.append(cell_text(F.col(f"`{name}`"), dtype).alias(f"_t{position}"))
+        if f"_t{position}" in read.columns:
             text = F.when(number.isNull(), F.col(f"_t{position}"))
         cells.append(F.struct(F.lit(position).alias("position"), number.alias("number"), text.alias("text")))
-    return df.select(*extra, *reads).select(*extra, F.inline(F.array(*cells)))
+    return read.select(*extra, F.inline(F.array(*cells)))
 
 
 def _values(df: DataFrame, columns: Sequence[str], mode: str) -> DataFrame:
@@ -48,17 +65,16 @@ def column_counts(df: DataFrame, columns: Sequence[str], mode: str = "lenient")
 
 def column_statistics(df: DataFrame, columns: Sequence[str], mode: str = "lenient") -> DataFrame:
     """min, max, mean and population deviation of the numeric cells, one pass, no shuffle of rows."""
-    numbers = {name: cell_number(F.col(f"`{name}`"), df.schema[name].dataType, mode) for name in columns}
-    one_row = df.agg(
+    one_row = _numbers(df, columns, mode).agg(
         *[
             F.struct(
                 F.lit(position).alias("position"),
-                F.min(number).alias("min"),
-                F.max(number).alias("max"),
-                F.avg(number).alias("mean"),
-                F.stddev_pop(number).alias("std_dev"),
+                F.min(f"_n{position}").alias("min"),
+                F.max(f"_n{position}").alias("max"),
+                F.avg(f"_n{position}").alias("mean"),
+                F.stddev_pop(f"_n{position}").alias("std_dev"),
             ).alias(f"s{position}")
-            for position, number in enumerate(numbers.values())
+            for position in range(len(columns))
         ]
     )
     return one_row.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))

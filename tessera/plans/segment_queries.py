@@ -95,16 +95,20 @@ def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
     return reduction.fit_components(scaled, names).share_frame(scaled).withColumn("share", rounded("share", 6))
 
 
-@query(f"""WITH scaled AS (SELECT {', '.join(LINE_ID)}, {SCALED_LINES} FROM lineitem),
-s AS (SELECT sign(corr(l_quantity, l_extendedprice)) AS s FROM lineitem)
-SELECT {', '.join(LINE_ID)}, {r('abs(z_l_quantity + s * z_l_extendedprice) / sqrt(2e0)', 4)} AS pc1,
-       {r('abs(z_l_quantity - s * z_l_extendedprice) / sqrt(2e0)', 4)} AS pc2 FROM scaled, s""")
+PAIR = ["order_count", "spend"]
+SCALED_PAIR = ", ".join(f"({f} - (SELECT avg({f}) FROM measures)) / (SELECT stddev_pop({f}) FROM measures) AS z_{f}" for f in PAIR)
+
+
+@query(f"""WITH {CUSTOMER_MEASURES}, scaled AS (SELECT c_custkey, {SCALED_PAIR} FROM measures),
+s AS (SELECT sign(corr(order_count, spend)) AS s FROM measures)
+SELECT c_custkey, {r('abs(z_order_count + s * z_spend) / sqrt(2e0)', 4)} AS pc1,
+       {r('abs(z_order_count - s * z_spend) / sqrt(2e0)', 4)} AS pc2 FROM scaled, s""")
 def pca_project(spark: SparkSession, sf: str) -> DataFrame:
-    names = LINE_FEATURES[:2]
-    matrix = feats.feature_matrix(table(spark, sf, "lineitem"), names, LINE_ID)
-    scaled = feats.fit_scaler(matrix, names).transform(matrix, LINE_ID)
-    scores = reduction.fit_components(scaled, names).transform(scaled, LINE_ID)
-    return scores.select(*LINE_ID, rounded(F.abs("pc1"), 4).alias("pc1"), rounded(F.abs("pc2"), 4).alias("pc2"))
+    """Scores of customers on two related measures; their sign is arbitrary."""
+    matrix = feats.feature_matrix(customer_measures(spark, sf), PAIR, ["c_custkey"])
+    scaled = feats.fit_scaler(matrix, PAIR).transform(matrix, ["c_custkey"])
+    scores = reduction.fit_components(scaled, PAIR).transform(scaled, ["c_custkey"])
+    return scores.select("c_custkey", rounded(F.abs("pc1"), 4).alias("pc1"), rounded(F.abs("pc2"), 4).alias("pc2"))
 
 
 @query()

@@ -2,43 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.numbers import number_text, trimmed
 
-_BROKEN = "_broken_row"
-
-
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Text columns, trimmed; rows with a cell too few or too many are left out.
 
     Numbers are read from the text later, cell by cell. Quoted commas stay, a
-    doubled quote becomes one. The row check needs every cell, which a column
-    pruned scan would skip, so all columns are read and kept in memory or on
-    disk for the lifetime of the frame.
+    doubled quote becomes one. Pruning is off for the parser because it would
+    skip the count of cells, and with it the check of the rows.
     """
     columns = columns or read_header(spark, path)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(columns))])
     raw = (
-        spark.read.schema(schema.add(_BROKEN, T.StringType()))
+        spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BROKEN)
+        .option("mode", "DROPMALFORMED")
+        .option("columnPruning", False)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "")
         .csv(path)
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    whole = raw.where(F.col(_BROKEN).isNull())
-    return whole.select(*[F.coalesce(trimmed(F.col(f"_c{i}")), F.lit("")).alias(name) for i, name in enumerate(columns)])
+    return raw.select(*[F.coalesce(trimmed(F.col(f"_c{i}")), F.lit("")).alias(name) for i, name in enumerate(columns)])
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
