@@ -9,7 +9,7 @@ from tessera.session import shared_folder
 
 
 def global_rank(df: DataFrame, *order: Column) -> DataFrame:
-    """Adds rank (1 for the first row) in a total order given by the expressions.
+    """Adds rank (1 for the first row) and total (rows) in a total order given by the expressions.
 
     The rows are range-sorted; each task numbers its own rows, and the counts
     of the tasks before it are added. The sorted rows are written once, so that
@@ -25,8 +25,15 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     )
     # one row per task of the sort
     counts = rows.groupBy("_task").agg(F.count("*").alias("_rows"), F.min("_id").alias("_start"))
-    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_task", "_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    tasks = Window.orderBy("_task")
+    earlier = tasks.rowsBetween(Window.unboundedPreceding, -1)
+    everything = tasks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select(
+        "_task",
+        "_start",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(everything).alias("total"),
+    )
     return (
         rows.join(starts, "_task")
         .withColumn("rank", F.col("_before") + F.col("_id") - F.col("_start") + 1)
@@ -50,5 +57,5 @@ def ntile_of(rank: Column, total: Column, groups: int) -> Column:
 def ntile(df: DataFrame, groups: int, *order: Column) -> DataFrame:
     """Adds tile (1 to groups) in a total order over the whole table."""
     ranked = global_rank(df, *order)
-    total = ranked.agg(F.count("*").alias("n")).scalar()
-    return ranked.withColumn("tile", ntile_of(F.col("rank"), total, groups)).drop("rank")
+    tile = ntile_of(F.col("rank"), F.col("total"), groups)
+    return ranked.withColumn("tile", tile).drop("rank", "total")
