@@ -165,6 +165,24 @@ def profile_summary(df: DataFrame, columns: Sequence[str] | None = None, mode: s
     return totals.withColumn("summary", text)
 
 
+def analysis(df: DataFrame, row_id: str | None = None, columns: Sequence[str] | None = None, mode: str = "lenient") -> DataFrame:
+    """The whole profile as one row: row_count, column_count, columns, summary."""
+    columns = list(columns or [c for c in df.columns if c != "_row_id"])
+    fields = ("name", "type", "null_count", "unique_count", "sample", "stats")
+    # one row per column is gathered, never rows of the data
+    gathered = profile(df, row_id, columns, mode).agg(
+        F.sort_array(F.collect_list(F.struct("position", F.struct(*fields).alias("column")))).alias("ranked")
+    )
+    rows = df.agg(F.count("*")).scalar()
+    numeric = F.size(F.filter("columns", lambda c: c["type"] == "numeric"))
+    return (
+        gathered.select(rows.alias("row_count"), F.transform("ranked", lambda r: r["column"]).alias("columns"))
+        .withColumn("column_count", F.size("columns"))
+        .withColumn("summary", F.format_string(fixed.SUMMARY_TEXT, "row_count", "column_count", numeric))
+        .select("row_count", "column_count", "summary", "columns")
+    )
+
+
 def has_min_rows(df: DataFrame, minimum: int = fixed.MIN_ROWS) -> DataFrame:
     """One row saying whether the input has enough rows; reads no more than needed."""
     return df.select(F.lit(1)).limit(minimum).agg((F.count("*") >= minimum).alias("has_min_rows"))

@@ -116,21 +116,27 @@ def rolling_sum(df: DataFrame, key: str, at: str, amount: Column, days: int) ->
     return totals.select(key, "day", F.sum("_sum").over(window).alias("rolling_sum"))
 
 
-def session_starts(df: DataFrame, key: str, at: str, gap_minutes: int = fixed.SESSION_GAP_MINUTES) -> DataFrame:
-    """key, started: one row per session; a pause longer than the gap ends one.
+def sessions(df: DataFrame, key: str, at: str, gap_minutes: int = fixed.SESSION_GAP_MINUTES) -> DataFrame:
+    """key, session (1, 2, ...), started, ended, events; a pause longer than the gap ends a session.
 
     Within a slot as long as the gap no pause can exceed it, so the first and
     last moment of every slot decide.
     """
     gap = gap_minutes * 60 * 1_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
+    # whole-number division towards minus infinity, also before 1970
+    slot = ((F.col("_at") - F.pmod(F.col("_at"), F.lit(gap))) / gap).cast("long")
     slots = (
         df.select(key, micros.alias("_at"))
-        .groupBy(key, F.floor(F.col("_at") / gap).alias("_slot"))
-        .agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"))
+        .groupBy(key, slot.alias("_slot"))
+        .agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count("*").alias("_events"))
     )
-    previous = F.lag("_to").over(Window.partitionBy(key).orderBy("_slot"))
-    started = slots.withColumn("_previous", previous).where(
-        F.col("_previous").isNull() | (F.col("_from") - F.col("_previous") > gap)
+    by_slot = Window.partitionBy(key).orderBy("_slot")
+    previous = F.lag("_to").over(by_slot)
+    opens = (previous.isNull() | (F.col("_from") - previous > gap)).cast("int")
+    numbered = slots.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(by_slot))
+    return numbered.groupBy(key, "session").agg(
+        F.timestamp_micros(F.min("_from")).alias("started"),
+        F.timestamp_micros(F.max("_to")).alias("ended"),
+        F.sum("_events").alias("events"),
     )
-    return started.select(key, F.timestamp_micros("_from").alias("started"))

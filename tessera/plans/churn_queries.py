@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as fixed
 from tessera.functions import scalars
 from tessera.operators import activity, sequences
-from tessera.plans.churn_store import churn_features
+from tessera.plans.churn_store import activity_features, churn_features
 from tessera.plans.registry import EVENT_SNAPSHOT, RETAIL_SNAPSHOT, query, r, rounded
 from tessera.sources.tables import table
 
@@ -265,7 +265,7 @@ s AS (SELECT user_id, ts FROM e WHERE p IS NULL OR ts - p > INTERVAL 30 MINUTES)
 SELECT user_id, count(*) AS sessions, count(*) FILTER (WHERE ts >= DATE '{EVENT_SNAPSHOT}' - 7 AND ts < DATE '{EVENT_SNAPSHOT}') AS sessions_7d,
        count(*) FILTER (WHERE ts >= DATE '{EVENT_SNAPSHOT}' - 14 AND ts < DATE '{EVENT_SNAPSHOT}') AS sessions_14d FROM s GROUP BY user_id""")
 def session_counts(spark: SparkSession, sf: str) -> DataFrame:
-    starts = sequences.session_starts(table(spark, sf, "events"), "user_id", "ts")
+    starts = sequences.sessions(table(spark, sf, "events"), "user_id", "ts")
     inside = [
         F.count_if(activity.in_window(F.col("started"), EVENT_SNAPSHOT, -n)).alias(f"sessions_{n}d") for n in (7, 14)
     ]
@@ -379,3 +379,43 @@ def churn_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     names = ("customer", "orders", "lineitem", "part")
     features = churn_features(*[table(spark, sf, n) for n in names], RETAIL_SNAPSHOT, with_tier_change=True)
     return features.withColumn("model_snapshot_date", F.date_format("model_snapshot_date", "yyyy-MM-dd"))
+
+
+ACTIVITY_SNAPSHOT = "2024-01-24"
+A_SNAP = f"DATE '{ACTIVITY_SNAPSHOT}'"
+INSIDE = {n: f"ts >= {A_SNAP} - {n} AND ts < {A_SNAP}" for n in (7, 14)}
+
+
+@query(f"""WITH e AS (SELECT *, CAST(ts AS DATE) AS d, {CREDIT_SQL} AS credit, CAST(value AS DECIMAL(18,2)) AS v,
+  coalesce(CAST(json_extract(props, '$.k') AS INTEGER) >= 50, false) AS outside,
+  lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+numbered AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 30 MINUTES THEN 1 ELSE 0 END)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e),
+visits AS (SELECT user_id, session, min(ts) AS started, max(ts) AS ended FROM numbered GROUP BY user_id, session),
+per_visit AS (SELECT user_id AS vu, {', '.join(f"count(*) FILTER (WHERE {c.replace('ts ', 'started ')}) AS app_sessions_last_{n}d" for n, c in INSIDE.items())},
+  {r("avg(CASE WHEN started < " + A_SNAP + " THEN (epoch_us(ended) - epoch_us(started)) / 60e6 END)", 4)} AS avg_session_duration_mins FROM visits GROUP BY user_id),
+per_user AS (SELECT user_id,
+  CAST(date_diff('day', min(d), {A_SNAP}) AS INTEGER) AS tenure_days, CAST(date_diff('day', max(d), {A_SNAP}) AS INTEGER) AS days_since_last_activity,
+  CAST(date_diff('day', max(CASE WHEN event_type = 'purchase' THEN d END), {A_SNAP}) AS INTEGER) AS days_since_last_transaction,
+  {', '.join(f"count(*) FILTER (WHERE {c}) AS events_last_{n}d, count(DISTINCT CASE WHEN {c} THEN d END) AS days_active_last_{n}d, count(*) FILTER (WHERE {c} AND event_type = 'error') AS failed_last_{n}d" for n, c in INSIDE.items())},
+  {', '.join(f"CAST(sum(CASE WHEN {c} THEN CASE WHEN credit THEN v ELSE -v END ELSE 0 END) AS DOUBLE) AS balance_trend_{n}d" for n, c in INSIDE.items())},
+  CAST(sum(CASE WHEN credit THEN 0 ELSE v END) AS DOUBLE) AS debit, CAST(sum(CASE WHEN NOT credit AND outside THEN v ELSE 0 END) AS DOUBLE) AS ext,
+  CAST(max(CASE WHEN NOT credit AND outside AND value > 100 THEN 1 ELSE 0 END) AS INTEGER) AS large_external_transfer_flag,
+  CAST(count(*) FILTER (WHERE d >= {A_SNAP} AND d < {A_SNAP} + 1) = 0 AS INTEGER) AS churn_label FROM e GROUP BY user_id)
+SELECT user_id, '{ACTIVITY_SNAPSHOT}' AS model_snapshot_date, tenure_days, days_since_last_activity, days_since_last_transaction,
+  {', '.join(f"events_last_{n}d, days_active_last_{n}d, failed_last_{n}d, balance_trend_{n}d, app_sessions_last_{n}d" for n in INSIDE)},
+  avg_session_duration_mins, CASE WHEN debit > 0 THEN round(ext / debit, 4) END AS external_transfer_ratio, large_external_transfer_flag,
+  churn_label, {r("0.20 + 0.80 * 0.6 / (1 + exp(-0.02 * (days_since_last_activity - 60)))", 6)} AS churn_propensity,
+  CAST(14 AS INTEGER) AS observation_window_days, CAST(1 AS INTEGER) AS prediction_window_days
+FROM per_user JOIN per_visit ON vu = user_id""")
+def activity_feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    external = F.get_json_object("props", "$.k").cast("int") >= 50
+    features = activity_features(
+        table(spark, sf, "events"), ACTIVITY_SNAPSHOT, external, credit_types=CREDIT_KINDS, large=100, window_days=1
+    )
+    return features.select(
+        "*", F.date_format("model_snapshot_date", "yyyy-MM-dd").alias("_day"),
+        rounded("avg_session_duration_mins", 4).alias("_minutes"),
+    ).drop("model_snapshot_date", "avg_session_duration_mins").withColumnsRenamed(
+        {"_day": "model_snapshot_date", "_minutes": "avg_session_duration_mins"}
+    )

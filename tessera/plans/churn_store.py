@@ -1,12 +1,23 @@
-"""The churn feature store: one model-ready row per customer."""
+"""The churn feature store: one model-ready row per customer, or per user of an event log."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
-from tessera.functions.scalars import age_years, banded, churn_propensity, days_between, money, present_flag
+from tessera.functions.scalars import (
+    age_years,
+    banded,
+    churn_propensity,
+    days_between,
+    direction,
+    money,
+    present_flag,
+    safe_ratio,
+)
 from tessera.operators.activity import (
     in_window,
     line_rollup,
@@ -16,7 +27,7 @@ from tessera.operators.activity import (
     trend_columns,
     with_recency,
 )
-from tessera.operators.sequences import daily
+from tessera.operators.sequences import daily, sessions
 
 
 def order_features(orders: DataFrame, snapshot: str, window_days: int) -> DataFrame:
@@ -100,3 +111,80 @@ def churn_features(
         tiers = tiers.select("c_custkey", F.col("direction").alias("loyalty_tier_change_direction"))
         table = table.join(tiers, F.col("customer_id") == F.col("c_custkey")).drop("c_custkey")
     return table
+
+
+def activity_features(
+    events: DataFrame,
+    snapshot: str,
+    external: Column,
+    key: str = "user_id",
+    at: str = "ts",
+    kind: str = "event_type",
+    amount: str = "value",
+    credit_types: Sequence[str] = fixed.CREDIT_TYPES,
+    large: float = fixed.LARGE_OUTFLOW,
+    windows: Sequence[int] = (7, 14),
+    window_days: int = 7,
+    base_rate: float = fixed.FINTECH_BASE_RATE,
+) -> DataFrame:
+    """One row per user: recency, engagement, sessions, failures, flows, label.
+
+    Events are combined per user and day, and per user and half hour for the
+    sessions, before anything is gathered per user.
+    """
+    day = F.lit(snapshot).cast("date")
+    zero = F.lit(0)
+    debit = direction(F.col(kind), credit_types) == "Debit"
+    value = money(F.col(amount))
+    none = zero.cast("decimal(18,2)")
+    outside = F.coalesce(external, F.lit(False))
+    days = daily(
+        events, key, F.col(at),
+        F.count("*").alias("n"),
+        F.count_if(F.col(kind) == "error").alias("failed"),
+        F.count_if(F.col(kind) == "purchase").alias("bought"),
+        F.sum(F.when(debit, -value).otherwise(value)).alias("net"),
+        F.sum(F.when(debit, value).otherwise(none)).alias("debit"),
+        F.sum(F.when(debit & outside, value).otherwise(none)).alias("external"),
+        F.max((debit & outside & (F.col(amount) > large)).cast("int")).alias("large"),
+    )
+    columns: list[Column] = []
+    for n in windows:
+        inside = in_window(F.col("day"), snapshot, -n)
+        columns += [
+            F.sum(F.when(inside, F.col("n")).otherwise(zero)).alias(f"events_last_{n}d"),
+            F.count_if(inside).alias(f"days_active_last_{n}d"),
+            F.sum(F.when(inside, F.col("failed")).otherwise(zero)).alias(f"failed_last_{n}d"),
+            F.sum(F.when(inside, F.col("net")).otherwise(none)).cast("double").alias(f"balance_trend_{n}d"),
+        ]
+    per_user = days.groupBy(key).agg(
+        F.datediff(day, F.min("day")).alias("tenure_days"),
+        F.datediff(day, F.max("day")).alias("days_since_last_activity"),
+        F.datediff(day, F.max(F.when(F.col("bought") > 0, F.col("day")))).alias("days_since_last_transaction"),
+        *columns,
+        F.sum("debit").cast("double").alias("_debit"),
+        F.sum("external").cast("double").alias("_external"),
+        F.max("large").alias("large_external_transfer_flag"),
+        (F.count_if(in_window(F.col("day"), snapshot, 0, window_days)) == 0).cast("int").alias("churn_label"),
+    )
+    length = (F.unix_micros("ended") - F.unix_micros("started")) / F.lit(60e6)
+    visits = sessions(events, key, at).groupBy(F.col(key).alias("_visitor")).agg(
+        *[F.count_if(in_window(F.col("started"), snapshot, -n)).alias(f"app_sessions_last_{n}d") for n in windows],
+        F.avg(F.when(F.col("started") < day, length)).alias("avg_session_duration_mins"),
+    )
+    propensity = churn_propensity(F.col("days_since_last_activity").cast("double"), base_rate)
+    return per_user.join(visits, F.col(key) == F.col("_visitor")).select(
+        key,
+        day.alias("model_snapshot_date"),
+        "tenure_days",
+        "days_since_last_activity",
+        "days_since_last_transaction",
+        *[f"{c}{n}d" for n in windows for c in ("events_last_", "days_active_last_", "failed_last_", "balance_trend_", "app_sessions_last_")],
+        "avg_session_duration_mins",
+        safe_ratio(F.col("_external"), F.col("_debit"), 4).alias("external_transfer_ratio"),
+        "large_external_transfer_flag",
+        "churn_label",
+        F.round(propensity, 6).alias("churn_propensity"),
+        F.lit(max(windows)).alias("observation_window_days"),
+        F.lit(window_days).alias("prediction_window_days"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
@@ -87,3 +88,42 @@ def segment(
     return SegmentResult(labels, stats, importance, metrics, scaler, components, tuple(runs))
 
 
+
+
+def run_record(
+    result: SegmentResult,
+    described: DataFrame,
+    run_id: str,
+    file_name: str,
+    created_at: datetime,
+    analysis: DataFrame | None = None,
+) -> DataFrame:
+    """The one row a RunStore keeps of a run: settings, profile, clusters and scores.
+
+    Only rows per cluster and per feature are gathered. Labels of the rows are
+    saved apart, with RunStore.save_labels.
+    """
+    fields = ("id", "name", "size", "centroid", "characteristics", "business_description", "recommended_actions", "metrics")
+    clusters = described.agg(F.sort_array(F.collect_list(F.struct(*fields)))).scalar()
+    ranked = result.importance.agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("rank"), "position", "feature", "importance")))
+    ).scalar()
+    whole = analysis.select(F.struct("*")).scalar() if analysis is not None else F.lit(None)
+    gathered = result.metrics.withColumns({"_clusters": clusters, "_ranked": ranked, "_analysis": whole})
+    importance = F.transform("_ranked", lambda r: F.struct(r["feature"].alias("feature"), r["importance"].alias("importance")))
+    return gathered.select(
+        F.lit(run_id).alias("id"),
+        F.lit(file_name).alias("file_name"),
+        F.lit(created_at).alias("created_at"),
+        F.array(*[F.lit(f) for f in result.scaler.features]).alias("features"),
+        "num_clusters",
+        F.col("rows").alias("row_count"),
+        F.col("_analysis").alias("dataset_metadata"),
+        F.struct(
+            F.col("_clusters").alias("clusters"),
+            "inertia",
+            importance.alias("feature_importance"),
+            "pca_variance_explained",
+        ).alias("clustering_results"),
+        F.col("silhouette").alias("silhouette_score"),
+    )

@@ -49,9 +49,8 @@ class RunStore:
 
     def append(self, runs: DataFrame) -> None:
         """Adds runs whose id is not stored yet; of several with one id the earliest is kept."""
-        for field in self.schema.fields:
-            if field.name not in runs.columns:
-                runs = runs.withColumn(field.name, F.lit(None).cast(field.dataType))
+        missing = [f for f in self.schema.fields if f.name not in runs.columns]
+        runs = runs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
         runs = runs.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         rest = F.struct(*[f.name for f in self.schema.fields if f.name != "id"])
         first = runs.groupBy("id").agg(F.min_by(rest, F.struct("created_at", "file_name")).alias("r")).select("r.*", "id")

@@ -84,13 +84,17 @@ def test_rolling_sum(frame, visits):
 def test_sessions(frame, ordered):
     gap = ordered["at"] - ordered.groupby("key")["at"].shift()
     starts = ordered[gap.isna() | (gap > pd.Timedelta(minutes=30))]
-    got = sequences.session_starts(frame, "key", "at").collect()
+    got = sequences.sessions(frame, "key", "at").collect()
     assert sorted((r["key"], r["started"]) for r in got) == sorted((k, a.to_pydatetime()) for k, a in zip(starts["key"], starts["at"]))
+    assert sum(r["events"] for r in got) == len(ordered)
+    number = (gap.isna() | (gap > pd.Timedelta(minutes=30))).groupby(ordered["key"]).cumsum()
+    ends = ordered.groupby([ordered["key"], number])["at"].max()
+    assert {(r["key"], r["session"]): r["ended"] for r in got} == {k: v.to_pydatetime() for k, v in ends.items()}
 
 
 def test_pause_of_exactly_the_gap_does_not_end_a_session(spark):
     rows = [(1, START), (1, START + dt.timedelta(minutes=30)), (1, START + dt.timedelta(minutes=60, seconds=1))]
-    assert sequences.session_starts(spark.createDataFrame(rows, "key INT, at TIMESTAMP_NTZ"), "key", "at").count() == 2
+    assert sequences.sessions(spark.createDataFrame(rows, "key INT, at TIMESTAMP_NTZ"), "key", "at").count() == 2
 
 
 @pytest.mark.parametrize("rows, groups", [(10, 4), (3, 4), (8, 4), (1, 4), (101, 7)])

@@ -3,16 +3,16 @@ import pytest
 from tessera.operators import features, profile
 
 SAMPLE = """customer_id,first_name,gender,ip_address,phone,account_creation_date,total_spent
-1,John,Male,192.168.1.1,555-1234,2020-01-15,1500.50
-2,Jane,Female,192.168.1.2,555-5678,2019-03-22,2500.75
-3,Bob,Male,192.168.1.3,555-8765,2021-05-30,3200.00
-4,Alice,Female,192.168.1.4,555-4321,2022-07-10,1800.25
-5,Charlie,Male,192.168.1.5,555-1357,2020-11-11,2100.00
-6,Diana,Female,192.168.1.6,555-2468,2021-02-20,1900.50
-7,Edward,Male,192.168.1.7,555-3579,2018-08-15,3000.00
-8,Emma,Female,192.168.1.8,555-4680,2022-04-05,1600.75
-9,Frank,Male,192.168.1.9,555-5791,2019-12-30,4000.00
-10,Grace,Female,192.168.1.10,555-6802,2020-09-25,2200.00
+1,Ada,Female,10.0.7.1,555-0101,2020-03-01,120.50
+2,Ben,Male,10.0.7.2,555-0102,2019-06-30,80.25
+3,Cleo,Female,10.0.7.3,555-0103,2021-01-09,310.00
+4,Dan,Male,10.0.7.4,555-0104,2022-12-24,45.75
+5,Eva,Female,10.0.7.5,555-0105,2020-08-17,99.50
+6,Finn,Male,10.0.7.6,555-0106,2018-02-11,200.00
+7,Gia,Female,10.0.7.7,555-0107,2022-05-05,150.00
+8,Hal,Male,10.0.7.8,555-0108,2021-10-31,60.00
+9,Ida,Female,10.0.7.9,555-0109,2023-07-14,75.00
+10,Jan,Male,10.0.7.10,555-0110,2019-09-02,59.00
 """
 
 
@@ -35,13 +35,23 @@ def test_sample_file(spark, tmp_path):
         "phone": "numeric", "account_creation_date": "numeric", "total_spent": "numeric",
     }
     spent = found["total_spent"]["stats"]
-    assert (spent["min"], spent["max"], spent["mean"]) == (1500.5, 4000.0, pytest.approx(2380.275))
+    assert (spent["min"], spent["max"], spent["mean"]) == (45.75, 310.0, pytest.approx(120.0))
     assert found["phone"]["unique_count"] == 1 and found["phone"]["sample"] == ["555"]
     assert found["account_creation_date"]["sample"] == ["2020", "2019", "2021", "2022", "2018"]
-    assert found["first_name"]["sample"] == ["John", "Jane", "Bob", "Alice", "Charlie"]
+    assert found["first_name"]["sample"] == ["Ada", "Ben", "Cleo", "Dan", "Eva"]
     assert found["gender"]["stats"] is None
 
 
+def test_analysis_is_one_row(spark):
+    df = spark.createDataFrame([(i, str(i), "xy"[i % 2]) for i in range(10)], "id LONG, v STRING, k STRING")
+    (row,) = profile.analysis(df, "id").collect()
+    assert (row["row_count"], row["column_count"]) == (10, 3)
+    assert [(c["name"], c["type"], c["sample"][:2]) for c in row["columns"]] == [
+        ("id", "numeric", ["0", "1"]), ("v", "numeric", ["0", "1"]), ("k", "categorical", ["x", "y"]),
+    ]
+    assert row["summary"] == "Dataset with 10 rows and 3 columns. 2 numeric features available for clustering."
+
+
 def test_empty_column(spark):
     row = profiled(text_frame(spark, ["", None, " "]))
     assert (row["type"], row["null_count"], row["unique_count"], row["sample"], row["stats"]) == ("text", 3, 0, [], None)

@@ -1,8 +1,10 @@
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import segment
+from tessera import RunStore, analysis, describe_segments, run_record, segment
 from tessera.operators import clustering, quality, reduction, silhouette
 from tessera.operators.features import fit_scaler
 
@@ -56,6 +58,21 @@ def test_segment_finds_separate_groups(spark):
     assert total == pytest.approx(metrics["inertia"])
 
 
+def test_run_is_saved_with_everything(spark, tmp_path):
+    result = segment(customers(spark), "id", FEATURES)
+    described = describe_segments(result.clusters)
+    store = RunStore(spark, str(tmp_path))
+    store.append(run_record(result, described, "run-1", "c.csv", datetime(2024, 1, 2), analysis(customers(spark), "id")))
+    store.save_labels("run-1", result.labels, "id")
+    row = store.get("run-1").first()
+    assert (row["num_clusters"], row["row_count"], row["features"]) == (5, 25, FEATURES)
+    assert row["dataset_metadata"]["column_count"] == 5 and row["created_at"] == datetime(2024, 1, 2)
+    saved = row["clustering_results"]
+    assert [c["name"] for c in saved["clusters"]] == [f"Segment {i}" for i in range(1, 6)]
+    assert saved["inertia"] == pytest.approx(result.metrics.first()["inertia"]) and saved["feature_importance"][0]["importance"] == 1.0
+    assert store.labels("run-1").count() == 25 and store.list().first()["feature_count"] == 3
+
+
 def test_segment_checks_its_arguments(spark):
     with pytest.raises(ValueError, match="2 features"):
         segment(customers(spark), "id", ["income"])
