@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
+from tessera.functions.sqltext import array_of
 
 
 def squared_distance(left: Column, right: Column) -> Column:
@@ -24,7 +25,7 @@ def distance(left: Column, right: Column) -> Column:
 
 def nearest(point: Column, centers: Sequence[tuple[int, Sequence[float]]]) -> Column:
     """STRUCT<squared, id> of the nearest centre; the lowest id wins a tie."""
-    candidates = F.array(*[F.struct(F.lit(int(i)).alias("id"), _literal(c).alias("center")) for i, c in centers])
+    candidates = F.array(*[F.struct(F.lit(int(i)).alias("id"), array_of(c).alias("center")) for i, c in centers])
     return F.array_min(
         F.transform(
             candidates,
@@ -33,10 +34,6 @@ def nearest(point: Column, centers: Sequence[tuple[int, Sequence[float]]]) -> Co
     )
 
 
-def _literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
 def cohesion(avg_distance: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + avg_distance)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
 from tessera.functions.scalars import nearest
+from tessera.functions.sqltext import array_of, name_sql, point_of
 
 Centers = Sequence[tuple[int, Sequence[float]]]
 
@@ -22,12 +23,8 @@ MAX_CENTERS = 1000
 
 def centers(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """Mean of every feature per label: label, size, center ARRAY<DOUBLE>."""
-    means = [F.avg(F.col(f"`{f}`")).alias(f"_m{i}") for i, f in enumerate(features)]
-    return (
-        df.groupBy(label)
-        .agg(F.count("*").alias("size"), *means)
-        .select(label, "size", F.array(*[f"_m{i}" for i in range(len(features))]).alias("center"))
-    )
+    means = ", ".join(f"avg({name_sql(f)})" for f in features)
+    return df.groupBy(label).agg(F.count("*").alias("size"), F.expr(f"array({means})").alias("center"))
 
 
 def center_list(center_frame: DataFrame, label: str) -> list[tuple[int, list[float]]]:
@@ -40,10 +37,8 @@ def center_list(center_frame: DataFrame, label: str) -> list[tuple[int, list[flo
 
 def assign(df: DataFrame, features: Sequence[str], given: Centers, keep: Sequence[str]) -> DataFrame:
     """Nearest centre per row: keep..., prediction, squared distance. A projection, no join."""
-    point = F.array(*[F.col(f"`{f}`") for f in features])
-    return (
-        df.withColumn("_best", nearest(point, given))
-        .select(*keep, F.col("_best.id").alias("prediction"), F.col("_best.squared").alias("squared"))
+    return df.withColumn("_best", nearest(point_of(features), given)).select(
+        *keep, F.col("_best.id").alias("prediction"), F.col("_best.squared").alias("squared")
     )
 
 
@@ -51,7 +46,7 @@ def update(df: DataFrame, features: Sequence[str], given: Centers) -> DataFrame:
     """Centres after one assignment; a centre nobody chose stays where it is."""
     assigned = assign(df, features, given, features)
     moved = centers(assigned, "prediction", features)
-    names = F.array(*[F.struct(F.lit(int(i)).alias("id"), F.array(*[F.lit(float(v)) for v in c]).alias("old")) for i, c in given])
+    names = F.array(*[F.struct(F.lit(int(i)).alias("id"), array_of(c).alias("old")) for i, c in given])
     previous = df.sparkSession.range(1).select(F.inline(names))
     return previous.join(moved, previous["id"] == moved["prediction"], "left").select(
         previous["id"], F.coalesce("size", F.lit(0).cast("long")).alias("size"), F.coalesce("center", "old").alias("center")

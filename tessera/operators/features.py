@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
 from tessera.functions.numbers import cell_number
+from tessera.functions.sqltext import name_sql, number_sql
 
 
 def feature_candidates(profiled: DataFrame) -> DataFrame:
@@ -93,8 +94,9 @@ def feature_matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str] =
 def expand_vector(df: DataFrame, vector: str, size: int, keep: Sequence[str], prefix: str = "f") -> tuple[DataFrame, list[str]]:
     """An ARRAY column of known length as DOUBLE columns f00, f01, ..."""
     names = [f"{prefix}{i:0{len(str(size - 1))}d}" for i in range(size)]
-    columns = [F.get(F.col(vector), F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]
-    return df.select(*keep, *columns), names
+    kept = [name_sql(c) for c in keep]
+    cells = [f"CAST(get({name_sql(vector)}, {i}) AS DOUBLE) AS {n}" for i, n in enumerate(names)]
+    return df.selectExpr(*kept, *cells), names
 
 
 @dataclass(frozen=True)
@@ -107,9 +109,10 @@ class Scaler:
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         scaled = [
-            ((F.col(f"`{f}`") - F.lit(m)) / F.lit(s)).alias(f) for f, m, s in zip(self.features, self.means, self.stds)
+            f"({name_sql(f)} - {number_sql(m)}) / {number_sql(s)} AS {name_sql(f)}"
+            for f, m, s in zip(self.features, self.means, self.stds)
         ]
-        return df.select(*[F.col(f"`{c}`") for c in keep], *scaled)
+        return df.selectExpr(*[name_sql(c) for c in keep], *scaled)
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> Scaler:
@@ -118,14 +121,12 @@ def fit_scaler(df: DataFrame, features: Sequence[str]) -> Scaler:
         raise ValueError("no features given")
     row = df.agg(
         F.count("*").alias("n"),
-        *[F.avg(F.col(f"`{f}`")).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.stddev_pop(F.col(f"`{f}`")).alias(f"s{i}") for i, f in enumerate(features)],
+        F.expr(f"array({', '.join(f'avg({name_sql(f)})' for f in features)})").alias("means"),
+        F.expr(f"array({', '.join(f'stddev_pop({name_sql(f)})' for f in features)})").alias("stds"),
     ).first()
     if row["n"] == 0:
         raise ValueError("Dataset is empty")
-    means = tuple(float(row[f"m{i}"]) for i in range(len(features)))
-    stds = tuple(_usable(row[f"s{i}"]) for i in range(len(features)))
-    return Scaler(tuple(features), means, stds)
+    return Scaler(tuple(features), tuple(row["means"]), tuple(_usable(s) for s in row["stds"]))
 
 
 def _usable(std: float) -> float:

@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
 from tessera.functions.scalars import cohesion, share_percent, squared_distance
+from tessera.functions.sqltext import array_of, name_sql, point_of, text_sql
 from tessera.operators.clustering import Centers
 
 
 def _center_of(label: Column, given: Centers) -> Column:
     """The centre that belongs to a label, looked up in a literal map."""
-    entries = [part for i, c in given for part in (F.lit(int(i)), F.array(*[F.lit(float(v)) for v in c]))]
+    entries = [part for i, c in given for part in (F.lit(int(i)), array_of(c))]
     return F.element_at(F.create_map(*entries), label.cast("int"))
 
 
 def with_distance(df: DataFrame, label: str, features: Sequence[str], given: Centers) -> DataFrame:
     """Adds the squared distance of every row to the centre of its label."""
-    point = F.array(*[F.col(f"`{f}`") for f in features])
-    return df.withColumn("squared", squared_distance(point, _center_of(F.col(label), given)))
+    return df.withColumn("squared", squared_distance(point_of(features), _center_of(F.col(label), given)))
 
 
 def inertia(df: DataFrame, label: str, features: Sequence[str], given: Centers) -> DataFrame:
@@ -54,14 +54,11 @@ def feature_importance(df: DataFrame, label: str, features: Sequence[str]) -> Da
 
     The rows are aggregated once, per label; the rest runs on one row per label.
     """
-    per_label = df.groupBy(label).agg(
-        F.count("*").alias("n"), *[F.avg(F.col(f"`{f}`")).alias(f"m{i}") for i, f in enumerate(features)]
+    means = ", ".join(
+        f"struct({i} AS position, {text_sql(f)} AS feature, avg({name_sql(f)}) AS mean)" for i, f in enumerate(features)
     )
-    entries = [
-        F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), F.col(f"m{i}").alias("mean"))
-        for i, f in enumerate(features)
-    ]
-    long = per_label.select("n", F.inline(F.array(*entries)))
+    per_label = df.groupBy(label).agg(F.count("*").alias("n"), F.expr(f"array({means})").alias("means"))
+    long = per_label.select("n", F.inline("means"))
     # sum n (mean - g)^2 with g the overall mean, written as a weighted variance
     weighted = long.groupBy("position", "feature").agg(
         F.sum("n").alias("n"),

@@ -80,7 +80,8 @@ def running_total(
     `slots` goes from coarse to fine, each slot cutting the key's rows into
     consecutive stretches (day, hour). The total is the sum of the stretches
     before, level by level, and of the rows before within the finest stretch.
-    Amounts should be decimals, so that the parts add up exactly.
+    Amounts should be decimals, so that the parts add up exactly. Rows without
+    a key or a time are kept, without a total.
     """
     names = [f"_slot{i}" for i in range(len(slots))]
     rows = df.select(*dict.fromkeys([*keep, key, *order]), amount.alias("_amount"), *[s.alias(n) for s, n in zip(slots, names)])
@@ -103,7 +104,7 @@ def running_total(
     within = Window.partitionBy(key, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumn("_within", F.sum("_amount").over(within))
-        .join(offsets, [key, *names])
+        .join(offsets, [key, *names], "left")
         .select(*keep, (F.col("_within") + F.col("_before")).alias("running_total"))
     )
 

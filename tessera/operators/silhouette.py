@@ -21,6 +21,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.sqltext import name_sql, number_sql
 from tessera.operators.clustering import MAX_CENTERS, vectorized
 from tessera.session import shared_folder
 
@@ -29,11 +30,12 @@ BLOCK_ROWS = 2000
 
 def distinct_points(df: DataFrame, label: str, features: Sequence[str], step: float | None = None) -> DataFrame:
     """point ARRAY<DOUBLE>, label, weight: one row per distinct point and label."""
-    coordinates = [F.col(f"`{f}`").cast("double") for f in features]
+    coordinates = [f"CAST({name_sql(f)} AS DOUBLE)" for f in features]
     if step:
-        coordinates = [F.round(c / F.lit(step)) * F.lit(step) for c in coordinates]
+        width = number_sql(step)
+        coordinates = [f"round({c} / {width}) * {width}" for c in coordinates]
     # adding zero turns -0.0 into 0.0
-    point = F.array(*[c + F.lit(0.0) for c in coordinates])
+    point = F.expr(f"array({', '.join(f'{c} + 0D' for c in coordinates)})")
     return df.groupBy(point.alias("point"), F.col(label).alias("label")).agg(F.count("*").alias("weight"))
 
 

@@ -92,7 +92,7 @@ def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
     names = LINE_FEATURES[:2]
     matrix = feats.feature_matrix(table(spark, sf, "lineitem"), names)
     scaled = feats.fit_scaler(matrix, names).transform(matrix)
-    return reduction.fit_components(scaled, names).share_frame(scaled).withColumn("share", rounded("share", 6))
+    return reduction.fit_components(scaled, names, standardized=True).share_frame(scaled).withColumn("share", rounded("share", 6))
 
 
 PAIR = ["order_count", "spend"]
@@ -107,7 +107,7 @@ def pca_project(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of customers on two related measures; their sign is arbitrary."""
     matrix = feats.feature_matrix(customer_measures(spark, sf), PAIR, ["c_custkey"])
     scaled = feats.fit_scaler(matrix, PAIR).transform(matrix, ["c_custkey"])
-    scores = reduction.fit_components(scaled, PAIR).transform(scaled, ["c_custkey"])
+    scores = reduction.fit_components(scaled, PAIR, standardized=True).transform(scaled, ["c_custkey"])
     return scores.select("c_custkey", rounded(F.abs("pc1"), 4).alias("pc1"), rounded(F.abs("pc2"), 4).alias("pc2"))
 
 
@@ -115,7 +115,7 @@ def pca_project(spark: SparkSession, sf: str) -> DataFrame:
 def pca_components(spark: SparkSession, sf: str) -> DataFrame:
     matrix = feats.feature_matrix(customer_measures(spark, sf), CUSTOMER_FEATURES)
     scaled = feats.fit_scaler(matrix, CUSTOMER_FEATURES).transform(matrix)
-    found = reduction.fit_components(scaled, CUSTOMER_FEATURES)
+    found = reduction.fit_components(scaled, CUSTOMER_FEATURES, standardized=True)
     names = F.array(*[F.lit(f) for f in CUSTOMER_FEATURES])
     loadings = F.array(*[F.array(*[F.lit(w) for w in loading]) for loading in found.loadings])
     return found.share_frame(scaled).select(

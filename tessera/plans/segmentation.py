@@ -63,7 +63,7 @@ def segment(
     scaler = fit_scaler(matrix, features)
     scaled = scaler.transform(matrix, [row_id]).checkpoint()
     matrix.unpersist()
-    components = fit_components(scaled, features)
+    components = fit_components(scaled, features, standardized=True)
     vectors = vectorized(scaled, features, [row_id]).persist(StorageLevel.MEMORY_AND_DISK)
     model, runs = fit_best(vectors, k, seeds)
     given = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
