@@ -6,6 +6,7 @@ them is much quicker to build than a column object per feature and step.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -21,8 +22,9 @@ def text_sql(value: str) -> str:
 
 
 def number_sql(value: float) -> str:
-    """A finite double, exactly."""
-    return f"{float(value)!r}D"
+    """A double, exactly."""
+    value = float(value)
+    return f"{value!r}D" if math.isfinite(value) else f"CAST('{value!r}' AS DOUBLE)"
 
 
 def array_of(values: Iterable[float]) -> Column:

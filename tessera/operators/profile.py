@@ -63,6 +63,28 @@ def column_counts(df: DataFrame, columns: Sequence[str], mode: str = "lenient")
     )
 
 
+def approximate_counts(df: DataFrame, columns: Sequence[str], mode: str = "lenient") -> DataFrame:
+    """column_counts with an estimated unique_count: one pass and no shuffle of values."""
+    read = _numbers(df, columns, mode)
+    parts = []
+    for position in range(len(columns)):
+        number, text = F.col(f"_n{position}"), F.lit(None).cast("string")
+        value = number
+        if f"_t{position}" in read.columns:
+            text = F.when(number.isNull(), F.col(f"_t{position}"))
+            value = F.coalesce(number.cast("string"), text)
+        parts.append(
+            F.struct(
+                F.lit(position).alias("position"),
+                F.count_if(number.isNull() & text.isNull()).alias("null_count"),
+                F.approx_count_distinct(value).alias("unique_count"),
+                F.count(number).alias("number_count"),
+                (F.count(number) + F.count(text)).alias("value_count"),
+            )
+        )
+    return read.agg(F.array(*parts).alias("_counts")).select(F.inline("_counts"))
+
+
 def column_statistics(df: DataFrame, columns: Sequence[str], mode: str = "lenient") -> DataFrame:
     """min, max, mean and population deviation of the numeric cells, one pass, no shuffle of rows."""
     one_row = _numbers(df, columns, mode).agg(
@@ -118,18 +140,21 @@ def profile(
     columns: Sequence[str] | None = None,
     mode: str = "lenient",
     samples: bool = True,
+    exact: bool = True,
 ) -> DataFrame:
-    """One row per column, in column order of the input.
+    """One row per column.
 
     position, name, type, null_count, unique_count, sample, and stats (NULL
     unless numeric). Without a row_id, samples follow the order of the file
-    partitions.
+    partitions. exact=False estimates unique_count, which for key-like columns
+    of a very large table saves shuffling nearly every value.
     """
     columns = list(columns or [c for c in df.columns if c != "_row_id"])
     names = F.array(*[F.lit(c) for c in columns])
     # columns, not rows: every frame below has one row per column of the input
+    counts = column_counts if exact else approximate_counts
     result = (
-        column_counts(df, columns, mode)
+        counts(df, columns, mode)
         .join(column_statistics(df, columns, mode), "position")
         .withColumn("name", F.element_at(names, F.col("position") + 1))
         .withColumn("type", column_class(F.col("number_count"), F.col("value_count"), F.col("unique_count")))

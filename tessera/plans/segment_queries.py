@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -452,3 +453,51 @@ def segment_customers(spark: SparkSession, sf: str) -> DataFrame:
         F.col("metrics.cohesion").alias("cohesion"),
         silhouette.alias("silhouette"),
     )
+
+
+@query("""SELECT count(*) AS rows, CAST(5 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced_rows, CAST(0 AS BIGINT) AS moved_centers,
+true AS inertia_agrees FROM customer""")
+def kmeans_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """A finished fit: every row at its nearest centre, every centre the mean of its rows, inertia as reported."""
+    points = _customer_vectors(spark, sf).persist()
+    model = clustering.fit_kmeans(points, fixed.DEFAULT_K, fixed.SEEDS[0])
+    given = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+    rows = model.transform(points).select(vector_to_array("vector").alias("v"), "prediction")
+    rows = rows.select("prediction", *[F.get("v", F.lit(i)).alias(f) for i, f in enumerate(CUSTOMER_FEATURES)])
+    nearest = clustering.assign(rows.withColumnRenamed("prediction", "label"), CUSTOMER_FEATURES, given, ["label"])
+    placed = nearest.agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("label") != F.col("prediction")).alias("misplaced_rows"),
+        (F.abs(F.sum("squared") - model.summary.trainingCost) < 1e-6 * model.summary.trainingCost).alias("inertia_agrees"),
+    )
+    moved = quality.with_distance(
+        clustering.centers(rows, "prediction", CUSTOMER_FEATURES).select(
+            "prediction", *[F.get("center", F.lit(i)).alias(f) for i, f in enumerate(CUSTOMER_FEATURES)]
+        ),
+        "prediction", CUSTOMER_FEATURES, given,
+    )
+    return placed.select(
+        "rows",
+        moved.agg(F.count("*")).scalar().alias("clusters"),
+        "misplaced_rows",
+        moved.agg(F.count_if(F.col("squared") > 1e-12)).scalar().alias("moved_centers"),
+        "inertia_agrees",
+    )
+
+
+@query("""SELECT count(*) AS rows, CAST(5 AS BIGINT) AS clusters, count(*) AS labelled, true AS shares_add_up, true AS importance_scaled,
+true AS silhouette_in_range, true AS best_of_all FROM customer""")
+def segment_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold for any segmentation, whatever the random start."""
+    result = segment(customer_measures(spark, sf), "c_custkey", CUSTOMER_FEATURES)
+    shares = F.aggregate("pca_variance_explained", F.lit(0.0), lambda a, b: a + b)
+    best = min(cost for _, cost in result.runs)
+    return result.metrics.select(
+        F.col("rows"),
+        result.clusters.agg(F.count_if(F.col("size") > 0)).scalar().alias("clusters"),
+        result.labels.agg(F.count_distinct("c_custkey")).scalar().alias("labelled"),
+        (F.abs(shares - 1) < 1e-9).alias("shares_add_up"),
+        result.importance.agg((F.max("importance") == 1) & (F.min("importance") >= 0)).scalar().alias("importance_scaled"),
+        F.col("silhouette").between(-1, 1).alias("silhouette_in_range"),
+        (F.col("inertia") == best).alias("best_of_all"),
+    )

@@ -80,6 +80,17 @@ def test_distinct_counts_equal_numbers_once(spark):
     assert row["unique_count"] == 2 and row["sample"] == ["5", "0"]
 
 
+def test_estimated_profile(spark):
+    df = spark.range(5000).selectExpr("id", "concat('t', id % 7) AS few", "if(id % 4 = 0, '', cast(id AS string)) AS v")
+    exact, estimated = (
+        {r["name"]: r for r in profile.profile(df, columns=["id", "few", "v"], samples=False, exact=e).collect()} for e in (True, False)
+    )
+    for name in exact:
+        assert exact[name]["type"] == estimated[name]["type"] and exact[name]["null_count"] == estimated[name]["null_count"]
+        assert estimated[name]["unique_count"] == pytest.approx(exact[name]["unique_count"], rel=0.15)
+    assert estimated["few"]["unique_count"] == 7 and exact["v"]["unique_count"] == 3750
+
+
 def test_min_rows(spark):
     assert not profile.has_min_rows(spark.range(9)).first()[0]
     assert profile.has_min_rows(spark.range(10)).first()[0]
