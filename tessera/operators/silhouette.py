@@ -133,10 +133,11 @@ def silhouette(df: DataFrame, label: str, features: Sequence[str], step: float |
 
 def usable_step(df: DataFrame, label: str, features: Sequence[str], limit: int, first: float = 0.01) -> float | None:
     """None if the distinct points are few enough for exact work, else the finest step that makes them so."""
-    step = None
-    while distinct_points(df, label, features, step).count() > limit:
-        step = step * 2 if step else first
-    return step
+    steps = (None, *(first * 2**i for i in range(40)))
+    for step in steps:
+        if distinct_points(df, label, features, step).count() <= limit:
+            return step
+    raise ValueError(f"no grid leaves {limit} distinct points")
 
 
 def silhouette_squared(df: DataFrame, label: str, features: Sequence[str]) -> float:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +17,7 @@ from tessera.operators import features as feats
 from tessera.operators import silhouette as sil
 from tessera.plans.registry import RETAIL_SNAPSHOT, query, r, rounded
 from tessera.plans.segmentation import segment
+from tessera.session import shared_folder
 from tessera.sources.tables import table
 
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -145,6 +150,17 @@ def kmeans_update(spark: SparkSession, sf: str) -> DataFrame:
     return moved.select("id", "size", F.posexplode("center").alias("dim", "value")).withColumn("value", rounded("value", 6))
 
 
+@contextmanager
+def fitting_points(spark: SparkSession, sf: str) -> Iterator[DataFrame]:
+    """Scaled customer vectors, written once, and cached while a model is fitted."""
+    shared_folder(spark)
+    points = _customer_vectors(spark, sf).checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield points
+    finally:
+        points.unpersist()
+
+
 def _customer_vectors(spark: SparkSession, sf: str) -> DataFrame:
     matrix = feats.feature_matrix(customer_measures(spark, sf), CUSTOMER_FEATURES, ["c_custkey"])
     scaled = feats.fit_scaler(matrix, CUSTOMER_FEATURES).transform(matrix, ["c_custkey"])
@@ -153,15 +169,15 @@ def _customer_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
-    points = _customer_vectors(spark, sf).persist()
-    model = clustering.fit_kmeans(points, fixed.DEFAULT_K, fixed.SEEDS[0])
+    with fitting_points(spark, sf) as points:
+        model = clustering.fit_kmeans(points, fixed.DEFAULT_K, fixed.SEEDS[0])
     return model.transform(points).groupBy("prediction").agg(F.count("*").alias("size"))
 
 
 @query()
 def kmeans_best_of(spark: SparkSession, sf: str) -> DataFrame:
-    points = _customer_vectors(spark, sf).persist()
-    _, runs = clustering.fit_best(points, fixed.DEFAULT_K)
+    with fitting_points(spark, sf) as points:
+        _, runs = clustering.fit_best(points, fixed.DEFAULT_K)
     best = min(cost for _, cost in runs)
     sizes = points.agg(F.count("*").alias("rows"))
     listed = F.array(*[F.struct(F.lit(seed).alias("seed"), F.lit(cost).alias("inertia")) for seed, cost in runs])
@@ -459,8 +475,8 @@ def segment_customers(spark: SparkSession, sf: str) -> DataFrame:
 true AS inertia_agrees FROM customer""")
 def kmeans_converged(spark: SparkSession, sf: str) -> DataFrame:
     """A finished fit: every row at its nearest centre, every centre the mean of its rows, inertia as reported."""
-    points = _customer_vectors(spark, sf).persist()
-    model = clustering.fit_kmeans(points, fixed.DEFAULT_K, fixed.SEEDS[0])
+    with fitting_points(spark, sf) as points:
+        model = clustering.fit_kmeans(points, fixed.DEFAULT_K, fixed.SEEDS[0])
     given = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
     rows = model.transform(points).select(vector_to_array("vector").alias("v"), "prediction")
     rows = rows.select("prediction", *[F.get("v", F.lit(i)).alias(f) for i, f in enumerate(CUSTOMER_FEATURES)])

@@ -1,4 +1,6 @@
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,3 +42,24 @@ def test_dates_are_years_only_when_lenient(spark):
 def test_number_text(spark, number, text):
     df = spark.createDataFrame([(number,)], "v DOUBLE")
     assert df.select(numbers.number_text(F.col("v"))).first()[0] == text
+
+
+def leading_number(text):
+    """The longest start of the text that is a plain decimal number."""
+    text = text.strip()
+    for end in range(len(text), 0, -1):
+        if re.fullmatch(r"[+-]?Infinity", text[:end]):
+            return float(text[:end])
+        if re.fullmatch(r"[0-9eE+.-]+", text[:end]):
+            try:
+                return float(text[:end])
+            except ValueError:
+                continue
+    return None
+
+
+def test_lenient_number_on_random_texts(spark):
+    draw = random.Random(11)
+    texts = ["".join(draw.choice("0123456789..++--eE xI,") for _ in range(draw.randint(0, 7))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", numbers.lenient_number(F.col("t")).alias("n")).collect()
+    assert [(r["t"], r["n"]) for r in rows] == [(t, leading_number(t)) for t in texts]
