@@ -34,8 +34,9 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(everything).alias("total"),
     )
+    # at most one row of four numbers per shuffle partition, so it can be broadcast
     return (
-        rows.join(starts, "_task")
+        rows.join(F.broadcast(starts), "_task")
         .withColumn("rank", F.col("_before") + F.col("_id") - F.col("_start") + 1)
         .drop("_task", "_id", "_start", "_before")
     )

@@ -1,9 +1,10 @@
 """Order-dependent measures per key: gaps, first events, running and rolling sums, sessions.
 
-One key may own a large part of all rows, so no window here runs over the rows
+One key may own a large part of all rows, so no window here runs over all rows
 of a key. Rows are first combined per key and calendar slot (day, half hour),
 which happens before the shuffle; windows then see at most one row per slot of
 the calendar, and the result is brought back to the rows where it belongs.
+Running totals, which differ from row to row, are cut by task instead.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
+from tessera.session import shared_folder
 
 
 def daily(df: DataFrame, key: str, day: Column, *aggregates: Column) -> DataFrame:
@@ -73,40 +75,34 @@ def gap_statistics(df: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def running_total(
-    df: DataFrame, key: str, slots: Sequence[Column], order: Sequence[str], amount: Column, keep: Sequence[str]
+    df: DataFrame, key: str, order: Sequence[str], amount: Column, keep: Sequence[str]
 ) -> DataFrame:
     """keep..., running_total: sum of amount over the key's rows up to this one.
 
-    `slots` goes from coarse to fine, each slot cutting the key's rows into
-    consecutive stretches (day, hour). The total is the sum of the stretches
-    before, level by level, and of the rows before within the finest stretch.
-    Amounts should be decimals, so that the parts add up exactly. Rows without
-    a key or a time are kept, without a total.
+    The order must be unique within a key, and amounts should be decimals, so
+    that parts add up exactly. Rows are range-sorted by key and order, which
+    spreads the rows of a hot key over many tasks. Each task's share of a key is
+    summed up on its own, and what the key had in the tasks before is added. The
+    sorted rows are written once, so that both steps see the same tasks.
     """
-    names = [f"_slot{i}" for i in range(len(slots))]
-    rows = df.select(*dict.fromkeys([*keep, key, *order]), amount.alias("_amount"), *[s.alias(n) for s, n in zip(slots, names)])
-    sums = rows.groupBy(key, *names).agg(F.sum("_amount").alias("_sum"))
-    parents, before = [key], F.lit(0)
-    level_frames = []
-    for depth, name in enumerate(names):
-        level = sums.groupBy(*parents, name).agg(F.sum("_sum").alias("_sum")) if depth < len(names) - 1 else sums
-        window = Window.partitionBy(*parents).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        level_frames.append(
-            level.select(*parents, name, F.coalesce(F.sum("_sum").over(window), F.lit(0)).alias(f"_before{depth}"))
-        )
-        parents = [*parents, name]
-    offsets = level_frames[-1]
-    for depth in range(len(names) - 1):
-        offsets = offsets.join(level_frames[depth], [key, *names[: depth + 1]])
-    for depth in range(len(names)):
-        before = before + F.col(f"_before{depth}")
-    offsets = offsets.select(key, *names, before.alias("_before"))
-    within = Window.partitionBy(key, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        rows.withColumn("_within", F.sum("_amount").over(within))
-        .join(offsets, [key, *names], "left")
-        .select(*keep, (F.col("_within") + F.col("_before")).alias("running_total"))
+    shared_folder(df.sparkSession)
+    rows = (
+        df.select(*dict.fromkeys([*keep, key, *order]), amount.alias("_amount"))
+        .orderBy(key, *order)
+        .withColumn("_task", F.spark_partition_id())
+        .checkpoint()
+    )
+    shares = rows.groupBy(key, "_task").agg(F.sum("_amount").alias("_share"))
+    # one row per key and task; only keys spread over several tasks have anything before
+    earlier = Window.partitionBy(key).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = shares.select(key, "_task", F.sum("_share").over(earlier).alias("_amount")).where(F.col("_amount").isNotNull())
+    # what came before enters as one more row ahead of the others, which spares a join
+    both = rows.withColumn("_row", F.lit(True)).unionByName(before.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    up_to_here = (
+        Window.partitionBy("_task", key).orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    totals = both.withColumn("running_total", F.sum("_amount").over(up_to_here)).where("_row")
+    return totals.select(*keep, "running_total")
 
 
 def rolling_sum(df: DataFrame, key: str, at: str, amount: Column, days: int) -> DataFrame:

@@ -233,7 +233,7 @@ def interpurchase_gaps(spark: SparkSession, sf: str) -> DataFrame:
 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_total FROM orders""")
 def running_spend(spark: SparkSession, sf: str) -> DataFrame:
     found = sequences.running_total(
-        table(spark, sf, "orders"), "o_custkey", [F.col("o_orderdate").cast("date")], ["o_orderdate", "o_orderkey"],
+        table(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"],
         scalars.money(F.col("o_totalprice")), ["o_orderkey", "o_custkey"],
     )
     return found.withColumn("running_total", F.col("running_total").cast("double"))
@@ -245,10 +245,7 @@ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_total FR
 def running_balance(spark: SparkSession, sf: str) -> DataFrame:
     value = scalars.money(F.col("value"))
     signed = F.when(scalars.direction(F.col("event_type"), CREDIT_KINDS) == "Credit", value).otherwise(-value)
-    found = sequences.running_total(
-        table(spark, sf, "events"), "user_id", [F.col("ts").cast("date"), F.hour("ts")], ["ts", "event_id"], signed,
-        ["event_id", "user_id"],
-    )
+    found = sequences.running_total(table(spark, sf, "events"), "user_id", ["ts", "event_id"], signed, ["event_id", "user_id"])
     return found.withColumn("running_total", F.col("running_total").cast("double"))
 
 
