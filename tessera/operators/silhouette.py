@@ -41,37 +41,39 @@ def distinct_points(df: DataFrame, label: str, features: Sequence[str], step: fl
 
 def _sums(size: int):
     """Task code: distances between two blocks, summed per point and cluster."""
+    names = ["pid", "cluster", "weight", *[f"s{c}" for c in range(size)]]
 
-    def distance_sums(left: np.ndarray, right: np.ndarray, cluster: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        squared = np.zeros((len(left), len(right)))
-        for d in range(left.shape[1]):
-            gap = left[:, d, None] - right[None, :, d]
-            squared += gap * gap
-        members = np.zeros((len(right), size))
-        members[np.arange(len(right)), cluster] = weight
-        return np.sqrt(squared) @ members
+    def members(block: pd.DataFrame) -> np.ndarray:
+        table = np.zeros((len(block), size))
+        table[np.arange(len(block)), block["cluster"].to_numpy()] = block["weight"].to_numpy()
+        return table
+
+    def result(block: pd.DataFrame, sums: np.ndarray) -> pd.DataFrame:
+        kept = block[["pid", "cluster", "weight"]].reset_index(drop=True)
+        return pd.concat([kept, pd.DataFrame(sums, columns=names[3:])], axis=1)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = key
-        parts = []
-        sides = [(low, low)] if low == high else [(low, high), (high, low)]
-        for mine, other in sides:
-            a, b = pdf[pdf["block"] == mine], pdf[pdf["block"] == other]
-            if len(a) == 0 or len(b) == 0:
-                continue
-            sums = distance_sums(
-                np.vstack(a["point"].to_numpy()),
-                np.vstack(b["point"].to_numpy()),
-                b["cluster"].to_numpy(),
-                b["weight"].to_numpy(),
-            )
-            out = pd.DataFrame(sums, columns=[f"s{c}" for c in range(size)])
-            for name in ("pid", "cluster", "weight"):
-                out.insert(0, name, a[name].to_numpy())
-            parts.append(out)
-        if not parts:
-            return pd.DataFrame(columns=["weight", "cluster", "pid", *[f"s{c}" for c in range(size)]])
-        return pd.concat(parts)[["pid", "cluster", "weight", *[f"s{c}" for c in range(size)]]]
+        a, b = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame(columns=names)
+        left, right = np.vstack(a["point"].to_numpy()), np.vstack(b["point"].to_numpy())
+        of_a, of_b = members(a), members(b)
+        to_a, to_b = np.zeros((len(a), size)), np.zeros((len(b), size))
+        # a few rows at a time, so that the distances stay in the processor's cache
+        for start in range(0, len(left), 128):
+            part = slice(start, start + 128)
+            squared = np.zeros((len(left[part]), len(right)))
+            for d in range(left.shape[1]):
+                gap = np.subtract.outer(left[part, d], right[:, d])
+                gap *= gap
+                squared += gap
+            dist = np.sqrt(squared, out=squared)
+            to_a[part] = dist @ of_b
+            to_b += dist.T @ of_a[part]
+        if low == high:
+            return result(a, to_a)
+        return pd.concat([result(a, to_a), result(b, to_b)])
 
     return run
 
