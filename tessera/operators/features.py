@@ -21,11 +21,6 @@ def feature_candidates(profiled: DataFrame) -> DataFrame:
     )
 
 
-def first_candidates(profiled: DataFrame, count: int) -> DataFrame:
-    """The first numeric columns by position; a profile has one row per column."""
-    return feature_candidates(profiled).orderBy("position").limit(count).select("position", "name")
-
-
 def valid_proposals(profiled: DataFrame, proposed: Sequence[str]) -> DataFrame:
     """Proposed columns that exist and are numeric, in proposed order, repeats kept."""
     names = F.array(*[F.lit(c) for c in proposed]).cast("array<string>")
