@@ -170,7 +170,8 @@ def _with_distance(rows: DataFrame, counts: str, found: dict[str, list[float]],
         lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0),
     )
     divergence = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / 2
-    return step.withColumn(name, F.sqrt(F.greatest(divergence, F.lit(0.0)))).drop("total", "shares", counts)
+    # rounding may leave a little less than 0; a null stays one
+    return step.withColumn(name, F.sqrt(F.when(divergence < 0, 0.0).otherwise(divergence))).drop("total", "shares", counts)
 
 
 def _with_distances(rows: DataFrame, found: dict[str, dict[str, list[float]]]) -> DataFrame:

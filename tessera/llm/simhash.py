@@ -145,16 +145,19 @@ def _batch(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
 
 
 def _tree(bits: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the verified pairs connect, at most one a fingerprint."""
+    """Verified links that connect what all verified links connect: at most one less than there are fingerprints."""
     near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= RADIUS
-    label = np.arange(len(bits))
-    while True:
-        least = np.where(near, label[None, :], len(bits)).min(axis=1)
-        if (least == label).all():
-            break
-        label = least
-    signed = bits.view(np.int64)
-    return [(signed[i], signed[j]) for i, j in enumerate(label) if i != j]
+    signed, unseen, found = bits.view(np.int64), np.ones(len(bits), bool), []
+    for first in range(len(bits)):
+        todo = [first] if unseen[first] else []
+        unseen[first] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & unseen)
+            unseen[new] = False
+            found += [(signed[i], signed[j]) for j in new]
+            todo += new.tolist()
+    return found
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ Words are looked up in a bounded memory; unseen ones are encoded together.
 from __future__ import annotations
 
 import os
+import unicodedata
 from array import array
 
 import numpy as np
@@ -62,9 +63,9 @@ class WordIds:
                 continue
             stem = word.lower() if word.isascii() else word
             tail = ""
-            if not stem.isalpha() and stem[-1] in ".," and stem[:-1].isalpha():
+            if stem[-1] in ".,":
                 stem, tail = stem[:-1], stem[-1]
-            if not stem.isalpha():
+            if not _letters(stem):
                 known[word] = self._plain(word)
             else:
                 if stem not in known:
@@ -94,6 +95,11 @@ class WordIds:
             start = end
 
 
+def _letters(word: str) -> bool:
+    """Is a word, also in its normal form and in lower case, a run of letters?"""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
+
+
 _encoders: dict[str, WordIds] = {}
 
 
