@@ -77,12 +77,25 @@ def cell_number(col: Column, dtype: T.DataType, mode: str = "lenient", text: Col
 
 
 def number_text(col: Column) -> Column:
-    """A double as plain decimal text: 5.0 -> '5', 1.0E7 -> '10000000'."""
-    plain = F.regexp_replace(col.cast("string").try_cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
+    """A double as text: plain decimals from 1e-6 up to 1e21, beyond that digits and an exponent.
+
+    5.0 -> '5', 1.0E7 -> '10000000', 5.0E-4 -> '0.0005', 1.5E-7 -> '1.5e-7', 1.0E21 -> '1e+21'.
+    """
     text = col.cast("string")
+    sign = F.when(col < 0, "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.0$", ""), r"\.", "")
+    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    # the digits, d.ddd times ten to the exponent, with their point moved
+    large = F.rpad(digits, exponent + 1, "0")
+    large = F.when(F.length(digits) > exponent + 1, F.concat(F.left(digits, exponent + 1), F.lit("."), F.substr(digits, exponent + 2))).otherwise(large)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.0$", "")
+    scientific = F.concat(mantissa, F.when(exponent > 0, "e+").otherwise("e"), exponent.cast("string"))
+    size = F.abs(col)
     return (
         F.when(col == 0, F.lit("0"))
-        .when((F.abs(col) >= 1e-3) & (F.abs(col) < 1e7), F.regexp_replace(text, r"\.0$", ""))
-        .when((F.abs(col) >= 1e7) & (F.abs(col) < 1e21), plain)
-        .otherwise(text)
+        .when(exponent.isNull(), F.regexp_replace(text, r"\.0$", ""))
+        .when((size >= 1e-6) & (size < 1), F.concat(sign, small))
+        .when((size >= 1) & (size < 1e21), F.concat(sign, large))
+        .otherwise(F.concat(sign, scientific))
     )

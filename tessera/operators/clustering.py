@@ -17,7 +17,7 @@ from tessera.functions.sqltext import array_of, name_sql, point_of
 
 Centers = Sequence[tuple[int, Sequence[float]]]
 
-# centres travel as literals inside expressions, so their number is checked
+# the centres of a fit travel as literals inside expressions, so their number is checked
 MAX_CENTERS = 1000
 
 
@@ -53,6 +53,25 @@ def update(df: DataFrame, features: Sequence[str], given: Centers) -> DataFrame:
     )
 
 
+def fit_from(df: DataFrame, features: Sequence[str], starts: Centers, rounds: int = fixed.MAX_ROUNDS) -> Centers:
+    """Centres after so many rounds from given ones, or as soon as none moves. A round is one aggregate."""
+    given = [(int(i), [float(v) for v in c]) for i, c in starts]
+    for _ in range(rounds):
+        moved = center_list(update(df, features, given).select("id", "center"), "id")
+        if moved == given:
+            break
+        given = moved
+    return given
+
+
+def best_from(df: DataFrame, features: Sequence[str], starts: Sequence[Centers], rounds: int = fixed.MAX_ROUNDS) -> tuple[Centers, list[tuple[int, float]]]:
+    """The best of several given starts, the earliest on a tie, and every (place of the start, inertia)."""
+    fits = [fit_from(df, features, start, rounds) for start in starts]
+    costs = [float(assign(df, features, fit, []).agg(F.sum("squared")).first()[0] or 0.0) for fit in fits]
+    best = min(range(len(fits)), key=lambda i: (costs[i], i))
+    return fits[best], list(enumerate(costs))
+
+
 def fit_kmeans(vectors: DataFrame, k: int, seed: int, vector: str = "vector") -> KMeansModel:
     # centres that no longer move mean labels that no longer change
     estimator = KMeans(

@@ -33,8 +33,8 @@ def recommend_features(profiled: DataFrame, answer: str | None = None) -> DataFr
 
     The answer is the JSON text of an outside adviser with the fields columns,
     reasoning and confidence. Unreadable text keeps the first three numeric
-    columns, an answer without a usable column the first six; no answer at all
-    keeps the first four.
+    columns, an answer without a usable column the first six; an empty text and
+    null are such answers. No answer at all keeps the first four.
     """
     candidates = feature_candidates(profiled).select("position", "name")
     ordered = candidates.agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("c")).select(
@@ -43,7 +43,7 @@ def recommend_features(profiled: DataFrame, answer: str | None = None) -> DataFr
     ordered = ordered.withColumn(
         "available",
         F.when(F.size("available") > 0, F.col("available")).otherwise(
-            F.raise_error(F.lit("No numeric columns found. Clustering requires numeric features."))
+            F.raise_error(F.lit("none of the columns is numeric"))
         ),
     )
     if answer is None:
@@ -57,7 +57,8 @@ def recommend_features(profiled: DataFrame, answer: str | None = None) -> DataFr
         "a", F.from_json(F.lit(answer), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     )
     usable = F.filter(F.col("a.columns"), lambda c: F.array_contains("available", c))
-    broken = F.col("a").isNull() | F.col("a._broken").isNotNull()
+    blank = F.lit(answer.strip() in ("", "null"))
+    broken = ~blank & (F.col("a").isNull() | F.col("a._broken").isNotNull())
     found = F.coalesce(F.size(usable) > 0, F.lit(False))
     return parsed.select(
         F.when(broken, F.slice("available", 1, fixed.UNREADABLE_COLUMNS))
@@ -102,6 +103,10 @@ class Scaler:
     means: tuple[float, ...]
     stds: tuple[float, ...]
 
+    @classmethod
+    def of(cls, features: Sequence[str], means: Sequence[float], stds: Sequence[float]) -> Scaler:
+        return cls(tuple(features), tuple(means), tuple(_usable(s) for s in stds))
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         scaled = [
             f"({name_sql(f)} - {number_sql(m)}) / {number_sql(s)} AS {name_sql(f)}"
@@ -121,7 +126,7 @@ def fit_scaler(df: DataFrame, features: Sequence[str]) -> Scaler:
     ).first()
     if row["n"] == 0:
         raise ValueError("Dataset is empty")
-    return Scaler(tuple(features), tuple(row["means"]), tuple(_usable(s) for s in row["stds"]))
+    return Scaler.of(features, row["means"], row["stds"])
 
 
 def _usable(std: float) -> float:

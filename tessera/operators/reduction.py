@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
 from tessera.functions.sqltext import name_sql, number_sql
-from tessera.operators.features import fit_scaler
+from tessera.operators.features import Scaler
 
 
 def covariance_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -60,22 +60,48 @@ class Components:
 def fit_components(
     df: DataFrame, features: Sequence[str], count: int = fixed.COMPONENTS, standardized: bool = False
 ) -> Components:
-    """Leading components; shares are of the kept variance, so they add up to 1.
+    """Leading components; shares are of the kept variance, so they add up to 1, or are 0 without variance.
 
-    The estimator needs the feature-by-feature covariance on the driver, never
-    rows. Standardised features have mean zero, which saves a pass.
+    One aggregate over the rows; means and the feature-by-feature covariance
+    come back. With `standardized` the features are taken as scaled already.
     """
+    scaler, spread = _moments(df, features)
+    means = (0.0,) * len(scaler.features) if standardized else scaler.means
+    return _components(scaler.features, means, spread, count)
+
+
+def fit_scaled_components(df: DataFrame, features: Sequence[str], count: int = fixed.COMPONENTS) -> tuple[Scaler, Components]:
+    """The scaler of raw features and the components of what it makes of them, from one aggregate."""
+    scaler, spread = _moments(df, features)
+    stds = np.array(scaler.stds)
+    return scaler, _components(scaler.features, (0.0,) * len(stds), spread / np.outer(stds, stds), count)
+
+
+def _moments(df: DataFrame, features: Sequence[str]) -> tuple[Scaler, np.ndarray]:
+    """Means, deviations and population covariances, all from one pass."""
     features = tuple(features)
-    count = min(count, len(features))
-    means = (0.0,) * len(features) if standardized else fit_scaler(df, features).means
-    vectors = VectorAssembler(inputCols=list(features), outputCol="_vector").transform(df.select(*features))
-    model = PCA(k=count, inputCol="_vector", outputCol="_scores").fit(vectors)
-    matrix = model.pc.toArray()
-    kept = [float(v) for v in model.explainedVariance.toArray()]
-    total = sum(kept) or 1.0
-    return Components(
-        features,
-        means,
-        tuple(tuple(float(w) for w in matrix[:, c]) for c in range(count)),
-        tuple(v / total for v in kept),
-    )
+    if not features:
+        raise ValueError("no features given")
+    pairs = [(i, j) for i in range(len(features)) for j in range(i)]
+    sums = [f"avg({name_sql(f)})" for f in features] + [f"stddev_pop({name_sql(f)})" for f in features]
+    sums += [f"covar_pop({name_sql(features[i])}, {name_sql(features[j])})" for i, j in pairs]
+    row = df.agg(F.count("*").alias("n"), F.expr(f"array({', '.join(sums)})").alias("moments")).first()
+    if row["n"] == 0:
+        raise ValueError("Dataset is empty")
+    m = len(features)
+    means, stds, mixed = row["moments"][:m], row["moments"][m : 2 * m], row["moments"][2 * m :]
+    spread = np.diag(np.square(stds))
+    for (i, j), value in zip(pairs, mixed):
+        spread[i, j] = spread[j, i] = value
+    return Scaler.of(features, means, stds), spread
+
+
+def _components(features: tuple[str, ...], means: Sequence[float], spread: np.ndarray, count: int) -> Components:
+    """Eigenvectors of a small matrix; the largest loading of each is positive."""
+    values, vectors = np.linalg.eigh(spread)
+    order = np.argsort(-values, kind="stable")[: min(count, len(features))]
+    loadings = [vectors[:, c] * (1 if vectors[np.argmax(np.abs(vectors[:, c])), c] >= 0 else -1) for c in order]
+    kept = [max(float(values[c]), 0.0) for c in order]
+    total = sum(kept)
+    shares = tuple(v / total if total > 0 else 0.0 for v in kept)
+    return Components(features, tuple(means), tuple(tuple(float(w) for w in x) for x in loadings), shares)

@@ -2,30 +2,33 @@
 
 Every point needs its distance to every other one, so the work is quadratic in
 the number of distinct points; no row per pair is ever produced. Equal points
-are combined first. The distinct points are spread over blocks of bounded size
-by hash, and each task gets two blocks and returns, per point, one sum of
-distances per cluster.
-
-For inputs with too many distinct points for that, `step` snaps every
-coordinate to a grid of that width before equal points are combined. All rows
-still count, and no distance is off by more than step * sqrt(dimensions).
+are combined first. The distinct points are spread over blocks by hash, as
+large as a task's memory allows, and each task gets two blocks and returns, per
+point and cluster, one sum of distances. What is computed doesn't depend on the
+number of rows: the caller names the measure.
+
+With a `step` every coordinate is snapped to a grid of that width before equal
+points are combined, which is another measure: all rows still count, and no
+distance is off by more than step * sqrt(dimensions).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sqltext import name_sql, number_sql
-from tessera.operators.clustering import MAX_CENTERS, vectorized
+from tessera.operators.clustering import vectorized
 from tessera.session import shared_folder
 
-BLOCK_ROWS = 2000
+#: Coordinates of a block in bytes; rows of a block follow from the number of features.
+BLOCK_BYTES = 8 << 20
 
 
 def distinct_points(df: DataFrame, label: str, features: Sequence[str], step: float | None = None) -> DataFrame:
@@ -39,27 +42,16 @@ def distinct_points(df: DataFrame, label: str, features: Sequence[str], step: fl
     return df.groupBy(point.alias("point"), F.col(label).alias("label")).agg(F.count("*").alias("weight"))
 
 
-def _sums(size: int):
+def _sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Task code: distances between two blocks, summed per point and cluster."""
-    names = ["pid", "cluster", "weight", *[f"s{c}" for c in range(size)]]
-
-    def members(block: pd.DataFrame) -> np.ndarray:
-        table = np.zeros((len(block), size))
-        table[np.arange(len(block)), block["cluster"].to_numpy()] = block["weight"].to_numpy()
-        return table
-
-    def result(block: pd.DataFrame, sums: np.ndarray) -> pd.DataFrame:
-        kept = block[["pid", "cluster", "weight"]].reset_index(drop=True)
-        return pd.concat([kept, pd.DataFrame(sums, columns=names[3:])], axis=1)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = key
-        a, b = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame(columns=names)
+    low, high = key
+    a, b = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
+    parts = []
+    if len(a) and len(b):
         left, right = np.vstack(a["point"].to_numpy()), np.vstack(b["point"].to_numpy())
-        of_a, of_b = members(a), members(b)
-        to_a, to_b = np.zeros((len(a), size)), np.zeros((len(b), size))
+        clusters_a, of_a = _members(a)
+        clusters_b, of_b = _members(b)
+        to_a, to_b = np.zeros((len(a), len(clusters_b))), np.zeros((len(b), len(clusters_a)))
         # a few rows at a time, so that the distances stay in the processor's cache
         for start in range(0, len(left), 128):
             part = slice(start, start + 128)
@@ -71,77 +63,79 @@ def _sums(size: int):
             dist = np.sqrt(squared, out=squared)
             to_a[part] = dist @ of_b
             to_b += dist.T @ of_a[part]
-        if low == high:
-            return result(a, to_a)
-        return pd.concat([result(a, to_a), result(b, to_b)])
-
-    return run
+        parts = [(a, clusters_b, to_a)] if low == high else [(a, clusters_b, to_a), (b, clusters_a, to_b)]
+    rows = [
+        pd.DataFrame(
+            {
+                "pid": np.repeat(block["pid"].to_numpy(), len(clusters)),
+                "other": np.tile(clusters, len(block)),
+                "total": sums.ravel(),
+            }
+        )
+        for block, clusters, sums in parts
+    ]
+    return pd.concat(rows) if rows else pd.DataFrame({"pid": [], "other": [], "total": []}).astype({"pid": "int64", "other": "int64"})
+
+
+def _members(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters of a block and each row's weight under its own."""
+    clusters, place = np.unique(block["cluster"].to_numpy(), return_inverse=True)
+    table = np.zeros((len(block), len(clusters)))
+    table[np.arange(len(block)), place] = block["weight"].to_numpy()
+    return clusters, table
 
 
 def silhouette_points(
-    df: DataFrame, label: str, features: Sequence[str], step: float | None = None, block_rows: int = BLOCK_ROWS
+    df: DataFrame, label: str, features: Sequence[str], step: float | None = None, block_rows: int | None = None
 ) -> DataFrame:
-    """cluster, weight, score: the silhouette of every distinct point."""
+    """cluster, weight, score: the silhouette of every distinct point. Clusters are numbered in the labels' order."""
     spark = df.sparkSession
     shared_folder(spark)
     points = distinct_points(df, label, features, step)
     # ids must survive a lost executor, so they are written before use
     points = points.withColumn("pid", F.monotonically_increasing_id()).checkpoint()
-    sizes = points.groupBy("label").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).limit(MAX_CENTERS + 1)
-    sizes = sorted(((r["label"], r["n"], r["rows"]) for r in sizes.collect()), key=lambda r: r[0])
-    if not sizes:
+    count = points.count()
+    if not count:
         raise ValueError("Dataset is empty")
-    if len(sizes) > MAX_CENTERS:
-        raise ValueError(f"more than {MAX_CENTERS} clusters")
-    k = len(sizes)
-    index = F.create_map(*[part for i, (name, _, _) in enumerate(sizes) for part in (F.lit(name), F.lit(i))])
-    blocks = max(1, -(-sum(rows for _, _, rows in sizes) // block_rows))
-    spread = points.select(
-        "pid",
-        "point",
-        "weight",
-        F.element_at(index, F.col("label")).alias("cluster"),
-        F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("block"),
+    # one row per label
+    sizes = points.groupBy("label").agg(F.sum("weight").alias("n"))
+    sizes = sizes.select("label", "n", F.row_number().over(Window.orderBy("label")).cast("long").alias("cluster"))
+    most = block_rows or max(1, BLOCK_BYTES // (8 * len(features)))
+    parallel = spark.sparkContext.defaultParallelism
+    # blocks fill a task's memory, but there are at least as many pairs of blocks as cores
+    blocks = max(math.ceil(count / most), min(math.ceil(math.sqrt(2 * parallel)), math.ceil(count / 500)))
+    spread = points.join(sizes, points["label"].eqNullSafe(sizes["label"])).select(
+        "pid", "point", "weight", "cluster", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("block")
     )
     # every unordered pair of blocks is one cell; each block goes to all cells it is part of
     cells = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", "pid", "point", "cluster", "weight",
     )
-    tasks = max(spark.sparkContext.defaultParallelism, min(blocks * (blocks + 1) // 2, 100_000))
-    schema = "pid LONG, cluster INT, weight LONG, " + ", ".join(f"s{c} DOUBLE" for c in range(k))
-    partial = cells.repartition(tasks, "low", "high").groupBy("low", "high").applyInPandas(_sums(k), schema)
-    total = partial.groupBy("pid", "cluster", "weight").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(k)])
-    counts = F.array(*[F.lit(int(n)) for _, n, _ in sizes])
-    sums = F.array(*[f"s{c}" for c in range(k)])
-    own = F.get(counts, F.col("cluster"))
-    a = F.when(own > 1, F.get(sums, F.col("cluster")) / (own - 1)).otherwise(F.lit(0.0))
-    means = F.zip_with(sums, counts, lambda s, n: s / n)
-    others = F.filter(means, lambda _, i: i != F.col("cluster"))
-    b = F.coalesce(F.array_min(others), F.lit(0.0))
-    scored = total.select("cluster", "weight", a.alias("a"), b.alias("b"))
-    larger = F.greatest("a", "b")
-    score = F.lit(0.0) if k < 2 else F.when(larger == 0, 0.0).otherwise((F.col("b") - F.col("a")) / larger)
-    return scored.select("cluster", "weight", score.alias("score"))
+    tasks = max(parallel, min(blocks * (blocks + 1) // 2, parallel * blocks))
+    sums = cells.repartition(tasks, "low", "high").groupBy("low", "high").applyInPandas(_sums, "pid LONG, other LONG, total DOUBLE")
+    sums = sums.groupBy("pid", "other").agg(F.sum("total").alias("total"))
+    whole = sums.join(sizes.select(F.col("cluster").alias("other"), "n"), "other").join(spread.select("pid", "cluster", "weight"), "pid")
+    own = F.col("other") == F.col("cluster")
+    measured = whole.groupBy("pid", "cluster", "weight").agg(
+        F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
+    )
+    near, far = F.coalesce("a", F.lit(0.0)), F.col("b")
+    larger = F.greatest(near, far)
+    # without another cluster there is nothing to compare with
+    score = F.when(far.isNull() | (larger == 0), 0.0).otherwise((far - near) / larger)
+    return measured.select("cluster", "weight", score.alias("score"))
 
 
 def silhouette(df: DataFrame, label: str, features: Sequence[str], step: float | None = None) -> DataFrame:
-    """One row: silhouette, points. Exact unless a step is given."""
+    """One row: silhouette, points. Exact at any size unless a step is given."""
     return silhouette_points(df, label, features, step).agg(
         (F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("silhouette"),
         F.sum("weight").alias("points"),
     )
 
 
-def usable_step(df: DataFrame, label: str, features: Sequence[str], limit: int, first: float = 0.01) -> float | None:
-    """None if the distinct points are few enough for exact work, else the finest step that makes them so."""
-    steps = (None, *(first * 2**i for i in range(40)))
-    for step in steps:
-        if distinct_points(df, label, features, step).count() <= limit:
-            return step
-    raise ValueError(f"no grid leaves {limit} distinct points")
-
-
 def silhouette_squared(df: DataFrame, label: str, features: Sequence[str]) -> float:
     """The other common silhouette, on squared distances: linear in the rows, a different number."""
     vectors = vectorized(df, features, [label]).withColumn("_prediction", F.col(label).cast("double"))

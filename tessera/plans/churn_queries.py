@@ -345,10 +345,14 @@ def json_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("event_id", F.coalesce("a.k", F.lit(-1)).alias("k"), F.col("a.broken").isNull().alias("readable"))
 
 
-STORE_SQL = f"""WITH {RFM}, {GAPS}, {ACTIVE}, {TIERS},
+# features know the orders made and the lines shipped before the snapshot; the label alone knows later orders
+EARLIER = f"""earlier AS (SELECT * FROM orders WHERE o_orderdate < {SNAP}),
+shipped AS (SELECT * FROM lineitem JOIN earlier ON l_orderkey = o_orderkey WHERE l_shipdate < {SNAP})"""
+
+STORE_SQL = f"""WITH {EARLIER}, {RFM.replace('FROM orders', 'FROM earlier')}, {GAPS.replace('FROM orders', 'FROM earlier')}, {ACTIVE}, {TIERS},
 gap_stats AS (SELECT o_custkey AS gk, {r('avg(gap)', 4)} AS avg_gap, {r('stddev_samp(gap)', 4)} AS sd_gap FROM gaps GROUP BY o_custkey),
 items AS (SELECT o_custkey AS ik, {RETURNED_YEAR} AS returns_last_12m, {RETURNED_SHARE} AS returns_rate,
-  count(DISTINCT p_type) AS types, count(DISTINCT p_brand) AS brands {BOUGHT} LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_custkey)
+  count(DISTINCT p_type) AS types, count(DISTINCT p_brand) AS brands FROM shipped LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_custkey)
 SELECT customer.c_custkey AS customer_id, '{RETAIL_SNAPSHOT}' AS model_snapshot_date,
   CAST(date_diff('day', first_day, {SNAP}) AS INTEGER) AS tenure_days,
   CAST(floor(date_diff('day', first_day, {SNAP}) / 365) AS INTEGER) AS tenure_years,
@@ -386,25 +390,27 @@ INSIDE = {n: f"ts >= {A_SNAP} - {n} AND ts < {A_SNAP}" for n in (7, 14)}
 @query(f"""WITH e AS (SELECT *, CAST(ts AS DATE) AS d, {CREDIT_SQL} AS credit, CAST(value AS DECIMAL(18,2)) AS v,
   coalesce(CAST(json_extract(props, '$.k') AS INTEGER) >= 50, false) AS outside,
   lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+b AS (SELECT * FROM e WHERE ts < {A_SNAP}),
 numbered AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 30 MINUTES THEN 1 ELSE 0 END)
-  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e),
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM b),
 visits AS (SELECT user_id, session, min(ts) AS started, max(ts) AS ended FROM numbered GROUP BY user_id, session),
 per_visit AS (SELECT user_id AS vu, {', '.join(f"count(*) FILTER (WHERE {c.replace('ts ', 'started ')}) AS app_sessions_last_{n}d" for n, c in INSIDE.items())},
-  {r("avg(CASE WHEN started < " + A_SNAP + " THEN (epoch_us(ended) - epoch_us(started)) / 60e6 END)", 4)} AS avg_session_duration_mins FROM visits GROUP BY user_id),
-per_user AS (SELECT user_id,
+  {r("avg((epoch_us(ended) - epoch_us(started)) / 60e6)", 4)} AS avg_session_duration_mins FROM visits GROUP BY user_id),
+users AS (SELECT user_id, CAST(count(*) FILTER (WHERE d >= {A_SNAP} AND d < {A_SNAP} + 1) = 0 AS INTEGER) AS churn_label FROM e GROUP BY user_id),
+per_user AS (SELECT user_id AS bu,
   CAST(date_diff('day', min(d), {A_SNAP}) AS INTEGER) AS tenure_days, CAST(date_diff('day', max(d), {A_SNAP}) AS INTEGER) AS days_since_last_activity,
   CAST(date_diff('day', max(CASE WHEN event_type = 'purchase' THEN d END), {A_SNAP}) AS INTEGER) AS days_since_last_transaction,
   {', '.join(f"count(*) FILTER (WHERE {c}) AS events_last_{n}d, count(DISTINCT CASE WHEN {c} THEN d END) AS days_active_last_{n}d, count(*) FILTER (WHERE {c} AND event_type = 'error') AS failed_last_{n}d" for n, c in INSIDE.items())},
   {', '.join(f"CAST(sum(CASE WHEN {c} THEN CASE WHEN credit THEN v ELSE -v END ELSE 0 END) AS DOUBLE) AS balance_trend_{n}d" for n, c in INSIDE.items())},
   CAST(sum(CASE WHEN credit THEN 0 ELSE v END) AS DOUBLE) AS debit, CAST(sum(CASE WHEN NOT credit AND outside THEN v ELSE 0 END) AS DOUBLE) AS ext,
-  CAST(max(CASE WHEN NOT credit AND outside AND value > 100 THEN 1 ELSE 0 END) AS INTEGER) AS large_external_transfer_flag,
-  CAST(count(*) FILTER (WHERE d >= {A_SNAP} AND d < {A_SNAP} + 1) = 0 AS INTEGER) AS churn_label FROM e GROUP BY user_id)
+  CAST(max(CASE WHEN NOT credit AND outside AND value > 100 THEN 1 ELSE 0 END) AS INTEGER) AS large_external_transfer_flag FROM b GROUP BY user_id)
 SELECT user_id, '{ACTIVITY_SNAPSHOT}' AS model_snapshot_date, tenure_days, days_since_last_activity, days_since_last_transaction,
-  {', '.join(f"events_last_{n}d, days_active_last_{n}d, failed_last_{n}d, balance_trend_{n}d, app_sessions_last_{n}d" for n in INSIDE)},
-  avg_session_duration_mins, CASE WHEN debit > 0 THEN round(ext / debit, 4) END AS external_transfer_ratio, large_external_transfer_flag,
+  {', '.join(f"coalesce(events_last_{n}d, 0) AS events_last_{n}d, coalesce(days_active_last_{n}d, 0) AS days_active_last_{n}d, coalesce(failed_last_{n}d, 0) AS failed_last_{n}d, coalesce(balance_trend_{n}d, 0) AS balance_trend_{n}d, coalesce(app_sessions_last_{n}d, 0) AS app_sessions_last_{n}d" for n in INSIDE)},
+  avg_session_duration_mins, CASE WHEN debit > 0 THEN round(ext / debit, 4) END AS external_transfer_ratio,
+  coalesce(large_external_transfer_flag, 0) AS large_external_transfer_flag,
   churn_label, {r("0.20 + 0.80 * 0.6 / (1 + exp(-0.02 * (days_since_last_activity - 60)))", 6)} AS churn_propensity,
   CAST(14 AS INTEGER) AS observation_window_days, CAST(1 AS INTEGER) AS prediction_window_days
-FROM per_user JOIN per_visit ON vu = user_id""")
+FROM users LEFT JOIN per_user ON bu = user_id LEFT JOIN per_visit ON vu = user_id""")
 def activity_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     external = F.get_json_object("props", "$.k").cast("int") >= 50
     features = activity_features(

@@ -31,17 +31,23 @@ from tessera.operators.sequences import daily, sessions
 
 
 def order_features(orders: DataFrame, snapshot: str, window_days: int) -> DataFrame:
-    """Everything that comes from orders, out of one scan and one row per customer and day."""
+    """Everything that comes from orders, out of one scan and one row per customer and day.
+
+    Features are of the days before the snapshot, the label is of the window
+    after it; no feature sees what the label is made of.
+    """
+    before = F.col("day") < F.lit(snapshot).cast("date")
     days = daily(
         orders, "o_custkey", F.col("o_orderdate"), F.count("*").alias("n"), F.sum(money(F.col("o_totalprice"))).alias("spend")
     )
     by_day = Window.partitionBy("o_custkey").orderBy("day")
     gap = F.datediff("day", F.lag("day").over(by_day)).cast("long")
     label = (F.count_if(in_window(F.col("day"), snapshot, 0, window_days)) == 0).cast("int")
+    known = {c: F.when(before, F.col(c)) for c in ("day", "n", "spend", "gap")}
     sums = days.withColumn("gap", gap).groupBy("o_custkey").agg(
-        *rfm_aggregates(F.col("day"), F.col("n"), F.col("spend"), snapshot),
-        F.coalesce(F.sum("gap"), F.lit(0)).alias("_gap_sum"),
-        F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("_gap_squares"),
+        *rfm_aggregates(known["day"], known["n"], known["spend"], snapshot),
+        F.coalesce(F.sum(known["gap"]), F.lit(0)).alias("_gap_sum"),
+        F.coalesce(F.sum(known["gap"] * known["gap"]), F.lit(0)).alias("_gap_squares"),
         label.alias("churn_label"),
     )
     n = F.col("total_orders") - 1
@@ -66,12 +72,13 @@ def churn_features(
 ) -> DataFrame:
     """One row per customer: recency, frequency, spend, trends, gaps, returns, breadth, label.
 
-    Recency and lifetime columns use all orders given, also those after the
-    snapshot; hand in earlier orders only to train without looking ahead.
+    Features come from what was ordered and shipped before the snapshot, the
+    label from the orders in the window after it.
     """
-    from_orders = order_features(orders, snapshot, window_days)
-    from_lines = returns_and_breadth(line_rollup(lines, orders, snapshot), parts).withColumnRenamed("o_custkey", "_line_key")
     day = F.lit(snapshot).cast("date")
+    from_orders = order_features(orders, snapshot, window_days)
+    rollup = line_rollup(lines.where(F.col("l_shipdate") < day), orders.where(F.col("o_orderdate") < day), snapshot)
+    from_lines = returns_and_breadth(rollup, parts).withColumnRenamed("o_custkey", "_line_key")
     zero = F.lit(0)
     joined = customers.join(from_orders, F.col("c_custkey") == F.col("o_custkey"), "left").join(
         from_lines, F.col("c_custkey") == F.col("_line_key"), "left"
@@ -96,7 +103,7 @@ def churn_features(
         F.coalesce(trends["avg_order_value_last_90d"], F.lit(0.0)).alias("avg_order_value_last_90d"),
         trends["spend_trend_30_vs_90"].alias("spend_trend_30_vs_90"),
         trends["order_freq_trend_90_vs_365"].alias("order_freq_trend_90_vs_365"),
-        present_flag(F.col("o_custkey")).alias("has_ordered"),
+        present_flag(F.col("first_purchase_date")).alias("has_ordered"),
         F.coalesce("returns_last_12m", zero).cast("long").alias("returns_last_12m"),
         "returns_rate",
         F.coalesce("distinct_categories_purchased", zero).cast("long").alias("distinct_categories_purchased"),
@@ -129,7 +136,8 @@ def activity_features(
 ) -> DataFrame:
     """One row per user: recency, engagement, sessions, failures, flows, label.
 
-    Events are combined per user and day, and per user and half hour for the
+    Features are of the days before the snapshot, the label is of the window
+    after it. Users who came later have features without a value. Events are combined per user and day, and per user and half hour for the
     sessions, before anything is gathered per user.
     """
     day = F.lit(snapshot).cast("date")
@@ -138,6 +146,7 @@ def activity_features(
     value = money(F.col(amount))
     none = zero.cast("decimal(18,2)")
     outside = F.coalesce(external, F.lit(False))
+    before = F.col("day") < day
     days = daily(
         events, key, F.col(at),
         F.count("*").alias("n"),
@@ -158,28 +167,29 @@ def activity_features(
             F.sum(F.when(inside, F.col("net")).otherwise(none)).cast("double").alias(f"balance_trend_{n}d"),
         ]
     per_user = days.groupBy(key).agg(
-        F.datediff(day, F.min("day")).alias("tenure_days"),
-        F.datediff(day, F.max("day")).alias("days_since_last_activity"),
-        F.datediff(day, F.max(F.when(F.col("bought") > 0, F.col("day")))).alias("days_since_last_transaction"),
+        F.datediff(day, F.min(F.when(before, F.col("day")))).alias("tenure_days"),
+        F.datediff(day, F.max(F.when(before, F.col("day")))).alias("days_since_last_activity"),
+        F.datediff(day, F.max(F.when(before & (F.col("bought") > 0), F.col("day")))).alias("days_since_last_transaction"),
         *columns,
-        F.sum("debit").cast("double").alias("_debit"),
-        F.sum("external").cast("double").alias("_external"),
-        F.max("large").alias("large_external_transfer_flag"),
+        F.sum(F.when(before, F.col("debit"))).cast("double").alias("_debit"),
+        F.sum(F.when(before, F.col("external"))).cast("double").alias("_external"),
+        F.coalesce(F.max(F.when(before, F.col("large"))), zero).alias("large_external_transfer_flag"),
         (F.count_if(in_window(F.col("day"), snapshot, 0, window_days)) == 0).cast("int").alias("churn_label"),
     )
     length = (F.unix_micros("ended") - F.unix_micros("started")) / F.lit(60e6)
-    visits = sessions(events, key, at).groupBy(F.col(key).alias("_visitor")).agg(
+    visits = sessions(events.where(F.col(at) < day), key, at).groupBy(F.col(key).alias("_visitor")).agg(
         *[F.count_if(in_window(F.col("started"), snapshot, -n)).alias(f"app_sessions_last_{n}d") for n in windows],
-        F.avg(F.when(F.col("started") < day, length)).alias("avg_session_duration_mins"),
+        F.avg(length).alias("avg_session_duration_mins"),
     )
     propensity = churn_propensity(F.col("days_since_last_activity").cast("double"), base_rate)
-    return per_user.join(visits, F.col(key) == F.col("_visitor")).select(
+    return per_user.join(visits, F.col(key) == F.col("_visitor"), "left").select(
         key,
         day.alias("model_snapshot_date"),
         "tenure_days",
         "days_since_last_activity",
         "days_since_last_transaction",
-        *[f"{c}{n}d" for n in windows for c in ("events_last_", "days_active_last_", "failed_last_", "balance_trend_", "app_sessions_last_")],
+        *[f"{c}{n}d" for n in windows for c in ("events_last_", "days_active_last_", "failed_last_", "balance_trend_")],
+        *[F.coalesce(f"app_sessions_last_{n}d", zero).cast("long").alias(f"app_sessions_last_{n}d") for n in windows],
         "avg_session_duration_mins",
         safe_ratio(F.col("_external"), F.col("_debit"), 4).alias("external_transfer_ratio"),
         "large_external_transfer_flag",

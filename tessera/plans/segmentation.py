@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
 from tessera.operators import quality
-from tessera.operators.clustering import fit_best, vectorized
-from tessera.operators.features import Scaler, feature_matrix, fit_scaler
-from tessera.operators.reduction import Components, fit_components
-from tessera.operators.silhouette import silhouette, usable_step
+from tessera.operators.clustering import Centers, assign, best_from, fit_best, vectorized
+from tessera.operators.features import Scaler, feature_matrix
+from tessera.operators.reduction import Components, fit_scaled_components
+from tessera.operators.silhouette import silhouette, silhouette_squared
 from tessera.session import shared_folder
 
 
@@ -43,53 +43,66 @@ def segment(
     features: Sequence[str],
     k: int = fixed.DEFAULT_K,
     seeds: Sequence[int] = fixed.SEEDS,
-    exact_points: int = 200_000,
+    measure: str | None = "exact",
+    step: float | None = None,
+    starts: Callable[[DataFrame], Sequence[Centers]] | None = None,
+    rounds: int = fixed.MAX_ROUNDS,
+    min_rows: int = fixed.MIN_ROWS,
 ) -> SegmentResult:
     """Segments rows by k-means on standardised features.
 
-    The restarts share one written and cached copy of the scaled vectors. The
-    silhouette is exact up to `exact_points` distinct points; beyond that, all
-    rows still count but coordinates are snapped to a grid, whose width is
-    reported as silhouette_step.
+    The restarts share one written and cached copy of the scaled vectors, from
+    random centres by seed, or from those that `starts` makes of the scaled
+    rows (row id and features). measure names the silhouette: "exact", which
+    takes work quadratic in the distinct points, "grid" with a step, "squared",
+    which is linear, or None. It is the same at any number of rows.
     """
     features = list(features)
     if len(features) < 2:
         raise ValueError("at least 2 features are needed")
     if not fixed.MIN_K <= k <= fixed.MAX_K:
         raise ValueError(f"k must be between {fixed.MIN_K} and {fixed.MAX_K}")
+    if measure not in ("exact", "grid", "squared", None) or (measure == "grid") != (step is not None):
+        raise ValueError('the measure is "exact", "grid" with a step, "squared" or None')
     spark = df.sparkSession
     shared_folder(spark)
     matrix = feature_matrix(df, features, [row_id]).persist(StorageLevel.MEMORY_AND_DISK)
-    scaler = fit_scaler(matrix, features)
+    if matrix.limit(min_rows).count() < min_rows:
+        raise ValueError(f"at least {min_rows} rows are needed")
+    scaler, components = fit_scaled_components(matrix, features)
     scaled = scaler.transform(matrix, [row_id]).checkpoint()
     matrix.unpersist()
-    components = fit_components(scaled, features, standardized=True)
-    vectors = vectorized(scaled, features, [row_id]).persist(StorageLevel.MEMORY_AND_DISK)
-    model, runs = fit_best(vectors, k, seeds)
-    given = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    predicted = model.transform(vectors).select(row_id, vector_to_array("vector").alias("_v"), "prediction")
-    labelled = predicted.select(row_id, "prediction", *[F.get("_v", F.lit(i)).alias(f) for i, f in enumerate(features)])
-    labelled = labelled.checkpoint()
-    vectors.unpersist()
+    if starts is None:
+        vectors = vectorized(scaled, features, [row_id]).persist(StorageLevel.MEMORY_AND_DISK)
+        model, runs = fit_best(vectors, k, seeds)
+        given = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+        predicted = model.transform(vectors).select(row_id, vector_to_array("vector").alias("_v"), "prediction")
+        labelled = predicted.select(row_id, "prediction", *[F.get("_v", F.lit(i)).alias(f) for i, f in enumerate(features)])
+        labelled = labelled.checkpoint()
+        vectors.unpersist()
+    else:
+        given, runs = best_from(scaled, features, starts(scaled), rounds)
+        labelled = assign(scaled, features, given, [row_id, *features]).drop("squared").checkpoint()
     labels = components.transform(labelled, [row_id, "prediction"])
     stats = quality.cluster_stats(labelled, "prediction", features, given, k)
-    step = usable_step(labelled, "prediction", features, exact_points)
-    measures = silhouette(labelled, "prediction", features, step)
+    if measure in ("exact", "grid"):
+        measures = silhouette(labelled, "prediction", features, step)
+    else:
+        value = silhouette_squared(labelled, "prediction", features) if measure else None
+        measures = labelled.agg(F.lit(value).cast("double").alias("silhouette"), F.count("*").alias("points"))
     shares = F.array(*[F.lit(s) for s in components.shares])
     metrics = measures.select(
         F.col("points").alias("rows"),
         F.lit(k).alias("num_clusters"),
         F.lit(min(cost for _, cost in runs)).alias("inertia"),
         F.col("silhouette"),
-        F.lit(step or 0.0).alias("silhouette_step"),
+        F.lit(measure).cast("string").alias("silhouette_measure"),
         shares.alias("pca_variance_explained"),
     )
     importance = quality.feature_importance(labelled, "prediction", features)
     return SegmentResult(labels, stats, importance, metrics, scaler, components, tuple(runs))
 
 
-
-
 def run_record(
     result: SegmentResult,
     described: DataFrame,

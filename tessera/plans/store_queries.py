@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import number_text
 from tessera.functions.scalars import money
+from tessera.operators.ranking import global_rank
 from tessera.plans.registry import query
 from tessera.session import scratch_path
 from tessera.sources import csv_files, json_files
-from tessera.sources.run_store import RunStore
+from tessera.sources.run_store import DuplicateRun, RunStore
 from tessera.sources.tables import table
 
 ONE_RUN = "run-1998-07"
@@ -92,16 +94,18 @@ def _shown(runs: DataFrame) -> DataFrame:
 def run_append(spark: SparkSession, sf: str) -> DataFrame:
     store = _saved(spark, sf)
     # known ids are refused, so the second append changes nothing
-    store.append(monthly_runs(spark, sf).withColumn("file_name", F.lit("again.csv")))
-    return _shown(store.list())
+    try:
+        store.append(monthly_runs(spark, sf).withColumn("file_name", F.lit("again.csv")))
+    except DuplicateRun:
+        return _shown(store.list())
+    raise AssertionError("an id was stored twice")
 
 
-@query(f"WITH {RUNS} SELECT {RUN_COLUMNS}, CAST(row_number() OVER (ORDER BY created_at DESC) AS INTEGER) AS place FROM runs ORDER BY created_at DESC")
+@query(f"WITH {RUNS} SELECT {RUN_COLUMNS}, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS INTEGER) AS place FROM runs ORDER BY created_at DESC")
 def run_list(spark: SparkSession, sf: str) -> DataFrame:
     listed = _saved(spark, sf).list()
-    # runs, not rows: the list has one row per saved run
-    places = listed.agg(F.sort_array(F.collect_list("created_at"), asc=False)).scalar()
-    return _shown(listed.withColumn("place", F.array_position(places, F.col("created_at")).cast("int")))
+    ranked = global_rank(listed, F.desc("created_at"), F.col("id"))
+    return _shown(ranked.withColumn("place", F.col("rank").cast("int")).drop("rank", "total"))
 
 
 @query(f"WITH {RUNS} SELECT {RUN_COLUMNS} FROM runs WHERE id = '{ONE_RUN}'")
@@ -115,3 +119,24 @@ def run_delete(spark: SparkSession, sf: str) -> DataFrame:
     store = _saved(spark, sf)
     store.delete(ONE_RUN)
     return _shown(store.list())
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS row_id, CAST(o_orderkey % 5 AS INTEGER) AS prediction, '{ONE_RUN}' AS id FROM orders""")
+def run_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of all orders for one run, saved twice: the second ones replace the first; another run's are deleted with it."""
+    store = _saved(spark, sf)
+    orders = table(spark, sf, "orders")
+    store.save_labels(ONE_RUN, orders.select("o_orderkey", F.lit(9).alias("prediction")), "o_orderkey")
+    store.save_labels("run-1998-06", orders.select("o_orderkey", F.lit(8).alias("prediction")), "o_orderkey")
+    store.save_labels(ONE_RUN, orders.select("o_orderkey", (F.col("o_orderkey") % 5).alias("prediction")), "o_orderkey")
+    store.delete("run-1998-06")
+    return store.labels(ONE_RUN).union(store.labels("run-1998-06"))
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_partkey AS VARCHAR) AS text, '0.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS small
+FROM part WHERE p_partkey % 10 <> 0""")
+def number_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Doubles as plain text, down to millionths."""
+    parts = table(spark, sf, "part").where(F.col("p_partkey") % 10 != 0)
+    value = F.col("p_partkey").cast("double")
+    return parts.select("p_partkey", number_text(value).alias("text"), number_text(value / F.lit(1e6)).alias("small"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,15 +31,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by spark.checkpoint.dir.
+    """The folder every executor can reach, from the session's settings.
 
-    Only a local session that names none gets one of its own.
+    spark.checkpoint.dir names it. Only a local session that names none, as in
+    tests, takes one below its warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tessera-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base

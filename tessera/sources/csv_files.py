@@ -8,19 +8,25 @@ from pyspark.sql import types as T
 
 from tessera.functions.numbers import number_text, trimmed
 
+
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Text columns, trimmed; rows with a cell too few or too many are left out.
 
     Numbers are read from the text later, cell by cell. Quoted commas stay, a
-    doubled quote becomes one. Pruning is off for the parser because it would
-    skip the count of cells, and with it the check of the rows.
+    doubled quote becomes one. Every file's header is held against the columns,
+    and a file that has them in another order, or others, is an error. Pruning
+    is off for the parser because it would skip the count of cells, and with it
+    the check of the rows.
     """
-    columns = columns or read_header(spark, path)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(columns))])
+    raw_names = read_header(spark, path)
+    columns = columns or [c.strip() for c in raw_names]
+    if len(columns) != len(raw_names):
+        raise ValueError(f"{len(columns)} names for {len(raw_names)} columns")
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in raw_names])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
         .option("mode", "DROPMALFORMED")
         .option("columnPruning", False)
         .option("ignoreLeadingWhiteSpace", True)
@@ -28,16 +34,20 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
+        .toDF(*[f"_c{i}" for i in range(len(columns))])
     )
     return raw.select(*[F.coalesce(trimmed(F.col(f"_c{i}")), F.lit("")).alias(name) for i, name in enumerate(columns)])
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first line; a file without a data row is an error."""
-    shown = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Column names of the first line of one file; a folder without a data row is an error."""
+    shown = (
+        spark.read.option("header", True).option("quote", '"').option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    )
     if not shown.columns or shown.isEmpty():
-        raise ValueError("CSV must have at least a header and one data row")
-    return [c.strip() for c in shown.columns]
+        raise ValueError("a header and a row of data are needed")
+    return shown.columns
 
 
 def flatten(df: DataFrame, text: bool = True) -> DataFrame:

@@ -37,7 +37,9 @@ def test_dates_are_years_only_when_lenient(spark):
 
 @pytest.mark.parametrize(
     "number, text",
-    [(5.0, "5"), (-0.0, "0"), (1863.84, "1863.84"), (1e7, "10000000"), (12345678.9, "12345678.9"), (0.001, "0.001"), (-2.5, "-2.5"), (100.0, "100")],
+    [(5.0, "5"), (-0.0, "0"), (1863.84, "1863.84"), (1e7, "10000000"), (12345678.9, "12345678.9"), (0.001, "0.001"), (-2.5, "-2.5"), (100.0, "100"),
+     (0.0005, "0.0005"), (1e-6, "0.000001"), (-1.25e-5, "-0.0000125"), (1e-7, "1e-7"), (1.5e-7, "1.5e-7"), (1e20, "100000000000000000000"),
+     (1.2345e20, "123450000000000000000"), (1e21, "1e+21"), (-1.5e300, "-1.5e+300"), (123456789.125, "123456789.125"), (5e-324, "4.9e-324")],
 )
 def test_number_text(spark, number, text):
     df = spark.createDataFrame([(number,)], "v DOUBLE")

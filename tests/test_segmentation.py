@@ -47,7 +47,7 @@ def test_segment_finds_separate_groups(spark):
     clusters = result.clusters.collect()
     assert sum(c["size"] for c in clusters) == 25 and len(clusters) == 5
     metrics = result.metrics.first()
-    assert metrics["rows"] == 25 and metrics["silhouette"] > 0.8 and metrics["silhouette_step"] == 0.0
+    assert metrics["rows"] == 25 and metrics["silhouette"] > 0.8 and metrics["silhouette_measure"] == "exact"
     assert sum(metrics["pca_variance_explained"]) == pytest.approx(1.0)
     assert metrics["inertia"] == min(cost for _, cost in result.runs) and len(result.runs) == 5
     assert max(r["importance"] for r in result.importance.collect()) == 1.0
@@ -82,7 +82,7 @@ def test_segment_checks_its_arguments(spark):
 
 def test_more_clusters_than_points(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 5.0, 5.0)], "id INT, a DOUBLE, b DOUBLE")
-    clusters = segment(df, "id", ["a", "b"], k=4).clusters.collect()
+    clusters = segment(df, "id", ["a", "b"], k=4, min_rows=1).clusters.collect()
     assert sorted(c["id"] for c in clusters) == [0, 1, 2, 3]
     assert sum(c["size"] for c in clusters) == 3
     assert all(c["avg_distance"] == 0.0 for c in clusters if c["size"] == 0)
@@ -134,17 +134,49 @@ def test_silhouette_of_singletons_and_of_one_cluster(spark):
     assert silhouette.silhouette(points(spark, data, np.array([0, 0])), "label", ["f0"]).first()[0] == 0.0
 
 
-def test_grid_is_only_used_beyond_the_limit(spark):
-    df = points(spark, rng.normal(size=(40, 2)), rng.integers(0, 2, size=40))
-    assert silhouette.usable_step(df, "label", ["f0", "f1"], 40) is None
-    step = silhouette.usable_step(df, "label", ["f0", "f1"], 20)
-    assert step > 0 and silhouette.distinct_points(df, "label", ["f0", "f1"], step).count() <= 20
+def test_the_measure_does_not_depend_on_the_number_of_rows(spark):
+    """Copies of all rows change no mean distance but that of a row to its own copies; more blocks change nothing."""
+    data, labels = rng.normal(size=(700, 2)), rng.integers(0, 3, size=700)
+    once = silhouette.silhouette(points(spark, data, labels), "label", ["f0", "f1"]).first()[0]
+    assert once == pytest.approx(brute_silhouette(data, labels), abs=1e-12)
+    many = silhouette.silhouette_points(points(spark, data, labels), "label", ["f0", "f1"], block_rows=20)
+    assert many.agg(F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).first()[0] == pytest.approx(once, abs=1e-12)
+
+
+def test_measures_of_a_segmentation(spark):
+    df = customers(spark)
+    by_name = {m: segment(df, "id", FEATURES, measure=m, step=0.5 if m == "grid" else None).metrics.first() for m in ("exact", "grid", "squared", None)}
+    assert by_name["exact"]["silhouette"] > 0.8 and by_name["squared"]["silhouette"] > by_name["exact"]["silhouette"]
+    assert by_name[None]["silhouette"] is None and {m: r["silhouette_measure"] for m, r in by_name.items()} == {m: m for m in by_name}
+    with pytest.raises(ValueError):
+        segment(df, "id", FEATURES, measure="grid")
+    with pytest.raises(ValueError):
+        segment(df.limit(9), "id", FEATURES)
+
+
+def test_more_labels_than_a_fit_has(spark):
+    data = rng.normal(size=(1300, 1))
+    labels = np.arange(1300) // 1
+    df = points(spark, data, labels)
+    assert silhouette.silhouette(df, "label", ["f0"]).first()[0] == 1.0
+    stats = quality.cluster_stats(df, "label", ["f0"], clustering.centers(df, "label", ["f0"]))
+    assert stats.count() == 1300 and stats.agg(F.max("avg_distance")).first()[0] == pytest.approx(0.0)
+
+
+def test_fit_from_given_centers(spark):
+    data = np.array([[0.0], [1.0], [10.0], [11.0], [50.0]])
+    df = points(spark, data, np.zeros(5))
+    fit = clustering.fit_from(df, ["f0"], [(0, [0.0]), (1, [10.0])])
+    assert fit == [(0, [5.5]), (1, [50.0])]
+    assert clustering.fit_from(df, ["f0"], [(0, [0.0]), (1, [10.0])], rounds=0) == [(0, [0.0]), (1, [10.0])]
+    best, runs = clustering.best_from(df, ["f0"], [[(0, [0.0]), (1, [1000.0])], [(0, [0.0]), (1, [10.0])]])
+    assert best == fit and runs[1][1] < runs[0][1]
 
 
 def test_importance(spark):
     data = np.array([[0.0, 1.0, 3.0], [0.0, 2.0, 3.0], [4.0, 1.0, 3.0], [4.0, 2.0, 3.0]])
     rows = quality.feature_importance(points(spark, data, np.array([0, 0, 1, 1])), "label", ["f0", "f1", "f2"])
-    assert [tuple(r) for r in quality.top_features(rows, 3).collect()] == [(0, "f0", 1.0), (1, "f1", 0.0), (2, "f2", 0.0)]
+    assert [tuple(r) for r in quality.top_features(rows, 3).collect()] == [(0, "f0", 1.0, 1), (1, "f1", 0.0, 2), (2, "f2", 0.0, 3)]
     none = quality.feature_importance(points(spark, data[:, 2:], np.array([0, 0, 1, 1])), "label", ["f0"])
     assert none.first()["importance"] == 0.0
 
@@ -168,3 +200,21 @@ def test_components(spark):
 def test_one_feature_has_one_component(spark):
     df = points(spark, rng.normal(size=(10, 1)), np.zeros(10))
     assert reduction.fit_components(df, ["f0"]).shares == (1.0,)
+
+
+def test_constant_features_have_no_variance_to_share(spark):
+    df = points(spark, np.array([[3.0, 7.0]] * 12), np.zeros(12))
+    scaler, found = reduction.fit_scaled_components(df, ["f0", "f1"])
+    assert found.shares == (0.0, 0.0) and scaler.stds == (1.0, 1.0)
+    assert reduction.fit_components(df, ["f0", "f1"]).shares == (0.0, 0.0)
+    with pytest.raises(ValueError):
+        reduction.fit_components(df.limit(0), ["f0", "f1"])
+
+
+def test_scaled_components_are_those_of_the_scaled_rows(spark):
+    data = rng.normal(size=(80, 3)) @ rng.normal(size=(3, 3)) + 5
+    df = points(spark, data, np.zeros(80))
+    names = ["f0", "f1", "f2"]
+    scaler, found = reduction.fit_scaled_components(df, names)
+    again = reduction.fit_components(scaler.transform(df), names, standardized=True)
+    assert np.array(found.loadings) == pytest.approx(np.array(again.loadings)) and found.shares == pytest.approx(again.shares)

@@ -1,3 +1,4 @@
+from functools import reduce
 import datetime as dt
 
 import pytest
@@ -7,7 +8,8 @@ from tessera.operators.features import feature_matrix
 from tessera.session import scratch_path, shared_folder
 from tessera.sources.csv_files import flatten, read_csv, write_csv
 from tessera.sources.json_files import read_json, write_json
-from tessera.sources.run_store import RunStore
+from tessera.sources import run_store
+from tessera.sources.run_store import DuplicateRun, RunStore
 
 
 def test_csv_rows_and_quotes(spark, tmp_path):
@@ -23,7 +25,7 @@ def test_csv_rows_and_quotes(spark, tmp_path):
 @pytest.mark.parametrize("text", ["a,b\n", ""])
 def test_csv_without_rows_is_an_error(spark, tmp_path, text):
     (tmp_path / "a.csv").write_text(text)
-    with pytest.raises(ValueError, match="header and one data row"):
+    with pytest.raises(ValueError, match="a header and a row of data"):
         read_csv(spark, str(tmp_path))
 
 
@@ -66,7 +68,9 @@ def test_run_store(spark, tmp_path):
     store = RunStore(spark, str(tmp_path))
     assert store.list().count() == 0 and store.get("r1").count() == 0
     store.append(run(spark, "r1", 1).unionByName(run(spark, "2024-01", 3, features=None)))
-    store.append(run(spark, "r1", 9, file_name="other.csv").unionByName(run(spark, "r2", 2)))
+    with pytest.raises(DuplicateRun, match="r1"):
+        store.append(run(spark, "r1", 9, file_name="other.csv").unionByName(run(spark, "r2", 2)))
+    store.append(run(spark, "r2", 2))
     listed = store.list().collect()
     assert [r["id"] for r in listed] == ["2024-01", "r2", "r1"]
     assert [r["feature_count"] for r in listed] == [0, 2, 2] and listed[2]["file_name"] == "r1.csv"
@@ -79,26 +83,47 @@ def test_run_store(spark, tmp_path):
     assert store.get("r1").first()["created_at"].day == 9
 
 
-def test_one_batch_with_a_repeated_id_keeps_the_earliest(spark, tmp_path):
+def test_an_id_that_comes_twice_is_refused(spark, tmp_path):
     store = RunStore(spark, str(tmp_path))
-    store.append(run(spark, "r", 5).unionByName(run(spark, "r", 4, file_name="first.csv")))
-    assert [r["file_name"] for r in store.list().collect()] == ["first.csv"]
+    with pytest.raises(DuplicateRun):
+        store.append(run(spark, "r", 5).unionByName(run(spark, "r", 4, file_name="first.csv")))
+    assert store.list().count() == 0
 
 
-def test_only_the_partition_of_the_run_is_read(spark, tmp_path):
+def test_runs_share_buckets_and_one_of_them_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(run_store, "BUCKETS", 2)
     store = RunStore(spark, str(tmp_path))
-    store.append(run(spark, "r1", 1).unionByName(run(spark, "r2", 2)))
-    assert len(store.get("r2").inputFiles()) >= 1
-    plan = store.get("r2")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(id" in plan
+    store.append(reduce(lambda a, b: a.unionByName(b), [run(spark, f"r{i}", 1 + i) for i in range(8)]))
+    assert len(list((tmp_path / "runs").glob("bucket=*"))) == 2
+    store.delete("r2")
+    store.delete("r3")
+    assert sorted(r["id"] for r in store.list().collect()) == ["r0", "r1", "r4", "r5", "r6", "r7"]
+    assert store.get("r5").first()["created_at"].day == 6 and store.get("r2").isEmpty()
+    plan = store.get("r5")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
 def test_run_labels(spark, tmp_path):
     store = RunStore(spark, str(tmp_path))
+    assert store.labels("r1").isEmpty()
     labels = spark.createDataFrame([(1, 0), (2, 1)], "cust LONG, prediction INT")
+    store.save_labels("r1", labels.withColumn("prediction", F.lit(7)), "cust")
     store.save_labels("r1", labels, "cust")
+    store.save_labels("r3", labels, "cust")
     assert sorted((r["row_id"], r["prediction"]) for r in store.labels("r1").collect()) == [("1", 0), ("2", 1)]
     assert store.labels("r2").isEmpty()
+    store.delete("r1")
+    assert store.labels("r1").isEmpty() and store.labels("r3").count() == 2
+
+
+def test_csv_files_with_other_headers_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n1,5\n2,6\n")
+    (tmp_path / "b.csv").write_text("x,id\n7,3\n")
+    with pytest.raises(Exception, match="CSV header does not conform|header"):
+        read_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "b.csv").write_text("id,x\n3,7\n")
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path)).collect())) == [("1", "5"), ("2", "6"), ("3", "7")]
+    assert read_csv(spark, str(tmp_path), ["u", "v"]).columns == ["u", "v"]
 
 
 def test_scratch_is_below_the_shared_folder(spark):
