@@ -66,7 +66,6 @@ TIER_UP, TIER_DOWN, TIER_SAME = "Upgraded", "Downgraded", "No Change"
 
 # Campaign per segment; unknown segments use DEFAULT_STRATEGY.
 DEFAULT_STRATEGY = "New Potential"
-STRATEGY_FIELDS = ("segment", "headline", "subject_lines", "email_copy", "sms_copy")
 STRATEGIES = (
     (
         "High-Value Loyalists",

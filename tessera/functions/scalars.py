@@ -19,10 +19,6 @@ def squared_distance(left: Column, right: Column) -> Column:
     )
 
 
-def distance(left: Column, right: Column) -> Column:
-    return F.sqrt(squared_distance(left, right))
-
-
 def nearest(point: Column, centers: Sequence[tuple[int, Sequence[float]]]) -> Column:
     """STRUCT<squared, id> of the nearest centre; the lowest id wins a tie."""
     candidates = F.array(*[F.struct(F.lit(int(i)).alias("id"), array_of(c).alias("center")) for i, c in centers])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
 from tessera.functions.scalars import direction, money, safe_ratio
-from tessera.operators.ranking import ntile
+from tessera.operators.ranking import global_rank, ntile_of
 
 
 def in_window(at: Column, snapshot: str, start: int, end: int = 0) -> Column:
@@ -279,13 +279,43 @@ def order_totals(
         F.max(F.col(discount_rate).cast("decimal(4,2)")).alias("_rate"),
         F.max(F.col(shipping).cast(cents)).alias("shipping_cost"),
     )
+    return _with_totals(per_order, tax_rate).select(
+        order_key, "item_count", "subtotal", "shipping_cost", "discount_amount", "tax", "total_amount"
+    )
+
+
+def order_totals_of_items(
+    orders: DataFrame, items: str, quantity: str, unit_price: str, discount_rate: str, shipping: str, tax_rate: str = fixed.TAX_RATE
+) -> DataFrame:
+    """The totals of orders that carry their items as an array of structs, added to each order: no row is shuffled.
+
+    An order without items has a subtotal of 0.
+    """
+    cents, none = "decimal(18,2)", F.lit(0).cast("decimal(18,2)")
+
+    def add(total: Column, item: Column) -> Column:
+        line = F.round(item[quantity].cast(cents) * item[unit_price].cast(cents), 2)
+        return (total + F.coalesce(line, none)).cast(cents)
+
+    listed = F.coalesce(F.col(items), F.array().cast(orders.schema[items].dataType))
+    per_order = orders.withColumns(
+        {
+            "item_count": F.size(listed).cast("long"),
+            "subtotal": F.aggregate(listed, none, add),
+            "_rate": F.col(discount_rate).cast("decimal(4,2)"),
+            "shipping_cost": F.col(shipping).cast(cents),
+        }
+    )
+    return _with_totals(per_order, tax_rate).drop("_rate")
+
+
+def _with_totals(per_order: DataFrame, tax_rate: str) -> DataFrame:
+    """Discount on the subtotal, tax on what is left and shipping, total; each in whole cents."""
+    cents = "decimal(18,2)"
     discounted = per_order.withColumn("discount_amount", F.round(F.col("subtotal") * F.col("_rate"), 2).cast(cents))
     net = F.col("subtotal") - F.col("discount_amount") + F.col("shipping_cost")
     taxed = discounted.withColumn("tax", F.round(net.cast(cents) * F.lit(tax_rate).cast("decimal(4,2)"), 2).cast(cents))
-    total = (net + F.col("tax")).cast(cents)
-    return taxed.select(
-        order_key, "item_count", "subtotal", "shipping_cost", "discount_amount", "tax", total.alias("total_amount")
-    )
+    return taxed.withColumn("total_amount", (net + F.col("tax")).cast(cents))
 
 
 def tier_change(customers: DataFrame, key: str, orders: DataFrame, order_key: str, at: str, amount: str, snapshot: str) -> DataFrame:
@@ -299,8 +329,14 @@ def tier_change(customers: DataFrame, key: str, orders: DataFrame, order_key: st
     base = customers.select(key).join(spend, F.col(key) == F.col("_key"), "left").select(
         key, F.coalesce("_this", zero).alias("_this"), F.coalesce("_last", zero).alias("_last")
     )
-    last = ntile(base, 4, F.col("_last"), F.col(key)).withColumnRenamed("tile", "tier_last")
-    both = ntile(last, 4, F.col("_this"), F.col(key)).withColumnRenamed("tile", "tier_this")
+    # both years in one sort: the first half of the ranks is of last year, the second of this one
+    years = base.select(key, F.inline(F.array(*[F.struct(F.lit(i).alias("_year"), F.col(c).alias("_spend")) for i, c in enumerate(("_last", "_this"))])))
+    ranked = global_rank(years, F.col("_year"), F.col("_spend"), F.col(key))
+    customers_n = (F.col("total") / 2).cast("long")
+    tile = ntile_of(F.col("rank") - F.col("_year") * customers_n, customers_n, 4)
+    both = ranked.groupBy(key).agg(
+        F.max(F.when(F.col("_year") == 0, tile)).alias("tier_last"), F.max(F.when(F.col("_year") == 1, tile)).alias("tier_this")
+    )
     change = (
         F.when(F.col("tier_this") > F.col("tier_last"), fixed.TIER_UP)
         .when(F.col("tier_this") < F.col("tier_last"), fixed.TIER_DOWN)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tessera import fixed_values as fixed
 from tessera.functions.numbers import cell_number, cell_text, is_calendar, number_text
+from tessera.session import shared_folder
 
 
 def _numbers(df: DataFrame, columns: Sequence[str], mode: str, *extra: str) -> DataFrame:
@@ -43,17 +44,26 @@ def _cells(df: DataFrame, columns: Sequence[str], mode: str, *extra: str) -> Dat
     return read.select(*extra, F.inline(F.array(*cells)))
 
 
-def _values(df: DataFrame, columns: Sequence[str], mode: str) -> DataFrame:
-    """Rows per column and distinct value; a hot value is combined before the shuffle."""
-    return _cells(df, columns, mode).groupBy("position", "number", "text").agg(F.count("*").alias("rows"))
+def distinct_values(df: DataFrame, columns: Sequence[str], mode: str = "lenient", row_id: str | None = None) -> DataFrame:
+    """One row per column and distinct value: rows and, with a row id, the first row that has it.
+
+    A hot value is combined before the shuffle.
+    """
+    if row_id is None:
+        return _cells(df, columns, mode).groupBy("position", "number", "text").agg(F.count("*").alias("rows"))
+    cells = _cells(df.withColumn("_row", F.col(row_id)), columns, mode, "_row")
+    return cells.groupBy("position", "number", "text").agg(F.count("*").alias("rows"), F.min("_row").alias("first_row"))
 
 
 def column_counts(df: DataFrame, columns: Sequence[str], mode: str = "lenient") -> DataFrame:
     """Per column position: null_count, unique_count, numeric and non-null cells."""
+    return _counts(distinct_values(df, columns, mode))
+
+
+def _counts(values: DataFrame) -> DataFrame:
     empty = F.col("number").isNull() & F.col("text").isNull()
     return (
-        _values(df, columns, mode)
-        .groupBy("position")
+        values.groupBy("position")
         .agg(
             F.sum(F.when(empty, F.col("rows")).otherwise(0)).alias("null_count"),
             F.count_if(~empty).alias("unique_count"),
@@ -107,16 +117,14 @@ def column_samples(df: DataFrame, row_id: str, columns: Sequence[str] | None = N
 
     The rank filter lets Spark keep five rows per column and task before the shuffle.
     """
-    columns = columns or df.columns
-    seen = (
-        _cells(df.withColumn("_row", F.col(row_id)), columns, mode, "_row")
-        .where(F.col("number").isNotNull() | F.col("text").isNotNull())
-        .groupBy("position", "number", "text")
-        .agg(F.min("_row").alias("first_row"))
-    )
+    return _samples(distinct_values(df, columns or df.columns, mode, row_id))
+
+
+def _samples(values: DataFrame) -> DataFrame:
     order = Window.partitionBy("position").orderBy("first_row", "number", "text")
     return (
-        seen.withColumn("rank", F.row_number().over(order))
+        values.where(F.col("number").isNotNull() | F.col("text").isNotNull())
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= fixed.SAMPLE_SIZE)
         .select("position", "rank", F.coalesce(F.col("text"), number_text(F.col("number"))).alias("value"))
     )
@@ -134,6 +142,11 @@ def column_class(numbers: Column, values: Column, distinct: Column) -> Column:
     )
 
 
+def _refuse_empty(df: DataFrame) -> None:
+    if df.isEmpty():
+        raise ValueError("Dataset is empty")
+
+
 def profile(
     df: DataFrame,
     row_id: str | None = None,
@@ -147,24 +160,32 @@ def profile(
     position, name, type, null_count, unique_count, sample, and stats (NULL
     unless numeric). Without a row_id, samples follow the order of the file
     partitions. exact=False estimates unique_count, which for key-like columns
-    of a very large table saves shuffling nearly every value.
+    of a very large table saves shuffling nearly every value. Counts and samples
+    come from one grouping, which is written once. No row is an error.
     """
+    _refuse_empty(df)
     columns = list(columns or [c for c in df.columns if c != "_row_id"])
     names = F.array(*[F.lit(c) for c in columns])
+    if samples and row_id is None:
+        row_id, df = "_row_id", df.withColumn("_row_id", F.monotonically_increasing_id())
+    values = None
+    if samples:
+        shared_folder(df.sparkSession)
+        values = distinct_values(df, columns, mode, row_id).checkpoint()
     # columns, not rows: every frame below has one row per column of the input
-    counts = column_counts if exact else approximate_counts
+    if exact:
+        counts = _counts(values) if samples else column_counts(df, columns, mode)
+    else:
+        counts = approximate_counts(df, columns, mode)
     result = (
-        counts(df, columns, mode)
-        .join(column_statistics(df, columns, mode), "position")
+        counts.join(column_statistics(df, columns, mode), "position")
         .withColumn("name", F.element_at(names, F.col("position") + 1))
         .withColumn("type", column_class(F.col("number_count"), F.col("value_count"), F.col("unique_count")))
         .withColumn("stats", F.when(F.col("type") == "numeric", F.struct("min", "max", "mean", "std_dev")))
     )
     if samples:
-        if row_id is None:
-            row_id, df = "_row_id", df.withColumn("_row_id", F.monotonically_increasing_id())
         first = (
-            column_samples(df, row_id, columns, mode)
+            _samples(values)
             .groupBy("position")
             .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
             .select("position", F.transform("ranked", lambda r: r["value"]).alias("sample"))
@@ -176,7 +197,8 @@ def profile(
 
 
 def profile_summary(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "lenient") -> DataFrame:
-    """One row: counts of rows and columns by class, with the summary text."""
+    """One row: counts of rows and columns by class, with the summary text. No row is an error."""
+    _refuse_empty(df)
     columns = list(columns or df.columns)
     counts = column_counts(df, columns, mode)
     kind = column_class(F.col("number_count"), F.col("value_count"), F.col("unique_count"))
@@ -190,8 +212,12 @@ def profile_summary(df: DataFrame, columns: Sequence[str] | None = None, mode: s
     return totals.withColumn("summary", text)
 
 
-def analysis(df: DataFrame, row_id: str | None = None, columns: Sequence[str] | None = None, mode: str = "lenient") -> DataFrame:
-    """The whole profile as one row: row_count, column_count, columns, summary."""
+def analysis(
+    df: DataFrame, row_id: str | None = None, columns: Sequence[str] | None = None, mode: str = "lenient", min_rows: int = fixed.MIN_ROWS
+) -> DataFrame:
+    """The whole profile as one row: row_count, column_count, columns, summary. Fewer than min_rows rows are an error."""
+    if df.limit(min_rows).count() < min_rows:
+        raise ValueError(f"at least {min_rows} rows are needed")
     columns = list(columns or [c for c in df.columns if c != "_row_id"])
     fields = ("name", "type", "null_count", "unique_count", "sample", "stats")
     # one row per column is gathered, never rows of the data

@@ -171,6 +171,29 @@ def order_totals(spark: SparkSession, sf: str) -> DataFrame:
     return totals.select("l_orderkey", "item_count", *[F.col(a).cast("double").alias(a) for a in amounts])
 
 
+NESTED_TOTALS = """WITH items AS (SELECT l_orderkey, count(*) AS n, sum(round(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)), 2)) AS v
+  FROM lineitem GROUP BY l_orderkey),
+a AS (SELECT o_orderkey, coalesce(n, 0) AS item_count, CAST(coalesce(v, 0) AS DECIMAL(18,2)) AS subtotal, CAST(0.05 AS DECIMAL(4,2)) AS rate,
+  CAST(9.99 AS DECIMAL(18,2)) AS shipping FROM orders LEFT JOIN items ON l_orderkey = o_orderkey),
+b AS (SELECT *, CAST(round(subtotal * rate, 2) AS DECIMAL(18,2)) AS discount FROM a),
+c AS (SELECT *, CAST(round(CAST(subtotal - discount + shipping AS DECIMAL(18,2)) * CAST(0.10 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS tax FROM b)
+SELECT o_orderkey, item_count, CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount_amount, CAST(tax AS DOUBLE) AS tax,
+       CAST(subtotal - discount + shipping + tax AS DOUBLE) AS total_amount FROM c"""
+
+
+@query(NESTED_TOTALS)
+def order_totals_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders that carry their lines as an array, as an order record has them."""
+    item = F.struct(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    # the lines of one order are one record by nature
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    orders = table(spark, sf, "orders").select("o_orderkey").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    priced = orders.select("o_orderkey", "items", F.lit("0.05").alias("rate"), F.lit("9.99").alias("shipping"))
+    totals = activity.order_totals_of_items(priced, "items", "quantity", "price", "rate", "shipping")
+    amounts = ("subtotal", "discount_amount", "tax", "total_amount")
+    return totals.select("o_orderkey", "item_count", *[F.col(a).cast("double").alias(a) for a in amounts])
+
+
 ACTIVITY_SQL = ", ".join(
     f"""count(*) FILTER (WHERE inside_{n}) AS events_{n}d, count(*) FILTER (WHERE inside_{n} AND event_type = 'error') AS errors_{n}d,
 count(*) FILTER (WHERE inside_{n} AND event_type = 'purchase') AS purchases_{n}d, count(DISTINCT CASE WHEN inside_{n} THEN CAST(ts AS DATE) END) AS days_active_{n}d"""

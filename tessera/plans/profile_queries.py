@@ -166,12 +166,16 @@ ranked AS (SELECT name, row_number() OVER (ORDER BY position) - 1 AS rank FROM k
 SELECT 'failed' AS answer, CAST(rank AS INTEGER) AS rank, name, CAST(NULL AS DOUBLE) AS confidence FROM ranked WHERE rank < 4
 UNION ALL SELECT 'unreadable', CAST(rank AS INTEGER), name, 0.6 FROM ranked WHERE rank < 3
 UNION ALL SELECT 'none_valid', CAST(rank AS INTEGER), name, 0.7 FROM ranked WHERE rank < 6
+UNION ALL SELECT 'empty', CAST(rank AS INTEGER), name, 0.7 FROM ranked WHERE rank < 6
+UNION ALL SELECT 'null', CAST(rank AS INTEGER), name, 0.7 FROM ranked WHERE rank < 6
 UNION ALL SELECT 'valid', CAST(0 AS INTEGER), name, 0.8 FROM ranked WHERE name = 'l_tax'""")
 def feature_fallback(spark: SparkSession, sf: str) -> DataFrame:
     profiled = prof.profile(table(spark, sf, "lineitem"), columns=list(LINEITEM), samples=False)
     answers = {
         "failed": None,
         "unreadable": "not json",
+        "empty": "",
+        "null": "null",
         "none_valid": '{"columns": ["no_such_column"]}',
         "valid": '{"columns": ["no_such_column", "l_tax"]}',
     }

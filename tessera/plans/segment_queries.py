@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
@@ -423,6 +424,41 @@ def cluster_insights_merge(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+ANSWERS = {
+    "readable": '{"clusters": [{"id": 0, "name": "Zero", "characteristics": ["a", "b"], "businessDescription": "First of all",'
+    ' "recommendedActions": ["Call"]}, {"id": 1, "name": "One", "characteristics": [], "businessDescription": "Next", "recommendedActions": ["Write", "Wait"]}]}',
+    "partial": '{"clusters": [{"id": 2, "name": "Two"}]}',
+    "unreadable": "no JSON at all",
+}
+PLAIN_TEXT = "'A segment of ' || size || ' customers with distinct behavioral patterns.'"
+
+
+@query(f"""WITH {NATION_CLUSTERS}, kinds AS (SELECT * FROM (VALUES ('readable'), ('partial'), ('unreadable')) AS k(answer))
+SELECT answer, CAST(id AS INTEGER) AS id,
+  CASE WHEN answer = 'readable' AND id = 0 THEN 'Zero' WHEN answer = 'readable' AND id = 1 THEN 'One' WHEN answer = 'partial' AND id = 2 THEN 'Two'
+       ELSE 'Segment ' || (id + 1) END AS name,
+  CAST(size AS BIGINT) AS size,
+  CASE WHEN answer = 'readable' AND id = 0 THEN 'a|b' WHEN answer = 'readable' AND id = 1 THEN '' ELSE 'Customer segment identified' END AS characteristics,
+  CASE WHEN answer = 'readable' AND id = 0 THEN 'First of all' WHEN answer = 'readable' AND id = 1 THEN 'Next'
+       WHEN answer = 'unreadable' THEN 'A segment of ' || size || ' customers' ELSE {PLAIN_TEXT} END AS business_description,
+  CASE WHEN answer = 'readable' AND id = 0 THEN 'Call' WHEN answer = 'readable' AND id = 1 THEN 'Write|Wait'
+       WHEN answer = 'unreadable' THEN 'Analyze further' ELSE 'Analyze segment|Develop campaigns' END AS recommended_actions
+FROM raw, kinds""")
+def insights_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers by nation, described by an adviser's text that is readable, names one cluster only, or isn't JSON."""
+    clusters = nation_clusters(spark, sf)
+    frames = []
+    for kind, answer in ANSWERS.items():
+        described = insights.describe_segments(clusters, insights.read_answer(spark, answer, clusters))
+        frames.append(
+            described.select(
+                F.lit(kind).alias("answer"), "id", "name", "size", F.array_join("characteristics", "|").alias("characteristics"),
+                "business_description", F.array_join("recommended_actions", "|").alias("recommended_actions"),
+            )
+        )
+    return reduce(DataFrame.unionByName, frames)
+
+
 @query(f"""WITH {EXACT},
 n AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label),
 t AS (SELECT count(*) AS total FROM embeddings),

@@ -126,7 +126,7 @@ def test_recommendation(spark, answer, columns, confidence):
 
 def test_recommendation_needs_a_numeric_column(spark):
     df = spark.createDataFrame([("a",), ("b",)], "t STRING")
-    with pytest.raises(Exception, match="No numeric columns"):
+    with pytest.raises(Exception, match="none of the columns is numeric"):
         features.recommend_features(profile.profile(df, columns=["t"], samples=False)).collect()
 
 
