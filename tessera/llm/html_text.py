@@ -40,8 +40,10 @@ REFERENCE_BYTES = 64 << 20
 
 
 def aside(node: Node) -> bool:
-    """Is an element no part of the main text, by its kind or class names?"""
-    return node.tag in ELEMENTS or bool(node.marks) and not CLASS_WORDS.isdisjoint(node.marks.split())
+    """Is an element no part of the main text, by its kind or class names? Those of a page as a whole say nothing about it."""
+    if node.tag in ELEMENTS:
+        return True
+    return bool(node.marks) and node.tag not in ("html", "body", "main") and not CLASS_WORDS.isdisjoint(node.marks.split())
 
 
 def text_of(node: Node) -> str:
@@ -186,16 +188,18 @@ def induce(reference: str, seen: dict[int, tuple[int, int, int]]) -> tuple[list[
 
 def _regions(root: Node, template: set[int], slot: int, pairs: list[int]) -> list[Node]:
     """The outermost articles or main element outside of what is left out, else the wrapper's slot, else the page."""
-    for names in (("article",), ("main",)):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag in names:
-                found.append(node)
-            elif not aside(node):
-                todo.extend(child for child in reversed(node.children) if not isinstance(child, str))
-        if found:
-            return found
+    for name in ("article", "main"):
+        # a wrapper named after a sidebar may hold the article too: class names are overruled if nothing else is found
+        for left_out in (aside, lambda node: node.tag in ELEMENTS):
+            found, todo = [], [root]
+            while todo:
+                node = todo.pop()
+                if node.tag == name and not aside(node):
+                    found.append(node)
+                elif not left_out(node):
+                    todo.extend(child for child in reversed(node.children) if not isinstance(child, str))
+            if found:
+                return found
     slots, todo = [], [root]
     while todo and slot > 0:
         node = todo.pop()

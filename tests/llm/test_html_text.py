@@ -31,6 +31,9 @@ def test_blocks_of_an_article():
         ("<article><pre>a\n b</pre><script>x</script>", "a b"),
         ("<article><p>in<!-- c -->side <i>w</i>ord</article>", "inside word"),
         ("<div " * 3, ""),
+        ('<body class="has-sidebar"><div class="with-sidebar"><article>a<article class="comment">c</article></article><div class="sidebar">s</div></div>', "a"),
+        ('<body class="search"><p>text</p>', "text"),
+        ('<article class="promo">buy</article><article><p>x</article><article><p>y</article>', "x\n\ny"),
         ("<article>" + "<div>" * 3000 + "deep", "deep"),
     ],
 )
