@@ -42,7 +42,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Stems are learned besides words: prefixes of these many letters.
 STEMS = (4, 5, 6)
 #: A word or stem counts if this share of the toxic documents has it, this many at least, and its log odds are this high.
-SHARE, LEAST, LOG_ODDS = 0.005, 3, 3.0
+SHARE, LEAST, LOG_ODDS = 0.01, 3, 3.0
 #: Labels are broadcast up to this size, else joined by a shuffle.
 LABEL_BYTES = 64 << 20
 
@@ -199,15 +199,17 @@ def _fitted(lexicon: Model, measured: DataFrame) -> Model:
     """The lexicon with coefficients from (events, toxic)."""
     if not lexicon.words and not lexicon.stems:
         return lexicon
-    rows = measured.select(array_to_vector("events").alias("features"), F.col("toxic").cast("double").alias("label"))
-    fit = LogisticRegression(regParam=0.001, maxIter=50).fit(rows)
+    # one insult says nearly as much as ten: weights count by their logarithm
+    features = array_to_vector(F.transform("events", lambda x: F.log1p(x)))
+    rows = measured.select(features.alias("features"), F.col("toxic").cast("double").alias("label"))
+    fit = LogisticRegression(regParam=0.0005, maxIter=50).fit(rows)
     return Model(lexicon.words, lexicon.stems, tuple(fit.coefficients.toArray().tolist()), float(fit.intercept))
 
 
 def _score(events: Column, model: Model) -> Column:
     total = F.lit(model.intercept)
     for i, coefficient in enumerate(model.coefficients):
-        total = total + F.get(events, F.lit(i)) * F.lit(coefficient)
+        total = total + F.log1p(F.get(events, F.lit(i))) * F.lit(coefficient)
     return 1 / (1 + F.exp(-total))
 
 
@@ -242,7 +244,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         scorer = Scorer(model)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            totals = (model.intercept + sum(c * e for c, e in zip(model.coefficients, scorer.events(x), strict=True)) for x in texts)
+            totals = (model.intercept + sum(c * math.log1p(e) for c, e in zip(model.coefficients, scorer.events(x), strict=True)) for x in texts)
             yield batch.filter(pa.array([total < 0 for total in totals], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
