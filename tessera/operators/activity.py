@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,69 +82,89 @@ def churn_rate(labelled: DataFrame, label: str = "churn_label") -> DataFrame:
     )
 
 
-def bought_lines(lines: DataFrame, orders: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class LineColumns:
+    """Names of the columns of order lines, orders and parts; by default those of the given tables."""
+
+    line_order: str = "l_orderkey"
+    line_part: str = "l_partkey"
+    flag: str = "l_returnflag"
+    shipped: str = "l_shipdate"
+    order: str = "o_orderkey"
+    customer: str = "o_custkey"
+    part: str = "p_partkey"
+    category: str = "p_type"
+    brand: str = "p_brand"
+    returned: str = "R"
+
+
+GIVEN = LineColumns()
+
+
+def bought_lines(lines: DataFrame, orders: DataFrame, names: LineColumns = GIVEN) -> DataFrame:
     """Lines with the customer of their order.
 
     Order keys are unique among the orders, so an order with very many lines is
     a skewed side that adaptive execution can split.
     """
-    buyers = orders.select("o_orderkey", "o_custkey")
-    return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+    buyers = orders.select(names.order, names.customer)
+    return lines.join(buyers, F.col(names.line_order) == F.col(names.order))
 
 
-def line_rollup(lines: DataFrame, orders: DataFrame, snapshot: str) -> DataFrame:
+def line_rollup(lines: DataFrame, orders: DataFrame, snapshot: str, names: LineColumns = GIVEN) -> DataFrame:
     """One row per customer and part: lines, returned lines, returned in the last 12 months."""
-    returned = F.col("l_returnflag") == "R"
+    returned = F.col(names.flag) == names.returned
     return (
-        bought_lines(lines, orders)
-        .groupBy("o_custkey", "l_partkey")
+        bought_lines(lines, orders, names)
+        .groupBy(names.customer, names.line_part)
         .agg(
             F.count("*").alias("lines"),
             F.count_if(returned).alias("returned"),
-            F.count_if(returned & in_window(F.col("l_shipdate"), snapshot, -365)).alias("returned_12m"),
+            F.count_if(returned & in_window(F.col(names.shipped), snapshot, -365)).alias("returned_12m"),
         )
     )
 
 
-def returns_and_breadth(rollup: DataFrame, parts: DataFrame) -> DataFrame:
+def returns_and_breadth(rollup: DataFrame, parts: DataFrame, names: LineColumns = GIVEN) -> DataFrame:
     """Per customer: lines, returns, returns rate, distinct categories and brands."""
+    kinds = parts.select(names.part, names.category, names.brand)
     return (
-        rollup.join(parts.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"), "left")
-        .groupBy("o_custkey")
+        rollup.join(kinds, F.col(names.line_part) == F.col(names.part), "left")
+        .groupBy(names.customer)
         .agg(
             F.sum("lines").alias("lines"),
             F.sum("returned_12m").alias("returns_last_12m"),
             F.round(F.sum("returned") / F.sum("lines"), 4).alias("returns_rate"),
-            F.count_distinct("p_type").alias("distinct_categories_purchased"),
-            F.count_distinct("p_brand").alias("distinct_brands_purchased"),
+            F.count_distinct(names.category).alias("distinct_categories_purchased"),
+            F.count_distinct(names.brand).alias("distinct_brands_purchased"),
         )
     )
 
 
-def product_breadth(lines: DataFrame, orders: DataFrame, parts: DataFrame) -> DataFrame:
+def product_breadth(lines: DataFrame, orders: DataFrame, parts: DataFrame, names: LineColumns = GIVEN) -> DataFrame:
     """Distinct categories and brands per customer."""
     bought = (
-        bought_lines(lines, orders)
-        .select("o_custkey", "l_partkey")
+        bought_lines(lines, orders, names)
+        .select(names.customer, names.line_part)
         .distinct()
-        .join(parts.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(parts.select(names.part, names.category, names.brand), F.col(names.line_part) == F.col(names.part))
     )
-    return bought.groupBy("o_custkey").agg(
-        F.count_distinct("p_type").alias("distinct_categories"), F.count_distinct("p_brand").alias("distinct_brands")
+    return bought.groupBy(names.customer).agg(
+        F.count_distinct(names.category).alias("distinct_categories"), F.count_distinct(names.brand).alias("distinct_brands")
     )
 
 
-def returns_rate(lines: DataFrame, orders: DataFrame, snapshot: str) -> DataFrame:
+def returns_rate(lines: DataFrame, orders: DataFrame, snapshot: str, names: LineColumns = GIVEN) -> DataFrame:
     """Returned lines in the last 12 months and share of all lines, per customer."""
-    returned = F.col("l_returnflag") == "R"
-    per_order = lines.groupBy("l_orderkey").agg(
+    returned = F.col(names.flag) == names.returned
+    per_order = lines.groupBy(names.line_order).agg(
         F.count("*").alias("lines"),
         F.count_if(returned).alias("returned"),
-        F.count_if(returned & in_window(F.col("l_shipdate"), snapshot, -365)).alias("returned_12m"),
+        F.count_if(returned & in_window(F.col(names.shipped), snapshot, -365)).alias("returned_12m"),
     )
     return (
-        per_order.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey")
+        per_order.join(orders.select(names.order, names.customer), F.col(names.line_order) == F.col(names.order))
+        .groupBy(names.customer)
         .agg(
             F.sum("returned_12m").alias("returns_last_12m"),
             F.round(F.sum("returned") / F.sum("lines"), 4).alias("returns_rate"),
@@ -216,24 +237,25 @@ def customer_360(
     )
 
 
-def activity_counts(events: DataFrame, key: str, at: str, kind: str, snapshot: str, windows: Sequence[int] = (7, 14)) -> DataFrame:
-    """Per key and window: events, failures, purchases and active days."""
+def activity_counts(
+    events: DataFrame, key: str, at: str, kind: str, snapshot: str, windows: Sequence[int] = (7, 14),
+    kinds: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Per key and window: events, events of the named kinds, active days.
+
+    kinds names the columns: by default errors of kind 'error' and purchases of kind 'purchase'.
+    """
+    kinds = kinds or {"errors": "error", "purchases": "purchase"}
     # one row per key and day first, so that active days need no distinct count
     per_day = events.groupBy(key, F.col(at).cast("date").alias("_day")).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col(kind) == "error").alias("errors"),
-        F.count_if(F.col(kind) == "purchase").alias("purchases"),
+        F.count("*").alias("_n"), *[F.count_if(F.col(kind) == k).alias(f"_{name}") for name, k in kinds.items()]
     )
     columns = []
     for days in windows:
         inside = in_window(F.col("_day"), snapshot, -days)
-        zero = F.lit(0)
-        columns += [
-            F.sum(F.when(inside, F.col("n")).otherwise(zero)).alias(f"events_{days}d"),
-            F.sum(F.when(inside, F.col("errors")).otherwise(zero)).alias(f"errors_{days}d"),
-            F.sum(F.when(inside, F.col("purchases")).otherwise(zero)).alias(f"purchases_{days}d"),
-            F.count_if(inside).alias(f"days_active_{days}d"),
-        ]
+        for name, counted in (("events", "_n"), *((name, f"_{name}") for name in kinds)):
+            columns.append(F.sum(F.when(inside, F.col(counted)).otherwise(F.lit(0))).alias(f"{name}_{days}d"))
+        columns.append(F.count_if(inside).alias(f"days_active_{days}d"))
     return per_day.groupBy(key).agg(*columns)
 
 

@@ -187,3 +187,41 @@ def test_scalars(spark):
     born, day = lit("2000-01-02").cast("date"), lit("2001-01-01").cast("date")
     assert one(spark, scalars.age_years(born, day), scalars.age_years(lit(None).cast("date"), day)) == (1, None)
     assert float(one(spark, scalars.price_from_margin(lit(10.01), lit(0.35)))[0]) == 13.51
+
+
+def test_own_column_names_and_event_kinds(spark):
+    lines = spark.createDataFrame([(1, 7, "back", "2024-01-05"), (1, 8, "ok", "2024-01-05"), (2, 7, "ok", "2022-01-05")], "ord INT, item INT, state STRING, sent STRING")
+    orders = spark.createDataFrame([(1, "ann"), (2, "ann")], "id INT, buyer STRING")
+    parts = spark.createDataFrame([(7, "shoe", "x"), (8, "hat", "x")], "sku INT, kind STRING, maker STRING")
+    names = activity.LineColumns("ord", "item", "state", "sent", "id", "buyer", "sku", "kind", "maker", "back")
+    lines = lines.withColumn("sent", F.col("sent").cast("date"))
+    found = activity.returns_and_breadth(activity.line_rollup(lines, orders, "2024-02-01", names), parts, names).first()
+    assert tuple(found) == ("ann", 3, 1, round(1 / 3, 4), 2, 1)
+    assert tuple(activity.returns_rate(lines, orders, "2024-02-01", names).first()) == ("ann", 1, round(1 / 3, 4))
+    assert tuple(activity.product_breadth(lines, orders, parts, names).first()) == ("ann", 2, 1)
+    events = spark.createDataFrame([("u", "2024-01-30", "crash"), ("u", "2024-01-30", "view")], "u STRING, at STRING, k STRING").withColumn("at", F.col("at").cast("timestamp"))
+    row = activity.activity_counts(events, "u", "at", "k", "2024-02-01", (7,), {"crashes": "crash"}).first()
+    assert row.asDict() == {"u": "u", "events_7d": 2, "crashes_7d": 1, "days_active_7d": 1}
+
+
+def test_later_orders_change_only_the_label(spark):
+    from tessera.plans.churn_store import churn_features
+    from tessera.sources.tables import table
+
+    folder, snapshot = "/root/testdata/sf0.001", "2001-01-01"
+    customers, orders, lines, parts = (table(spark, folder, n) for n in ("customer", "orders", "lineitem", "part"))
+    earlier = orders.where(F.col("o_orderdate") < F.lit(snapshot).cast("date"))
+    whole = {r["customer_id"]: r.asDict() for r in churn_features(customers, orders, lines, parts, snapshot).collect()}
+    without = {r["customer_id"]: r.asDict() for r in churn_features(customers, earlier, lines, parts, snapshot).collect()}
+    labels = [(r.pop("churn_label"), without[i].pop("churn_label")) for i, r in whole.items()]
+    assert whole == without and {b for _, b in labels} == {1} and 0 in {a for a, _ in labels}
+
+
+def test_order_totals_of_items(spark):
+    orders = spark.createDataFrame(
+        [(1, [(2, 10.0), (1, 5.555)], "0.10", 3.0), (2, None, "0.00", 1.0), (3, [(None, 1.0)], "0.50", 0.0)],
+        "id INT, items ARRAY<STRUCT<n: INT, price: DOUBLE>>, rate STRING, ship DOUBLE",
+    )
+    rows = {r["id"]: r for r in activity.order_totals_of_items(orders, "items", "n", "price", "rate", "ship").collect()}
+    assert [float(rows[1][c]) for c in ("subtotal", "discount_amount", "tax", "total_amount")] == [25.56, 2.56, 2.6, 28.6]
+    assert rows[2]["item_count"] == 0 and float(rows[2]["total_amount"]) == 1.1 and float(rows[3]["subtotal"]) == 0.0
