@@ -10,7 +10,7 @@ from tessera.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, 4)
+def spark(tmp_path_factory):
+    session = local_session(4, 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     yield session
     session.stop()
