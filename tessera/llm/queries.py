@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embeddings, html_text, packing, pieces, quality, sharding, simhash, toxicity, url_rules
+from tessera.llm import chat, embeddings, html_text, oracles, packing, pieces, quality, sharding, simhash, toxicity, url_rules
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: The others' hashes, learned weights and vocabularies have no SQL.
+ORACLES = {"op5_quality": oracles.quality(quality.Rules()), "op6_embeddings": oracles.embeddings(), "op7_chat": oracles.chat()}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -54,7 +55,8 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge(table(spark, folder, "documents"))
+    judged = quality.judge(table(spark, folder, "documents"))
+    return judged.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("char_distance", "word_distance")})
 
 
 @query
