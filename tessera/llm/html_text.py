@@ -11,6 +11,7 @@ template nodes.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,11 +69,11 @@ class Shape:
         self._add([root])
         self.key = tuple(zip(self.labels, map(len, self.children), strict=True))
 
-    def _add(self, run: list[Node]) -> int:
-        """Adds a run of siblings; depth is bounded by cutting very deep trees into their texts."""
-        todo: list[tuple[list[Node], int | None]] = [(run, None)]
+    def _add(self, run: list[Node]) -> None:
+        """Adds a run of siblings and what is below it, level by level."""
+        todo: deque[tuple[list[Node], int | None]] = deque([(run, None)])
         while todo:
-            nodes, parent = todo.pop(0)
+            nodes, parent = todo.popleft()
             number = len(self.labels)
             self.labels.append(f"{nodes[0].tag} {nodes[0].marks}")
             self.children.append([])
@@ -90,19 +91,19 @@ class Shape:
                     else:
                         runs.append([child])
             todo += [(same, number) for same in runs]
-        return 0
 
 
 def matched(a: Shape, b: Shape) -> list[int]:
     """For each node of a, the node of b that simple tree matching pairs it with, or -1."""
     if a.key == b.key:
         return list(range(len(a.labels)))
+    # only nodes whose ancestors have equal labels can be paired; their children come later in the list
+    reached = [(0, 0)] if a.labels[0] == b.labels[0] else []
+    for i, j in reached:
+        reached += [(x, y) for x in a.children[i] for y in b.children[j] if a.labels[x] == b.labels[y]]
     sizes: dict[tuple[int, int], int] = {}
-    # children have larger numbers than their parents, so the pairs are weighed from the end
-    for i in range(len(a.labels) - 1, -1, -1):
-        for j in range(len(b.labels) - 1, -1, -1):
-            if a.labels[i] == b.labels[j]:
-                sizes[i, j] = 1 + _align(a.children[i], b.children[j], sizes)[-1][-1]
+    for i, j in reversed(reached):
+        sizes[i, j] = 1 + _align(a.children[i], b.children[j], sizes)[-1][-1]
     pairs, todo = [-1] * len(a.labels), [(0, 0)] if (0, 0) in sizes else []
     while todo:
         i, j = todo.pop()
