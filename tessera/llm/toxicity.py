@@ -82,7 +82,7 @@ class Scorer:
     """Finds and weighs the events of a text."""
 
     #: Words remembered by a worker before it forgets all.
-    REMEMBERED = 500_000
+    REMEMBERED = 150_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.grammar = model, grammar()
@@ -129,6 +129,13 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id"))).join(small_side(known, LABEL_BYTES, 24), "doc_id")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: texts may be long, and as Python objects they take twice their size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _terms(text: str | None) -> set[tuple[str, bool]]:
     """Words and stems of a text; a stem is marked."""
     words = {word for word in WORDS.findall((text or "").lower()) if len(word) > 1}
@@ -140,11 +147,11 @@ def _document_counts(rows: DataFrame, wanted: set[tuple[str, bool]] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 terms = _terms(text)
                 counts.update(terms if wanted is None else terms & wanted)
-            if len(counts) > 1_000_000:
+            if len(counts) > 200_000:
                 yield _counted(counts)
                 counts = Counter()
         yield _counted(counts)
@@ -187,7 +194,7 @@ def _measured(rows: DataFrame, model: Model, kept: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in _slices(batches):
             events = [scorer.events(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(kept), pa.array(events, pa.list_(pa.float64()))], [kept, "events"])
 
@@ -242,7 +249,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(at).to_pylist()
             totals = (model.intercept + sum(c * math.log1p(e) for c, e in zip(model.coefficients, scorer.events(x), strict=True)) for x in texts)
             yield batch.filter(pa.array([total < 0 for total in totals], pa.bool_()))
