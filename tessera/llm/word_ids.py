@@ -15,7 +15,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words remembered by a Python worker before it forgets all.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 class WordIds:
@@ -57,7 +57,7 @@ class WordIds:
 
     def _learn(self, words: set[str]) -> None:
         """Adds the ids of unseen words: a run of letters, perhaps with a stop or comma, or anything else."""
-        known, stems, tails = self.ids, {}, []
+        known, stems, tails, others = self.ids, set(), [], []
         for word in words:
             if word in known:
                 continue
@@ -66,21 +66,33 @@ class WordIds:
             if stem[-1] in ".,":
                 stem, tail = stem[:-1], stem[-1]
             if not _letters(stem):
-                known[word] = self._plain(word)
-            else:
-                if stem not in known:
-                    stems[stem] = None
-                if tail or stem != word:
-                    tails.append((word, stem, tail))
+                others.append(word)
+                continue
+            if stem not in known:
+                stems.add(stem)
+            if tail or stem != word:
+                tails.append((word, stem, tail))
         missing = list(stems)
         for part in range(0, len(missing), 2000):
             self._together(missing[part : part + 2000])
+        for part in range(0, len(others), 2000):
+            self._apart(others[part : part + 2000])
         for mark in {tail for _, _, tail in tails if tail}:
             if mark not in known:
                 known[mark] = self._plain(mark)
         for word, stem, tail in tails:
             known[word] = known[stem] + known[tail] if tail else known[stem]
 
+    def _apart(self, words: list[str]) -> None:
+        """Encodes any words as one text; an id belongs to the word in which its characters start."""
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(word) + 1 for word in words)])
+        owner = np.searchsorted(starts, [start for start, _ in encoded.offsets], "right") - 1
+        data = np.array(encoded.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        for word, start, end in zip(words, cuts, cuts[1:]):
+            self.ids[word] = data[start:end]
+
     def _together(self, stems: list[str]) -> None:
         """Encodes words of letters as one text; each ends with the id of a word's end."""
         ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
