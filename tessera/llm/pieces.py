@@ -155,15 +155,25 @@ class Pieces:
         return good
 
     def _suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Places of the concatenated text in the order of the next `longest` characters: a suffix array by doubling."""
-        _, rank = np.unique(codes, return_inverse=True)
-        length = 1
+        """Places of the concatenated text in the order of the next `longest` characters: a suffix array by doubling.
+
+        The first sort is by four characters, which fit into one number.
+        """
+        n = len(codes)
+        padded = np.concatenate([codes, np.zeros(3, codes.dtype)]).astype(np.uint64)
+        key = np.zeros(n, np.uint64)
+        for i in range(4):
+            key = (key << np.uint64(16)) | padded[i : n + i]
+        order, length = np.argsort(key), 4
         while length < self.longest:
-            later = np.zeros(len(rank), np.int64)
+            rank = np.empty(n, np.int64)
+            ordered = key[order]
+            rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+            later = np.zeros(n, np.int64)
             later[:-length] = rank[length:] + 1
-            _, rank = np.unique(rank.astype(np.int64) * (len(rank) + 2) + later, return_inverse=True)
-            length *= 2
-        return np.argsort(rank, kind="stable")
+            key = rank * (n + 2) + later
+            order, length = np.argsort(key), 2 * length
+        return order
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of every occurrence of every piece."""
@@ -195,7 +205,8 @@ class Pieces:
         piece = np.concatenate([piece, np.full(len(lone), -2, np.int64)])
         word_of = np.repeat(np.arange(len(words)), sizes + 1)
         depth = end - first[word_of[start]]
-        by_end = np.argsort(depth, kind="stable")
+        # numbers of 16 bits are sorted by radix
+        by_end = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
         start, end, piece, depth = start[by_end], end[by_end], piece[by_end], depth[by_end]
         last = np.full(len(codes) + 1, -1, np.int64)
         back = np.full(len(codes) + 1, -1, np.int64)
