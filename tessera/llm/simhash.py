@@ -213,12 +213,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their group, with all columns.
+    """The rows of docs whose doc_id is the smallest of their group, with all columns, as `smallest` states."""
+    return smallest(docs, near_duplicates(docs, doc_id, text), doc_id)
+
+
+def smallest(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their group in (doc_id, component_id), with all columns.
 
     Of repeated rows of such a doc_id the smallest row stays. Rows without a
     doc_id can't be named by a group and stay as they are.
     """
-    groups = near_duplicates(docs, doc_id, text)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     named = docs.where(docs[doc_id].isNotNull())
     chosen = named.join(kept, named[doc_id] == kept["_kept_id"], "left_semi")
