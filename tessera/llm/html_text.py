@@ -6,7 +6,8 @@ Over all pages of the host, a node whose text stays the same is template, one
 whose text varies is a slot. The main text is the slot of the article, or of
 the element that holds most of what varies; menus, adverts and the like, which
 vary too, are told by their elements and class names and left out, as are
-template nodes.
+template nodes whose text in the page is the template's. Pages of one host with
+the same text count once.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ PAGES, SAME = 3, 0.8
 #: An element is gone into while one child holds this share of what varies.
 MOST = 0.6
 REFERENCE_BYTES = 64 << 20
+#: The page as a whole, which is never template.
+WHOLE = frozenset(["#root", "html", "body"])
+#: Markup and what isn't text, for telling whether two pages have the same text.
+MARKUP = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+"
 
 
 def aside(node: Node) -> bool:
@@ -170,11 +175,22 @@ def observed(page: str, reference: str) -> Iterator[tuple[int, bool, int]]:
             yield other, hash(text) == hashes[other], len(text)
 
 
+def _template(shape: Shape, seen: dict[int, tuple[int, int, int]]) -> set[int]:
+    """Nodes whose text stays the same and that hold no node whose text varies."""
+    fixed, slots = set(), set()
+    for node in reversed(range(len(shape.labels))):  # children come after their parents
+        pages, same, _ = seen.get(node, (0, 0, 0))
+        if not slots.isdisjoint(shape.children[node]) or (pages >= PAGES and same < SAME * pages):
+            slots.add(node)
+        elif pages >= PAGES and shape.labels[node].split()[0] not in WHOLE:
+            fixed.add(node)
+    return fixed
+
+
 def induce(reference: str, seen: dict[int, tuple[int, int, int]]) -> tuple[list[int], int]:
     """(template nodes, node of the main slot) from {node: (pages, pages with the same text, characters)}."""
     shape, _ = _reference(reference)
-    template = [node for node, (pages, same, _) in seen.items() if pages >= PAGES and same >= SAME * pages]
-    fixed, at = set(template), 0
+    fixed, at = _template(shape, seen), 0
     while True:  # down from the root, where most of what varies is
         varying = {}
         for child in shape.children[at]:
@@ -183,7 +199,7 @@ def induce(reference: str, seen: dict[int, tuple[int, int, int]]) -> tuple[list[
         total = sum(varying.values())
         largest = max(varying, key=varying.get, default=None)
         if largest is None or varying[largest] < MOST * total or shape.labels[largest].split()[0] not in BLOCK - {"p"} | {"#root"}:
-            return sorted(template), at
+            return sorted(fixed), at
         at = largest
 
 
@@ -215,9 +231,13 @@ def extract(page: str, reference: str | None = None, template: list[int] | None
     """Blocks of the main text, joined by an empty line."""
     root = parse(page)
     pairs: list[int] = []
-    if reference is not None:
-        pairs = _pairs(_Keyed(Shape(root)), reference)
+    same: set[int] = set()  # template nodes that have the template's text in this page
     fixed = set(template or ())
+    if reference is not None:
+        shape = Shape(root)
+        pairs = _pairs(_Keyed(shape), reference)
+        hashes = _reference(reference)[1]
+        same = {i for i, other in enumerate(pairs) if other in fixed and hash("\n".join(map(text_of, shape.nodes[i]))) == hashes[other]}
     blocks: list[str] = []
     line: list[str] = []
 
@@ -240,7 +260,7 @@ def extract(page: str, reference: str | None = None, template: list[int] | None
                 line.append(" ")
             elif item is not region and aside(item):
                 end()
-            elif not inside and 0 <= item.number < len(pairs) and pairs[item.number] in fixed:
+            elif not inside and item.number in same:
                 end()
             else:
                 if item.tag in BLOCK or item is region:
@@ -263,7 +283,9 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     chosen = rows.join(small_side(first, REFERENCE_BYTES, 80), ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("reference"))
     references = written(chosen)
     size = (references.agg(F.avg(F.octet_length("reference"))).first()[0] or 0) + 100
-    aligned = rows.select("host", "html").where("html <> ''").join(small_side(references, REFERENCE_BYTES, int(size)), "host")
+    # copies of a page say nothing about what its host's pages have in common
+    distinct = rows.where("html <> ''").groupBy("host", F.md5(F.regexp_replace("html", MARKUP, "")).alias("content")).agg(F.min("html").alias("html"))
+    aligned = distinct.select("host", "html").join(small_side(references, REFERENCE_BYTES, int(size)), "host")
     seen = aligned.mapInArrow(_observe, "host string, node int, pages long, same long, chars long")
     seen = seen.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.sum("chars").alias("chars"))
     # one entry per node of one page

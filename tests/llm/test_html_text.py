@@ -99,3 +99,24 @@ def test_edge_cases(spark):
     got = sorted((repr(r.page_id), r.text, r.n_chars) for r in main_text(frame).collect())
     assert got == [("1", "", 0), ("2", "", 0), ("3", "", 0), ("4", "x", 1), ("4", "x", 1), ("None", "y", 1)]
     assert main_text(frame.limit(0)).count() == 0
+
+
+def test_copies_and_partly_equal_pages_keep_their_text(spark):
+    """Of a host without articles: copies count once, and template is left out only where a page has the template's text."""
+    page = "<html><body><div id=top>My site</div><div id=box><p>{0}</p></div><div id=end>{1}</div></body></html>"
+    copies = [(i, "http://a.b/", page.format("same words", "rights")) for i in range(16)]
+    copies += [(16 + i, "http://a.b/", page.format(f"own words {i}", "rights")) for i in range(4)]
+    mostly = [(100 + i, "http://c.d/", page.format(f"words {i}", "rights" if i < 9 else "a note of this page only")) for i in range(10)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(copies + mostly, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(20)] == ["same words"] * 16 + [f"own words {i}" for i in range(4)]
+    slots = [got[100 + i] for i in range(10)]
+    assert slots[:9] == [f"words {i}" for i in range(9)] and slots[9].startswith("words 9")
+
+
+def test_an_element_is_left_out_only_with_the_text_of_the_template():
+    pages = ["<body><div id=box>{}</div><div id=end>{}</div></body>".format("text", "rights" if i else "other") for i in range(2)]
+    assert extract(pages[0], pages[1], [2, 3], -1) == "other"
+    # a page that differs where 80% agree is not empty, the root isn't template
+    seen = {node: (5, 4, 20) for node in range(len(Shape(parse(pages[1])).labels))}
+    template, slot = induce(pages[1], seen)
+    assert 0 not in template and "other" in extract(pages[0], pages[1], template, slot)
