@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import renamed, small_side, written
 from tessera.llm.components import components
 
-#: Tables, further buckets that a vector probes in each, vectors of a block, vectors that a bucket should hold.
+#: Least number of tables, further buckets that a vector probes in each, vectors of a block, vectors that a bucket should hold.
 TABLES, PROBES, BLOCK, FILL = 6, 2, 1024, 500
 THRESHOLD = 0.9
+#: Share of the pairs at the threshold that tables are added for, by the share that one table finds of simulated pairs.
+RECALL = 0.995
 SEED = 7
 
 
@@ -70,6 +72,55 @@ def buckets(vectors: np.ndarray, table: int, hashes: int, probes: int = PROBES)
     return found
 
 
+def pairs_at(cosine: float, width: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n pairs of random unit vectors of exactly that cosine."""
+    rng = np.random.default_rng([seed, width])
+    one, other = rng.normal(size=(2, n, width))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return one, cosine * one + math.sqrt(1 - cosine**2) * other
+
+
+def meet(one: np.ndarray, other: np.ndarray, table: int, hashes: int) -> np.ndarray:
+    """Does either vector of a pair probe the other's bucket in a table?"""
+    mine, its = buckets(one, table, hashes), buckets(other, table, hashes)
+    return (mine == its[:, :1]).any(axis=1) | (its == mine[:, :1]).any(axis=1)
+
+
+def tables_for(width: int, hashes: int) -> int:
+    """So many tables that pairs at the threshold meet in one of them: the more hashes a table joins, the more tables."""
+    if width < 2:
+        return TABLES
+    one, other = pairs_at(THRESHOLD, width, 500, SEED)
+    share = np.mean([meet(one, other, 100_000 + table, hashes).mean() for table in range(12)])
+    return TABLES if share == 1 else max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - max(share, 1e-3))))
+
+
+def recall(width: int, hashes: int, tables: int) -> float:
+    """Share of simulated pairs at the threshold that meet in one of the tables."""
+    one, other = pairs_at(THRESHOLD, width, 1000, SEED + 1)
+    found = np.zeros(len(one), bool)
+    for table in range(tables):
+        found |= meet(one, other, table, hashes)
+    return float(found.mean())
+
+
+def plan(width: int, n: int, hashes: int | None = None) -> tuple[int, int]:
+    """(hashes, tables) for n vectors of a width: so many hashes that a bucket holds about FILL vectors of random directions.
+
+    Narrow vectors have too few rotations for many hashes; they join fewer, down
+    to one, until pairs at the threshold meet.
+    """
+    if hashes is not None:
+        return hashes, tables_for(width, hashes)
+    hashes = max(1, math.ceil(math.log(max(n, 1) / FILL) / math.log(2 * (1 << max(1, (width - 1).bit_length())))))
+    hashes = min(hashes, 62 // max(1, (2 * width - 1).bit_length() + 1) or 1)  # a bucket's number is a signed 64-bit one
+    while hashes > 1 and width > 1 and recall(width, hashes, tables_for(width, hashes)) < 0.99:
+        hashes -= 1
+    return hashes, tables_for(width, hashes)
+
+
 def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, unit vectors) of a batch, for each length of vector."""
     lengths = np.diff(column.offsets.to_numpy())
@@ -81,7 +132,7 @@ def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, some / np.linalg.norm(some / np.abs(some).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(some).max(axis=1, keepdims=True)
 
 
-def _placed(hashes: int, slim: bool):
+def _placed(plans: dict[int, tuple[int, int]], slim: bool):
     """Each class in each of its buckets: (table, width, bucket) and, unless slim, what a cell needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +140,8 @@ def _placed(hashes: int, slim: bool):
             for part in range(0, whole.num_rows, 1000):
                 batch = whole.slice(part, 1000)
                 for rows, units in _matrix(batch.column("embedding")):
-                    codes = np.stack([buckets(units, table, hashes) for table in range(TABLES)], axis=1)
+                    hashes, tables = plans[1 << max(1, (units.shape[1] - 1).bit_length())]
+                    codes = np.stack([buckets(units, table, hashes) for table in range(tables)], axis=1)
                     which, table, probe = np.nonzero(codes >= 0)
                     columns = [pa.array(table.astype(np.int32)), pa.array(np.full(len(which), units.shape[1], np.int32)), pa.array(codes[which, table, probe])]
                     names = ["table", "width", "bucket"]
@@ -126,7 +178,7 @@ def _cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     cid, n, block = (rows.column(x).to_numpy() for x in ("cid", "n", "block"))
     main = ~rows.column("probe").to_numpy()
     units = np.frombuffer(b"".join(rows.column("unit").to_pylist()), "<f8").reshape(len(cid), -1)
-    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<i8").reshape(len(cid), TABLES, 1 + PROBES)
+    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<i8").reshape(len(cid), -1, 1 + PROBES)
     links, label, ends = np.zeros(len(cid), np.int64), np.arange(len(cid)), []
     for part in range(0, len(cid), 256):
         here = np.arange(part, min(part + 256, len(cid)))
@@ -165,15 +217,14 @@ def _cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def class_links(classes: DataFrame, hashes: int | None = None) -> DataFrame:
     """(a, b, links) over (cid, n, embedding): linked rows of a by cell, b a class that a is connected to."""
-    if hashes is None:  # so many that a bucket holds about FILL vectors of random directions
-        width = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
-        hashes = max(1, math.ceil(math.log(max(classes.count(), 1) / FILL) / math.log(2 * (1 << max(1, (width - 1).bit_length())))))
-        hashes = min(hashes, 62 // max(1, (2 * width - 1).bit_length() + 1) or 1)  # a bucket's number is a signed 64-bit one
-    slim = classes.select("cid", "n", "embedding").mapInArrow(_placed(hashes, True), "table int, width int, bucket long")
+    log = F.length(F.bin(F.size("embedding") - 1))  # of the power of two that a width is filled up to
+    widths = classes.groupBy(log.alias("log")).agg(F.max(F.size("embedding")).alias("width"), F.count("*").alias("n")).collect()
+    plans = {1 << r.log: plan(r.width, r.n, hashes) for r in widths}
+    slim = classes.select("cid", "n", "embedding").mapInArrow(_placed(plans, True), "table int, width int, bucket long")
     sizes = slim.groupBy("table", "width", "bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
     crowded = written(sizes.select("table", "width", "bucket", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
     schema = "table int, width int, bucket long, cid long, n long, probe boolean, unit binary, codes binary"
-    rows = classes.select("cid", "n", "embedding").mapInArrow(_placed(hashes, False), schema)
+    rows = classes.select("cid", "n", "embedding").mapInArrow(_placed(plans, False), schema)
     rows = rows.join(small_side(crowded, 8 << 20, 32), ["table", "width", "bucket"], "left")
     blocks = F.coalesce("blocks", F.lit(1))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

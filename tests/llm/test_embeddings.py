@@ -80,3 +80,18 @@ def test_edge_cases(spark):
     assert sorted((r.n_links, r.kept) for r in rows if r.vec_id == 10) == [(1, True), (1, True)]
     assert [(r.n_links, r.component_id, r.kept) for r in rows if r.vec_id is None] == [(3, 0, False)]
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4])
+@pytest.mark.parametrize("width", [16, 64])
+def test_tables_grow_so_that_pairs_at_the_threshold_meet(width, hashes):
+    one, other = embeddings.pairs_at(embeddings.THRESHOLD, width, 3000, 99)
+    found = np.zeros(len(one), bool)
+    for table in range(embeddings.tables_for(width, hashes)):
+        found |= embeddings.meet(one, other, table, hashes)
+    assert found.mean() >= 0.99
+
+
+@pytest.mark.parametrize("width, n", [(2, 10**6), (4, 10**6), (16, 10**7), (64, 10**9)])
+def test_plans_of_large_tables_reach_the_threshold(width, n):
+    assert embeddings.recall(width, *embeddings.plan(width, n)) >= 0.99
