@@ -6,9 +6,10 @@ second output adds to the first. A template whose output for more turns
 doesn't start with the output for fewer rewrites history and is refused.
 Control strings inside texts are escaped, and the formatted text reads back.
 
-Turns stream through a task in order, so a conversation of any length needs
-the memory of a window: when `WINDOW` turns have been rendered, the older half
-is left out of further renderings. Up to there every prefix is rendered whole.
+Turns stream through a task in order and every prefix is rendered whole, so a
+task holds one conversation and its work grows with the square of its turns.
+Only a caller who knows that a template treats each turn by itself may give
+`spans` a window, of which the older half is left out when it is full.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from tessera.llm.common import renamed
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-WINDOW = 32
 #: Strings that mark turns in some template; none of them is left whole inside an escaped text.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TO_BREAK = re.compile(r"\\|" + "|".join(f"{re.escape(x[0])}(?={re.escape(x[1:])})" for x in CONTROL))
@@ -62,12 +62,12 @@ class Rewritten(ValueError):
     """The template changes what it has rendered for earlier turns."""
 
 
-def spans(turns: Iterator[Turn], template: Template, window: int = WINDOW) -> Iterator[str]:
+def spans(turns: Iterator[Turn], template: Template, window: int | None = None) -> Iterator[str]:
     """What each turn adds to the output, found by rendering successive prefixes."""
     shown: list[Turn] = []
     before = template(shown)
     for turn in turns:
-        if len(shown) >= window:
+        if window is not None and len(shown) >= window:
             shown = shown[window // 2 :]
             before = template(shown)
         after = template([*shown, turn])

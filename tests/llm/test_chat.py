@@ -69,3 +69,17 @@ def test_long_conversation_streams(spark):
     turns = spark.range(500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
     row = chat.digests(chat.rendered(turns)).first()
     assert tuple(row)[1:5] == brute([(i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(500)])
+
+
+def test_long_conversations_are_rendered_whole():
+    turns = [("user" if i % 2 == 0 else "assistant", str(i)) for i in range(60)]
+
+    def numbered(turns):
+        return "".join(f"{i} {role}: {text}\n" for i, (role, text) in enumerate(turns))
+
+    def rewriting(turns):
+        return "".join(text + "\n" for _, text in turns).replace("0\n", "gone\n" if len(turns) > 50 else "0\n", 1)
+
+    assert "".join(chat.spans(iter(turns), numbered)) == numbered(turns)
+    with pytest.raises(chat.Rewritten):
+        list(chat.spans(iter(turns), rewriting))
