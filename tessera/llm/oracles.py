@@ -86,3 +86,49 @@ SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_du
   NOT base_failed AND NOT coalesce(n_words >= {rules.min_words} AND wd > {rules.most_word_distance}, false)
   AND NOT coalesce(length(t) >= {rules.min_chars} AND cd > {rules.most_char_distance}, false) AS kept,
   round(cd, 6) + 0e0 AS char_distance, round(wd, 6) + 0e0 AS word_distance FROM judged"""
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, steps: int = 4096) -> str:
+    """Every part against every entry, round after round, in whole numbers."""
+    floor = "(total - ((total % n + n) % n)) // n"
+
+    def assigned(books: str) -> str:
+        squared = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        best = "arg_min({'entry': entry, 'squared': squared}, {'squared': squared, 'entry': entry})"
+        pairs = f"SELECT row, p.part, entry, CAST({squared} AS BIGINT) AS squared FROM parts p JOIN {books} b ON b.part = p.part"
+        return f"SELECT row, part, {best} AS best FROM ({pairs}) GROUP BY row, part"
+
+    steps_sql = []
+    for i in range(rounds):
+        steps_sql += [
+            f"near{i} AS MATERIALIZED ({assigned(f'books{i}')})",
+            f"""sums{i} AS MATERIALIZED (SELECT part, best.entry AS entry, place, CAST(sum(v) AS HUGEINT) AS total, count(*) AS n
+  FROM (SELECT part, best, unnest(x) AS v, unnest(range(len(x))) AS place FROM near{i} JOIN parts USING (row, part)) GROUP BY ALL)""",
+            f"""books{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM books{i} b LEFT JOIN
+  (SELECT part, entry, list(CAST({floor} AS BIGINT) ORDER BY place) AS x FROM sums{i} GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)""",
+        ]
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+  list_transform(embedding, lambda x: CAST(floor({steps} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS x
+  FROM kept, (SELECT unnest(range({parts})) AS part)),
+books0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM parts WHERE row <= {entries}),
+{", ".join(steps_sql)},
+last AS MATERIALIZED ({assigned(f'books{rounds}')}),
+coded AS (SELECT row, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, CAST(sum(best.squared) AS BIGINT) AS error FROM last GROUP BY row),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), books"""
+
+
+def repeats(window: int = 20) -> str:
+    """All windows, by their words; each word is kept unless one of the windows that cover it isn't the first."""
+    return f"""WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+words AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM docs),
+windows AS (SELECT doc_id, i, list_aggregate(ws[i + 1 : i + {window}], 'string_agg', ' ') AS words
+  FROM (SELECT doc_id, ws, unnest(range(len(ws) - {window - 1})) AS i FROM docs WHERE len(ws) >= {window})),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS place FROM windows) WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range({window})) AS i FROM again),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON kept.doc_id = docs.doc_id"""

@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embeddings, html_text, oracles, packing, pieces, quality, sharding, simhash, toxicity, url_rules
+from tessera.llm import chat, embeddings, html_text, oracles, packing, pieces, quality, repeats, sharding, simhash, toxicity, url_rules, vector_codes, whitening
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The others' hashes, learned weights and vocabularies have no SQL.
-ORACLES = {"op5_quality": oracles.quality(quality.Rules()), "op6_embeddings": oracles.embeddings(), "op7_chat": oracles.chat()}
+ORACLES = {
+    "op5_quality": oracles.quality(quality.Rules()),
+    "op6_embeddings": oracles.embeddings(),
+    "op7_chat": oracles.chat(),
+    "op11_vector_codes": oracles.vector_codes(),
+    "op13_repeats": oracles.repeats(),
+}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -88,3 +94,21 @@ def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded = vector_codes.compressed(table(spark, folder, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return coded.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
