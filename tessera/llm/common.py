@@ -19,6 +19,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_alone(df: DataFrame) -> DataFrame:
+    """As `written`, and the shuffles behind it are deleted once it is written, not when the driver collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return written(df.select("*"))  # a frame takes the setting up as it is made
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def renamed(df: DataFrame, **names: str | Column) -> DataFrame:
     """Only the named columns, under the operator's own names, so that no other column can clash."""
     return df.select(*((df[c] if isinstance(c, str) else c).alias(new) for new, c in names.items()))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import renamed, written
+from tessera.llm.common import renamed, written_alone
 from tessera.llm.words import Ranges, chunks, mixed, split
 
 #: Words of a window.
@@ -221,9 +221,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = rows.select(F.coalesce(F.col("given").cast("long"), F.lit(NO_ID)).alias("doc_id"), tag.alias("tag"), "text", "given")
 
     long_enough = rows.where(F.length("text") >= 2 * window - 1).select("doc_id", "tag", "text")
-    anchors = written(_dealt(long_enough.mapInArrow(_anchors(window), DEALT)))
+    anchors = written_alone(_dealt(long_enough.mapInArrow(_anchors(window), DEALT)))
     again = long_enough.join(_listed(anchors.where("not whole")), ["doc_id", "tag"]).select("doc_id", "tag", "text", "at")
-    windows = written(_dealt(again.mapInArrow(_windows(window), DEALT)).where("whole"))
+    windows = written_alone(_dealt(again.mapInArrow(_windows(window), DEALT)).where("whole"))
 
     whole = _listed(anchors.where("whole")).withColumnRenamed("at", "anchors")
     single = _listed(windows).withColumnRenamed("at", "windows")
