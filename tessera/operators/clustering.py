@@ -1,11 +1,9 @@
-"""k-means with restarts, and the single steps it is made of."""
+"""The single steps that k-means is made of, and a fit by the ML library."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -53,25 +51,6 @@ def update(df: DataFrame, features: Sequence[str], given: Centers) -> DataFrame:
     )
 
 
-def fit_from(df: DataFrame, features: Sequence[str], starts: Centers, rounds: int = fixed.MAX_ROUNDS) -> Centers:
-    """Centres after so many rounds from given ones, or as soon as none moves. A round is one aggregate."""
-    given = [(int(i), [float(v) for v in c]) for i, c in starts]
-    for _ in range(rounds):
-        moved = center_list(update(df, features, given).select("id", "center"), "id")
-        if moved == given:
-            break
-        given = moved
-    return given
-
-
-def best_from(df: DataFrame, features: Sequence[str], starts: Sequence[Centers], rounds: int = fixed.MAX_ROUNDS) -> tuple[Centers, list[tuple[int, float]]]:
-    """The best of several given starts, the earliest on a tie, and every (place of the start, inertia)."""
-    fits = [fit_from(df, features, start, rounds) for start in starts]
-    costs = [float(assign(df, features, fit, []).agg(F.sum("squared")).first()[0] or 0.0) for fit in fits]
-    best = min(range(len(fits)), key=lambda i: (costs[i], i))
-    return fits[best], list(enumerate(costs))
-
-
 def fit_kmeans(vectors: DataFrame, k: int, seed: int, vector: str = "vector") -> KMeansModel:
     # centres that no longer move mean labels that no longer change
     estimator = KMeans(
@@ -80,21 +59,6 @@ def fit_kmeans(vectors: DataFrame, k: int, seed: int, vector: str = "vector") ->
     return estimator.fit(vectors)
 
 
-def fit_best(
-    vectors: DataFrame, k: int, seeds: Sequence[int] = fixed.SEEDS, parallelism: int = 5, vector: str = "vector"
-) -> tuple[KMeansModel, list[tuple[int, float]]]:
-    """The restart with the lowest inertia, the earliest seed on a tie, and every (seed, inertia)."""
-
-    def run(seed: int) -> tuple[int, KMeansModel, float]:
-        model = fit_kmeans(vectors, k, seed, vector)
-        return seed, model, float(model.summary.trainingCost)
-
-    with ThreadPool(max(1, min(parallelism, len(seeds)))) as pool:
-        fits = pool.map(inheritable_thread_target(vectors.sparkSession)(run), list(seeds))
-    best = min(range(len(fits)), key=lambda i: (fits[i][2], i))
-    return fits[best][1], [(seed, cost) for seed, _, cost in fits]
-
-
 def vectorized(df: DataFrame, features: Sequence[str], keep: Sequence[str], vector: str = "vector") -> DataFrame:
     """Features packed in one vector column next to the kept columns."""
     assembler = VectorAssembler(inputCols=list(features), outputCol=vector)

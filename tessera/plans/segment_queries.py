@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
 from tessera.functions import scalars
-from tessera.operators import activity, clustering, insights, kpi, quality, reduction
+from tessera.operators import activity, clustering, insights, kpi, quality, reduction, restarts
 from tessera.operators import features as feats
 from tessera.operators import silhouette as sil
 from tessera.plans.registry import RETAIL_SNAPSHOT, query, r, rounded
@@ -174,30 +174,14 @@ def kmeans_update(spark: SparkSession, sf: str) -> DataFrame:
 
 @contextmanager
 def fitting_points(spark: SparkSession, sf: str) -> Iterator[DataFrame]:
-    """Scaled customer vectors, written once, and cached while a model is fitted."""
-    shared_folder(spark)
-    points = _customer_vectors(spark, sf).checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
+    """Scaled customers, written once, and cached while models are fitted."""
+    points = _written(scaled_customers(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield points
     finally:
         points.unpersist()
 
 
-def _customer_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return clustering.vectorized(scaled_customers(spark, sf), CUSTOMER_FEATURES, ["c_custkey"])
-
-
-ROUNDS = 10
-START_GROUPS = range(fixed.DEFAULT_K)
-
-
-def start_centers(scaled: DataFrame, start: int = 0) -> clustering.Centers:
-    """Start number `start`: the means of the customers by (key div (start + 1)) mod 5."""
-    group = F.floor(F.col("c_custkey") / (start + 1)) % fixed.DEFAULT_K
-    grouped = scaled.withColumn("_group", group.cast("int"))
-    return clustering.center_list(clustering.centers(grouped, "_group", CUSTOMER_FEATURES), "_group")
-
-
 def scaled_customers(spark: SparkSession, sf: str) -> DataFrame:
     matrix = feats.feature_matrix(customer_measures(spark, sf), CUSTOMER_FEATURES, ["c_custkey"])
     return feats.fit_scaler(matrix, CUSTOMER_FEATURES).transform(matrix, ["c_custkey"])
@@ -209,47 +193,71 @@ scaled AS MATERIALIZED (SELECT c_custkey, [{', '.join(
 )}] AS v FROM measures)"""
 
 
-def _rounds_sql(start: int, rounds: int = ROUNDS) -> str:
-    """Centres c{start}_{rounds} after so many rounds, and a{start}, every customer with the nearest of them."""
-    mean = "[" + ", ".join(f"avg(v[{i + 1}])" for i in range(len(CUSTOMER_FEATURES))) + "]"
-    parts = [f"c{start}_0 AS MATERIALIZED (SELECT (c_custkey // {start + 1}) % {fixed.DEFAULT_K} AS id, {mean} AS c FROM scaled GROUP BY 1)"]
-
-    def near(t: int) -> str:
-        best = "min(struct_pack(d := list_distance(v, c), id := id))"
-        return f"SELECT c_custkey, any_value(v) AS v, {best} AS b FROM scaled, c{start}_{t} GROUP BY c_custkey"
-
-    for t in range(rounds):
-        parts.append(f"""c{start}_{t + 1} AS MATERIALIZED (SELECT old.id, coalesce(new.c, old.c) AS c FROM c{start}_{t} old
-  LEFT JOIN (SELECT b.id AS id, {mean} AS c FROM ({near(t)}) GROUP BY b.id) new ON new.id = old.id)""")
-    parts.append(f"a{start} AS MATERIALIZED (SELECT c_custkey, v, b.id AS id, b.d AS d FROM ({near(rounds)}))")
-    return ",\n".join(parts)
+K, SEEDS, DIMS = fixed.DEFAULT_K, fixed.SEEDS, len(CUSTOMER_FEATURES)
+NEAREST = "list_position(list_transform(c, lambda x: list_distance(v, x)), list_min(list_transform(c, lambda x: list_distance(v, x))))"
+
+# Starting centres: in every step each customer's weight over -ln of a number from its key's digest, the largest wins.
+STARTS = f"""draws(seed, step, c) AS (SELECT unnest({list(SEEDS)}), 0, CAST([] AS DOUBLE[][])
+UNION ALL SELECT seed, step + 1, list_append(any_value(c), arg_max(v, {{'race': w / -ln(u), 'u': u, 'v': v}}))
+  FROM (SELECT seed, step, c, v, CASE WHEN step = 0 THEN 1e0 ELSE pow(list_min(list_transform(c, lambda x: list_distance(v, x))), 2) END AS w,
+    (CAST('0x' || substr(md5(c_custkey || ':' || seed || ':' || step), 1, 13) AS BIGINT) + 0.5e0) / {1 << 52} AS u FROM draws, scaled WHERE step < {K})
+  GROUP BY seed, step),
+starts AS MATERIALIZED (SELECT seed, c FROM draws WHERE step = {K})"""
+
+# Rounds until no centre moves by more than rounding, for at most as many as the library allows.
+FITS = f"""fits(seed, n, c, away) AS (SELECT seed, 0, c, 1e0 FROM starts
+UNION ALL SELECT seed, n + 1, list(coalesce(m, old) ORDER BY id), max(coalesce(list_distance(m, old), 0))
+  FROM (SELECT seed, n, unnest(range(1, {K + 1})) AS id, unnest(c) AS old FROM fits WHERE away > 1e-9 AND n < {fixed.MAX_ROUNDS}) AS olds
+  LEFT JOIN (SELECT seed AS s, near, [{', '.join(f'avg(v[{i + 1}])' for i in range(DIMS))}] AS m
+    FROM (SELECT seed, v, {NEAREST} AS near FROM fits, scaled WHERE away > 1e-9 AND n < {fixed.MAX_ROUNDS}) GROUP BY seed, near) AS means
+  ON s = seed AND near = id GROUP BY seed, n),
+ended AS MATERIALIZED (SELECT seed, arg_max(c, n) AS c FROM fits GROUP BY seed),
+placed AS MATERIALIZED (SELECT seed, c_custkey, v, {NEAREST} - 1 AS id, list_min(list_transform(c, lambda x: list_distance(v, x))) AS d FROM ended, scaled),
+runs AS MATERIALIZED (SELECT seed, count(*) AS rows, sum(pow(d, 2)) AS inertia FROM placed GROUP BY seed),
+best AS MATERIALIZED (SELECT min(seed) AS seed FROM runs WHERE inertia <= (SELECT min(inertia) FROM runs) * (1 + 1e-9))"""
+RESTARTS = f"RECURSIVE {SCALED_CUSTOMERS},\n{STARTS},\n{FITS}"
+
+
+@query(f"""WITH RECURSIVE {SCALED_CUSTOMERS},
+{STARTS}, listed AS (SELECT seed, unnest(range({K})) AS id, unnest(c) AS p FROM starts)
+SELECT CAST(seed AS INTEGER) AS seed, CAST(id AS INTEGER) AS id, CAST(unnest(range({DIMS})) AS INTEGER) AS dim, {r('unnest(p)', 6)} AS value FROM listed""")
+def kmeans_starts(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers that five seeds draw as starting centres."""
+    with fitting_points(spark, sf) as points:
+        starts = restarts.draw_starts(points, "c_custkey", CUSTOMER_FEATURES, K, SEEDS)
+    rows = [(seed, i, dim, value) for seed, start in zip(SEEDS, starts) for i, center in start for dim, value in enumerate(center)]
+    return spark.createDataFrame(rows, "seed INT, id INT, dim INT, value DOUBLE").withColumn("value", rounded("value", 6))
 
 
-@query(f"""WITH {SCALED_CUSTOMERS}, {_rounds_sql(0)},
-sizes AS (SELECT id, count(*) AS size FROM a0 GROUP BY id),
-dims AS (SELECT id, unnest(range({len(CUSTOMER_FEATURES)})) AS dim, unnest(c) AS value FROM c0_{ROUNDS})
+@query(f"""WITH {RESTARTS},
+sizes AS (SELECT id, count(*) AS size FROM placed JOIN best USING (seed) GROUP BY id),
+dims AS (SELECT id, unnest(range({DIMS})) AS dim, unnest(p) AS value FROM (SELECT unnest(range({K})) AS id, unnest(c) AS p FROM ended JOIN best USING (seed)))
 SELECT CAST(dims.id AS INTEGER) AS id, CAST(coalesce(size, 0) AS BIGINT) AS size, CAST(dim AS INTEGER) AS dim, {r('value', 5)} AS value
 FROM dims LEFT JOIN sizes ON sizes.id = dims.id""")
 def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten rounds from given starting centres: size and place of every cluster."""
-    points = _written(scaled_customers(spark, sf))
-    given = clustering.fit_from(points, CUSTOMER_FEATURES, start_centers(points), ROUNDS)
+    """The best of five finished fits: size and place of every cluster."""
+    with fitting_points(spark, sf) as points:
+        given = restarts.best_of(customer_fits(points)).centers
     labelled = clustering.assign(points, CUSTOMER_FEATURES, given, ["c_custkey", *CUSTOMER_FEATURES])
     stats = quality.cluster_stats(labelled.drop("squared"), "prediction", CUSTOMER_FEATURES, given)
     return stats.select("id", "size", F.posexplode("centroid").alias("dim", "value")).withColumn("value", rounded("value", 5))
 
 
-@query(f"""WITH {SCALED_CUSTOMERS}, {', '.join(_rounds_sql(start, 4) for start in START_GROUPS)},
-runs AS ({' UNION ALL '.join(f'SELECT {start} AS start, sum(pow(d, 2)) AS inertia, count(*) AS rows FROM a{start}' for start in START_GROUPS)})
-SELECT CAST(start AS INTEGER) AS start, rows, {r('inertia', 4)} AS inertia, inertia = (SELECT min(inertia) FROM runs) AS is_best FROM runs""")
+@query(f"""WITH {RESTARTS}
+SELECT CAST(seed AS INTEGER) AS seed, rows, {r('inertia', 4)} AS inertia, seed = (SELECT seed FROM best) AS is_best FROM runs""")
 def kmeans_best_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Five given starts, the inertia of each after four rounds, the least marked."""
-    points = _written(scaled_customers(spark, sf))
-    starts = [start_centers(points, start) for start in START_GROUPS]
-    _, runs = clustering.best_from(points, CUSTOMER_FEATURES, starts, 4)
-    best = min(runs, key=lambda run: (run[1], run[0]))[0]
-    listed = F.array(*[F.struct(F.lit(start).alias("start"), F.lit(cost).alias("inertia"), F.lit(start == best).alias("is_best")) for start, cost in runs])
-    return points.agg(F.count("*").alias("rows")).select("rows", F.inline(listed)).withColumn("inertia", rounded("inertia", 4))
+    """Five seeds, the inertia of each when its labels have settled, the least marked."""
+    with fitting_points(spark, sf) as points:
+        fits = customer_fits(points)
+        best = restarts.best_of(fits)
+        rows = points.count()
+    listed = [(seed, rows, fit.inertia, fit is best) for seed, fit in zip(SEEDS, fits)]
+    return spark.createDataFrame(listed, "seed INT, rows LONG, inertia DOUBLE, is_best BOOLEAN").withColumn("inertia", rounded("inertia", 4))
+
+
+def customer_fits(points: DataFrame) -> list[restarts.Fit]:
+    starts = restarts.draw_starts(points, "c_custkey", CUSTOMER_FEATURES, K, SEEDS)
+    return restarts.fit_all(points, "c_custkey", CUSTOMER_FEATURES, starts)
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -566,22 +574,22 @@ def segment_scatter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FLAGSHIP = _silhouette_sql(
-    f"{SCALED_CUSTOMERS}, {_rounds_sql(0)},\npts AS (SELECT c_custkey AS id, a0.id AS label, v, 1 AS one FROM a0)", "list_distance(a.v, b.v)", "one"
+    f"{RESTARTS},\nmine AS MATERIALIZED (SELECT c_custkey, v, id, d FROM placed JOIN best USING (seed)),\n"
+    "pts AS (SELECT c_custkey AS id, mine.id AS label, v, 1 AS one FROM mine)", "list_distance(a.v, b.v)", "one"
 )
 
 
 @query(f"""WITH {FLAGSHIP},
-stats AS (SELECT id, count(*) AS size, avg(d) AS d FROM a0 GROUP BY id),
+ids AS (SELECT unnest(range({K})) AS id),
+stats AS (SELECT id, count(*) AS size, avg(d) AS d FROM mine GROUP BY id),
 s AS (SELECT sum(w * score) / sum(w) AS silhouette FROM scores)
-SELECT CAST(c0_{ROUNDS}.id AS INTEGER) AS id, 'Segment ' || (c0_{ROUNDS}.id + 1) AS name, CAST(coalesce(size, 0) AS BIGINT) AS size,
+SELECT CAST(ids.id AS INTEGER) AS id, 'Segment ' || (ids.id + 1) AS name, CAST(coalesce(size, 0) AS BIGINT) AS size,
        {r('100.0 * coalesce(size, 0) / (SELECT count(*) FROM customer)', 1)} AS percent, {r('coalesce(d, 0)', 5)} AS avg_distance,
        {r('1 / (1 + coalesce(d, 0))', 5)} AS cohesion, {r('silhouette', 5)} AS silhouette
-FROM c0_{ROUNDS} LEFT JOIN stats ON stats.id = c0_{ROUNDS}.id, s""")
+FROM ids LEFT JOIN stats ON stats.id = ids.id, s""")
 def segment_customers(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: customers segmented on four measures from given starting centres, one row per segment."""
-    result = segment(
-        customer_measures(spark, sf), "c_custkey", CUSTOMER_FEATURES, starts=lambda scaled: [start_centers(scaled)], rounds=ROUNDS
-    )
+    """The flagship: customers segmented on four measures, the best of five finished fits, one row per segment."""
+    result = segment(customer_measures(spark, sf), "c_custkey", CUSTOMER_FEATURES)
     described = insights.describe_segments(result.clusters)
     rows = result.metrics.select("rows").scalar()
     silhouette = result.metrics.select("silhouette").scalar()
@@ -598,7 +606,8 @@ def segment_customers(spark: SparkSession, sf: str) -> DataFrame:
 true AS inertia_agrees FROM customer""")
 def kmeans_converged(spark: SparkSession, sf: str) -> DataFrame:
     """A finished fit: every row at its nearest centre, every centre the mean of its rows, inertia as reported."""
-    with fitting_points(spark, sf) as points:
+    with fitting_points(spark, sf) as scaled:
+        points = clustering.vectorized(scaled, CUSTOMER_FEATURES, ["c_custkey"])
         model = clustering.fit_kmeans(points, fixed.DEFAULT_K, fixed.SEEDS[0])
     given = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
     rows = model.transform(points).select(vector_to_array("vector").alias("v"), "prediction")

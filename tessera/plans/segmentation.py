@@ -7,15 +7,15 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as fixed
 from tessera.operators import quality
-from tessera.operators.clustering import Centers, assign, best_from, fit_best, vectorized
+from tessera.operators.clustering import Centers, assign
 from tessera.operators.features import Scaler, feature_matrix
 from tessera.operators.reduction import Components, fit_scaled_components
+from tessera.operators.restarts import Fit, best_of, draw_starts, fit_all
 from tessera.operators.silhouette import silhouette, silhouette_squared
 from tessera.session import shared_folder
 
@@ -34,7 +34,7 @@ class SegmentResult:
     metrics: DataFrame
     scaler: Scaler
     components: Components
-    runs: tuple[tuple[int, float], ...]
+    runs: tuple[Fit, ...]
 
 
 def segment(
@@ -51,9 +51,10 @@ def segment(
 ) -> SegmentResult:
     """Segments rows by k-means on standardised features.
 
-    The restarts share one written and cached copy of the scaled vectors, from
-    random centres by seed, or from those that `starts` makes of the scaled
-    rows (row id and features). measure names the silhouette: "exact", which
+    The restarts share one written and cached copy of the scaled rows and move in
+    the same scans, until their labels settle or for so many rounds. They start
+    from rows drawn by seed, or from the centres that `starts` makes of the
+    scaled rows (row id and features). measure names the silhouette: "exact", which
     takes work quadratic in the distinct points, "grid" with a step, "squared",
     which is linear, or None. It is the same at any number of rows.
     """
@@ -72,17 +73,12 @@ def segment(
     scaler, components = fit_scaled_components(matrix, features)
     scaled = scaler.transform(matrix, [row_id]).checkpoint()
     matrix.unpersist()
-    if starts is None:
-        vectors = vectorized(scaled, features, [row_id]).persist(StorageLevel.MEMORY_AND_DISK)
-        model, runs = fit_best(vectors, k, seeds)
-        given = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-        predicted = model.transform(vectors).select(row_id, vector_to_array("vector").alias("_v"), "prediction")
-        labelled = predicted.select(row_id, "prediction", *[F.get("_v", F.lit(i)).alias(f) for i, f in enumerate(features)])
-        labelled = labelled.checkpoint()
-        vectors.unpersist()
-    else:
-        given, runs = best_from(scaled, features, starts(scaled), rounds)
-        labelled = assign(scaled, features, given, [row_id, *features]).drop("squared").checkpoint()
+    points = scaled.persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it
+    given_starts = draw_starts(points, row_id, features, k, seeds) if starts is None else starts(points)
+    runs = fit_all(points, row_id, features, given_starts, rounds)
+    given = best_of(runs).centers
+    points.unpersist()
+    labelled = assign(scaled, features, given, [row_id, *features]).drop("squared").checkpoint()
     labels = components.transform(labelled, [row_id, "prediction"])
     stats = quality.cluster_stats(labelled, "prediction", features, given, k)
     if measure in ("exact", "grid"):
@@ -94,7 +90,7 @@ def segment(
     metrics = measures.select(
         F.col("points").alias("rows"),
         F.lit(k).alias("num_clusters"),
-        F.lit(min(cost for _, cost in runs)).alias("inertia"),
+        F.lit(best_of(runs).inertia).alias("inertia"),
         F.col("silhouette"),
         F.lit(measure).cast("string").alias("silhouette_measure"),
         shares.alias("pca_variance_explained"),

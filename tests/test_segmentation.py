@@ -49,7 +49,8 @@ def test_segment_finds_separate_groups(spark):
     metrics = result.metrics.first()
     assert metrics["rows"] == 25 and metrics["silhouette"] > 0.8 and metrics["silhouette_measure"] == "exact"
     assert sum(metrics["pca_variance_explained"]) == pytest.approx(1.0)
-    assert metrics["inertia"] == min(cost for _, cost in result.runs) and len(result.runs) == 5
+    assert metrics["inertia"] == min(fit.inertia for fit in result.runs) and len(result.runs) == 5
+    assert all(fit.settled for fit in result.runs)
     assert max(r["importance"] for r in result.importance.collect()) == 1.0
     total = quality.inertia(
         result.scaler.transform(customers(spark), ["id"]).join(result.labels.select("id", "prediction"), "id"),
@@ -163,15 +164,6 @@ def test_more_labels_than_a_fit_has(spark):
     assert stats.count() == 1300 and stats.agg(F.max("avg_distance")).first()[0] == pytest.approx(0.0)
 
 
-def test_fit_from_given_centers(spark):
-    data = np.array([[0.0], [1.0], [10.0], [11.0], [50.0]])
-    df = points(spark, data, np.zeros(5))
-    fit = clustering.fit_from(df, ["f0"], [(0, [0.0]), (1, [10.0])])
-    assert fit == [(0, [5.5]), (1, [50.0])]
-    assert clustering.fit_from(df, ["f0"], [(0, [0.0]), (1, [10.0])], rounds=0) == [(0, [0.0]), (1, [10.0])]
-    best, runs = clustering.best_from(df, ["f0"], [[(0, [0.0]), (1, [1000.0])], [(0, [0.0]), (1, [10.0])]])
-    assert best == fit and runs[1][1] < runs[0][1]
-
 
 def test_importance(spark):
     data = np.array([[0.0, 1.0, 3.0], [0.0, 2.0, 3.0], [4.0, 1.0, 3.0], [4.0, 2.0, 3.0]])
