@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import renamed, written
 from tessera.llm.word_ids import encoder
+from tessera.llm.words import chunks
 
 #: Tokens of a sequence; the id that ends a document.
 CAPACITY, END = 2048, 1
@@ -85,25 +86,23 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(tokenizer).encode, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        end = END.to_bytes(4, "little")
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                some = batch.slice(part, 256)
+            for some in chunks(batch, 1):
                 rows = []
-                encoded = encode([x or "" for x in some.column(1).to_pylist()])
-                for row, data in enumerate(encoded):
-                    data += end
-                    total = len(data) // 4
-                    for start in range(0, total, capacity):
-                        ids = data[4 * start : 4 * (start + capacity)]
-                        length = len(ids) // 4
-                        rows.append((row, start, length, zlib.crc32(ids), total, seen[length], ids if with_ids else None))
+                ids, ends = encode(some.column(1))
+                ids = np.insert(ids, ends[1:], END).astype("<u4")  # the ending id after each text
+                ends = ends + np.arange(len(ends))
+                for row, (first, last) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                    for start in range(first, last, capacity):
+                        data = ids[start : min(start + capacity, last)]
+                        length = len(data)
+                        rows.append((row, start - first, length, zlib.crc32(data), last - first, seen[length], data.tobytes() if with_ids else None))
                         seen[length] += 1
                 if not rows:
                     continue
-                row, start, length, crc, total, number, ids = zip(*rows, strict=True)
+                row, start, length, crc, total, number, data = zip(*rows, strict=True)
                 columns = [some.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-                columns += [pa.array([task] * len(row), pa.int32()), pa.array(number, pa.int64()), pa.array(ids, pa.binary())]
+                columns += [pa.array([task] * len(row), pa.int32()), pa.array(number, pa.int64()), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_task", "_number", "ids"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -116,7 +115,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) and, if wanted, the ids as bytes.
 
     A null or empty text is the ending id alone. Repeated rows and rows with a
-    null doc_id are packed like others. An empty table gives an empty one.
+    null doc_id are packed like others; very long texts are cut into as many
+    pieces as they need. An empty table gives an empty one; other columns are
+    neither read nor returned.
     """
     cut = written(pieces(docs, tokenizer, capacity, doc_id, text, with_ids))
     by_task = cut.groupBy("length", "_task").agg(F.count("*").alias("_rows"))

@@ -1,8 +1,11 @@
 """Token ids of whole texts by the word-end BPE tokenizer, one lookup per word.
 
 White space always ends a token of this tokenizer and carries no id, so a
-text's ids are those of its white-space separated words one after another.
-Words are looked up in a bounded memory; unseen ones are encoded together.
+text's ids are those of its white-space separated words one after another. Arrow
+splits and names the words of many texts; each different word is looked up once in
+a bounded memory, unseen ones are encoded together, and the ids are gathered by
+their places. The tokenizer's own marks, as `<|endoftext|>`, are what they are
+in the library's default: one id, wherever they stand.
 """
 
 from __future__ import annotations
@@ -12,61 +15,68 @@ import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from tessera.llm.words import split
+
 #: Words remembered by a Python worker before it forgets all.
 REMEMBERED = 700_000
 
 
 class WordIds:
-    """Encoder of one worker: texts to ids as little-endian unsigned 32-bit bytes."""
+    """Encoder of one worker: texts to ids."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = tuple(str(token) for token in self.tokenizer.get_added_tokens_decoder().values())
         self.remembered = remembered
         self.ids: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        split = [text.split() for text in texts]
-        # str.split also cuts at a few separators that the tokenizer drops or keeps as signs of their own
-        whole = [not text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f\x85") or any(c in text for c in "\x1c\x1d\x1e\x1f") for text in texts]
-        out: list[bytes] = []
-        start = 0
-        while start < len(split):
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts; text i has ids[ends[i] : ends[i + 1]], a null one none."""
+        words = split(texts)
+        known = words.vocabulary.to_pylist()
+        parts: list[bytes] = []
+        for start in range(0, len(known), max(1, self.remembered // 4)):
+            some = known[start : start + max(1, self.remembered // 4)]
             if len(self.ids) > self.remembered:
                 self.ids.clear()
-            stop, words = start, set()
-            while stop < len(split) and (stop == start or len(words) < self.remembered // 4):
-                words.update(split[stop])
-                stop += 1
-            self._learn(words)
-            of = self.ids.__getitem__
-            for text, parts, as_one in zip(texts[start:stop], split[start:stop], whole[start:stop], strict=True):
-                out.append(self._plain(text) if as_one else b"".join(map(of, parts)))
-            start = stop
-        return out
+            self._learn(some)
+            parts += map(self.ids.__getitem__, some)
+        of_words = np.frombuffer(b"".join(parts), "<u4")
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins = np.cumsum(counts) - counts
+        length = counts[words.codes]
+        after = np.cumsum(length)
+        ids = of_words[np.repeat(begins[words.codes] - (after - length), length) + np.arange(int(length.sum()))]
+        return ids, np.r_[0, after][words.ends]
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Adds the ids of unseen words: a run of letters, perhaps with a stop or comma, or anything else."""
         known, stems, tails, others = self.ids, set(), [], []
         for word in words:
             if word in known:
                 continue
+            if not word:  # beside leading or trailing white space
+                known[word] = b""
+                continue
             stem = word.lower() if word.isascii() else word
             tail = ""
             if stem[-1] in ".,":
                 stem, tail = stem[:-1], stem[-1]
             if not _letters(stem):
-                others.append(word)
+                if len(word.split()) != 1 or not _ODD.isdisjoint(word) or any(mark in word.lower() for mark in self.marks):
+                    known[word] = self._plain(word)
+                else:
+                    others.append(word)
                 continue
             if stem not in known:
                 stems.add(stem)
@@ -107,6 +117,10 @@ class WordIds:
             start = end
 
 
+#: Signs that Python takes for white space and the tokenizer drops or keeps.
+_ODD = frozenset("\x1c\x1d\x1e\x1f\x85")
+
+
 def _letters(word: str) -> bool:
     """Is a word, also in its normal form and in lower case, a run of letters?"""
     return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -17,9 +18,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_the_tokenizers(tokenizer):
@@ -31,9 +30,17 @@ def test_ids_are_the_tokenizers(tokenizer):
     signs = "aBé'st.,1² \n ́ſK-_ñ"
     odd += ["".join(r.choice(signs) for _ in range(r.randint(1, 30))) for _ in range(2000)]
     for remembered in (3, 100_000):
-        words = WordIds(PATH, remembered)
-        for text, data in zip(odd, words.encode(odd), strict=True):
-            assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        ids, ends = WordIds(PATH, remembered).encode(pa.array([*odd, None]))
+        for text, a, b in zip(odd, ends, ends[1:]):
+            assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_marks_in_a_text_are_one_id(tokenizer):
+    texts = ["a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>. x<|endoftext|", "<|endoftext|><|endoftext|>\n<|endoftext|>,", "Straße<|endoftext|>"]
+    ids, ends = WordIds(PATH).encode(pa.array(texts))
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    assert 49407 in want[0] and want[1].count(49407) == 3 and 49406 in want[0]
 
 
 @settings(max_examples=60, deadline=None)
