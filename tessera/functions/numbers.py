@@ -82,20 +82,25 @@ def number_text(col: Column) -> Column:
     5.0 -> '5', 1.0E7 -> '10000000', 5.0E-4 -> '0.0005', 1.5E-7 -> '1.5e-7', 1.0E21 -> '1e+21'.
     """
     text = col.cast("string")
-    sign = F.when(col < 0, "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.0$", ""), r"\.", "")
-    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    # most numbers have no exponent: one look for it, and a whole number's ".0" is cut
+    plain = F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    return F.when(col == 0, F.lit("0")).when(~text.contains("E"), plain).otherwise(_from_exponent(col, text))
+
+
+def _from_exponent(col: Column, text: Column) -> Column:
+    """The text of a number that Spark writes as digits and an exponent: d.dddE7."""
+    sign, cut = F.when(col < 0, "-").otherwise(""), F.instr(text, "E")
+    exponent = F.substring(text, cut + 1, F.length(text)).try_cast("int")
+    mantissa = F.regexp_replace(F.ltrim(F.substring(text, F.lit(1), cut - 1), F.lit("-")), r"\.0$", "")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
     # the digits, d.ddd times ten to the exponent, with their point moved
     large = F.rpad(digits, exponent + 1, "0")
     large = F.when(F.length(digits) > exponent + 1, F.concat(F.left(digits, exponent + 1), F.lit("."), F.substr(digits, exponent + 2))).otherwise(large)
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.0$", "")
     scientific = F.concat(mantissa, F.when(exponent > 0, "e+").otherwise("e"), exponent.cast("string"))
     size = F.abs(col)
     return (
-        F.when(col == 0, F.lit("0"))
-        .when(exponent.isNull(), F.regexp_replace(text, r"\.0$", ""))
-        .when((size >= 1e-6) & (size < 1), F.concat(sign, small))
+        F.when((size >= 1e-6) & (size < 1), F.concat(sign, small))
         .when((size >= 1) & (size < 1e21), F.concat(sign, large))
         .otherwise(F.concat(sign, scientific))
     )

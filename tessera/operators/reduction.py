@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as fixed
 from tessera.functions.sqltext import name_sql, number_sql
 from tessera.operators.features import Scaler
+from tessera.operators.gram import moments
 
 
 def covariance_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -33,6 +34,26 @@ def covariance_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return one_row.select(F.inline(F.array(*cells)))
 
 
+def vector_covariance(df: DataFrame, vector: str, sample: bool = True) -> DataFrame:
+    """Covariance of every pair of places of a vector column: feature_i, feature_j, covariance.
+
+    The rows are read once and multiplied in blocks; the plan doesn't grow with
+    the width.
+    """
+    spread = moments(df, vector).covariance(sample)
+    rows = [(i, j, float(value)) for i, row in enumerate(spread) for j, value in enumerate(row)]
+    return df.sparkSession.createDataFrame(rows, "feature_i INT, feature_j INT, covariance DOUBLE")
+
+
+def fit_vector_components(df: DataFrame, vector: str, count: int = fixed.COMPONENTS) -> Components:
+    """Leading components of a vector column; features are named by their place."""
+    found = moments(df, vector)
+    if not found.n:
+        raise ValueError("Dataset is empty")
+    names = tuple(str(i) for i in range(len(found.mean)))
+    return _components(names, [float(m) for m in found.mean], found.covariance(), count)
+
+
 @dataclass(frozen=True)
 class Components:
     """Loadings (one list per component) and each component's share of the kept variance."""

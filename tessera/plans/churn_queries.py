@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as fixed
 from tessera.functions import scalars
 from tessera.operators import activity, sequences
+from tessera.operators.projection import Feature, project
+from tessera.operators.snapshots import snapshot_features
 from tessera.plans.churn_store import activity_features, churn_features
 from tessera.plans.registry import EVENT_SNAPSHOT, RETAIL_SNAPSHOT, query, r, rounded
 from tessera.sources.tables import table
@@ -445,3 +447,67 @@ def activity_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("model_snapshot_date", "avg_session_duration_mins").withColumnsRenamed(
         {"_day": "model_snapshot_date", "_minutes": "avg_session_duration_mins"}
     )
+
+
+MONTHS = [f"1998-{month:02}-01" for month in range(1, 13)]
+
+
+@query(f"""WITH snaps AS (SELECT unnest([{', '.join(f"DATE '{m}'" for m in MONTHS)}]) AS snapshot),
+days AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, count(*) AS n, sum({MONEY}) AS spend FROM orders GROUP BY ALL),
+sums AS (SELECT o_custkey, snapshot,
+  sum(n) FILTER (d < snapshot) AS total_orders, sum(spend) FILTER (d < snapshot) AS lifetime_spend,
+  {', '.join(f"sum(n) FILTER (d < snapshot AND d >= snapshot - {w}) AS orders_last_{w}d, sum(spend) FILTER (d < snapshot AND d >= snapshot - {w}) AS spend_last_{w}d" for w in (30, 90, 365))},
+  min(date_diff('day', d, snapshot)) FILTER (d < snapshot) AS days_since_last_purchase,
+  count(*) FILTER (d >= snapshot AND d < snapshot + 90) AS later FROM days, snaps GROUP BY o_custkey, snapshot)
+SELECT c_custkey AS customer_id, CAST(snaps.snapshot AS VARCHAR) AS snapshot, CAST(coalesce(total_orders, 0) AS BIGINT) AS total_orders,
+  {', '.join(f"CAST(coalesce(orders_last_{w}d, 0) AS BIGINT) AS orders_last_{w}d, coalesce(CAST(spend_last_{w}d AS DOUBLE), 0e0) AS spend_last_{w}d" for w in (30, 90, 365))},
+  coalesce(CAST(lifetime_spend AS DOUBLE), 0e0) AS lifetime_spend, CAST(days_since_last_purchase AS INTEGER) AS days_since_last_purchase,
+  CASE WHEN coalesce(later, 0) = 0 THEN 1 ELSE 0 END AS churn_label
+FROM customer CROSS JOIN snaps LEFT JOIN sums ON o_custkey = c_custkey AND sums.snapshot = snaps.snapshot""")
+def churn_features_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Features and churn label of all customers at the start of twelve months, from one scan of the orders."""
+    found = snapshot_features(
+        table(spark, sf, "customer"), "c_custkey", table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_totalprice", MONTHS, label_days=90
+    )
+    return found.withColumn("snapshot", F.col("snapshot").cast("string"))
+
+
+#: The declared features of the nested record below.
+WIDE = (
+    Feature("balance", "account.balance", to="double"),
+    Feature("segment", "account.segment", default="none"),
+    Feature("in_debt", "account.in_debt", "flag"),
+    Feature("has_ordered", "orders.first", "present"),
+    Feature("years_a_customer", "orders.first", "age", default=0),
+    Feature("days_inactive", "orders.last", "days", default=-1),
+    Feature("large_share", "orders.large", "ratio", by="orders.number", digits=4, default=0.0),
+    Feature("orders", "orders.number", to="bigint", default=0),
+)
+
+
+@query(f"""WITH o AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last, count(*) AS number,
+  count(*) FILTER (o_totalprice > 100000) AS large FROM orders GROUP BY o_custkey)
+SELECT c_custkey, c_acctbal AS balance, coalesce(CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END, 'none') AS segment,
+  CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS in_debt, CASE WHEN first IS NULL THEN 0 ELSE 1 END AS has_ordered,
+  CAST(coalesce(floor(date_diff('day', first, {SNAP}) / 365e0), 0) AS INTEGER) AS years_a_customer,
+  CAST(coalesce(date_diff('day', last, {SNAP}), -1) AS INTEGER) AS days_inactive,
+  {r('coalesce(large / number, 0)', 4)} AS large_share, CAST(coalesce(number, 0) AS BIGINT) AS orders
+FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def wide_record_features(spark: SparkSession, sf: str) -> DataFrame:
+    """A declared projection of a nested customer record: flags with and without a value, dates, a ratio, defaults."""
+    orders = table(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.min(F.col("o_orderdate").cast("date")).alias("first"), F.max(F.col("o_orderdate").cast("date")).alias("last"),
+        F.count("*").alias("number"), F.count_if(F.col("o_totalprice") > 100000).alias("large"),
+    )
+    joined = table(spark, sf, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    record = joined.select(
+        "c_custkey",
+        F.struct(
+            F.col("c_acctbal").alias("balance"),
+            F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"),
+            F.when(F.col("c_acctbal") < 0, F.lit(True)).when(F.col("c_acctbal") > 5000, F.lit(False)).alias("in_debt"),  # else unknown
+        ).alias("account"),
+        F.when(F.col("o_custkey").isNotNull(), F.struct("first", "last", "number", "large")).alias("orders"),
+    )
+    made = project(record, WIDE, ["c_custkey"], RETAIL_SNAPSHOT)
+    return made.withColumn("large_share", rounded("large_share", 4))

@@ -151,6 +151,35 @@ def pca_components(spark: SparkSession, sf: str) -> DataFrame:
     return listed.withColumns({"share": rounded("share", 6), "loading": rounded(F.abs("loading"), 6)})
 
 
+PLACES = """cells AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+pairs AS MATERIALIZED (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS c, covar_pop(a.x, b.x) AS p FROM cells a JOIN cells b USING (vec_id) GROUP BY ALL)"""
+
+
+@query(f"""WITH {PLACES} SELECT CAST(i AS INTEGER) AS feature_i, CAST(j AS INTEGER) AS feature_j, {r('c', 9)} AS covariance FROM pairs""")
+def embedding_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    """Covariance of all 64 places of the embeddings, in one scan."""
+    found = reduction.vector_covariance(table(spark, sf, "embeddings"), "embedding")
+    return found.withColumn("covariance", rounded("covariance", 9))
+
+
+@query(f"""WITH RECURSIVE {PLACES},
+m AS MATERIALIZED (SELECT list(r ORDER BY i) AS mat FROM (SELECT i, list(p ORDER BY j) AS r FROM pairs GROUP BY i)),
+steps(n, v) AS (SELECT 0, list_transform(range({SIZE}), lambda x: 1e0 / (x + 1)) UNION ALL
+  SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+  FROM (SELECT n, list_transform(mat, lambda r: list_dot_product(r, v)) AS w FROM steps, m WHERE n < 1000)),
+found AS (SELECT v, list_dot_product(v, list_transform(mat, lambda r: list_dot_product(r, v))) AS size FROM steps, m WHERE n = 1000)
+SELECT CAST(unnest(range({SIZE})) AS INTEGER) AS place, {r('abs(unnest(v))', 4)} AS loading, {r('size', 6)} AS variance FROM found""")
+def embedding_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The leading component of the embeddings; its sign is arbitrary."""
+    points = table(spark, sf, "embeddings")
+    found = reduction.fit_vector_components(points, "embedding", 1)
+    variance = points.agg(F.var_pop(F.expr(" + ".join(f"embedding[{i}] * {w!r}D" for i, w in enumerate(found.loadings[0])))).alias("variance"))
+    listed = F.array(*[F.lit(w) for w in found.loadings[0]])
+    return variance.select(F.posexplode(listed).alias("place", "loading"), "variance").select(
+        "place", rounded(F.abs("loading"), 4).alias("loading"), rounded("variance", 6).alias("variance")
+    )
+
+
 @query(f"""WITH {VECTORS},
 best AS (SELECT vec_id, min(struct_pack(d := list_distance(v, c), id := id)) AS b FROM points, centers GROUP BY vec_id)
 SELECT vec_id, CAST(b.id AS INTEGER) AS prediction, {r('b.d', 6)} AS distance FROM best""")
