@@ -10,14 +10,40 @@ def read(symbols):
     return "".join(grammar().best(list(symbols))[0])
 
 
+def weight(symbols):
+    return grammar().best(list(symbols))[1]
+
+
 def test_grammar_tells_events():
-    assert read("OIO") == "OiO"
-    assert read("YOI") == "YOa"  # aimed
-    assert read("NOI") == "NOd"  # denied
-    assert read("NOOOI") == "NOOOi"  # beyond the reach of the negator
-    assert read("ROOI") == "ROOq"  # quoted
+    assert read("O1O") == "OiO"
+    assert read("YO1") == "YOa" and read("2OY") == "aOY"  # aimed, before or after
+    assert read("2OOOY") == "aOOOY" and read("2OOOOY") == "iOOOOY"  # a target reaches over four words
+    assert read("NO1") == "NOd"  # denied
+    assert read("NOOO1") == "NOOOi"  # beyond the reach of the negator
+    assert read("ROO3") == "ROOq"  # quoted
     assert read("TOY") == "TOt" and read("YT") == "Yt"  # a threat once it has a target
-    assert read("TOO") == "TOO"
+    assert read("TOO") == "TOO" and read("NTY")[1] == "d" and read("RTY")[1] == "q"
+
+
+def test_arcs_weigh_what_they_match():
+    assert any(w for arcs in grammar().arcs.values() for _, _, w in arcs)
+    for level, odds in toxicity.LEVELS.items():
+        assert weight(f"O{level}O") == odds and weight(f"YO{level}") == weight(f"{level}OY") == 1.5 * odds
+        assert weight(f"RO{level}") == 0 and weight(f"NO{level}") < 0
+    assert weight("1O2") == 7.5 and weight("1O2Y") == 1.5 * 7.5 and weight("TOY") == toxicity.THREAT_WEIGHT and weight("TOO") == 0
+    assert weight("2OOOOOOO") == 4.5  # a promise that isn't kept is never the best path
+
+
+def test_best_path_equals_the_best_of_all_paths():
+    import random
+
+    r, g = random.Random(3), grammar()
+    for _ in range(300):
+        symbols = [r.choice("123TYNRO") for _ in range(r.randint(1, 7))]
+        paths = [(0.0, g.start)]
+        for symbol in symbols:
+            paths = [(total + w, to) for total, state in paths for to, _, w in g.step(state, symbol)]
+        assert g.best(symbols)[1] == max(total for total, _ in paths)
 
 
 def test_composition_equals_one_after_the_other():
@@ -48,10 +74,25 @@ def test_composition_equals_one_after_the_other():
 
 
 def test_scorer_weighs_words_and_stems():
-    scorer = Scorer(Model({"idiot": 5.0}, {"blar": 4.0}))
-    assert scorer.events("You are an idiot. Blarstan!") == [4.0, 5.0, 0.0, 0.0, 0.0]
-    assert scorer.events("I will kill you") == [0.0, 0.0, 1.0, 0.0, 0.0]
-    assert scorer.events(None) == scorer.events("") == scorer.events("fine words") == [0.0] * 5
+    scorer = Scorer(Model({"idiot": 5.0, "blarstan": 3.5}, {"blar": 6.5, "blarst": 4.6}))
+    assert [scorer.lexical(w) for w in ("idiot", "idio", "idiots", "blar", "blarf", "blarst", "blarsto", "blarstan", "you", "", "é")] == list("2OOO3331YOO")
+    assert scorer.events("You are an idiot. Blarfing!") == [1.5 * 4.5 + 6.0, 1.0, 1.0, 0.0, 0.0, 0.0]
+    assert scorer.events("I will kill you") == [3.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    assert scorer.events(None) == scorer.events("") == scorer.events("fine words") == [0.0] * 6
+
+
+def test_denied_and_quoted_never_raise_a_score():
+    scorer, model = Scorer(Model({"idiot": 5.0}, {})), Model({}, {}, 2.0, -3.0)
+    said = {text: model.total(scorer.events(text)[0]) for text in ("", "an idiot came", "you are an idiot", "no, not an idiot", "she said an idiot came", "the idiot is you")}
+    nothing, plain, aimed, denied, quoted, after = said.values()
+    assert aimed == after > plain > quoted and denied <= nothing and quoted <= nothing
+    for text in ("an idiot came. ", "you idiot! ", "fine. "):
+        assert all(scorer.events(text + more)[0] <= scorer.events(text)[0] for more in ("not an idiot", "he wrote idiot", "never kill you"))
+
+
+def test_very_long_text_is_read_whole():
+    scorer = Scorer(Model({"idiot": 5.0}, {}))
+    assert scorer.events("word " * 200_000 + ". you idiot")[0] == 1.5 * 4.5
 
 
 def test_held_out_accuracy_on_given_documents(spark):
@@ -61,7 +102,7 @@ def test_held_out_accuracy_on_given_documents(spark):
     rows = scored.join(labels, "doc_id").where("held_out and toxic is not null").select("toxic", "predicted", "score").collect()
     caught = [r.predicted for r in rows if r.toxic == 1]
     wrong = [r.predicted for r in rows if r.toxic == 0]
-    assert len(caught) > 20 and sum(caught) / len(caught) > 0.85 and sum(wrong) / len(wrong) < 0.01
+    assert len(caught) > 20 and sum(caught) / len(caught) > 0.9 and sum(wrong) / len(wrong) < 0.01
     assert scored.count() == docs.count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
