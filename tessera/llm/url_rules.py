@@ -2,9 +2,9 @@
 
 A URL becomes a set of tokens, one per slot (host, subdomain, domain, first and
 second folder, ending, query keys, fragment, scheme). Spark's FP-growth mines
-the token sets that go with a label; rules with enough support and confidence
-that no shorter rule makes needless are kept. An inverted index, each rule
-under its rarest token, matches them.
+the token sets that go with a label; rules with enough support and confidence,
+surely above the label's share of all URLs, that no shorter rule makes needless
+are kept. An inverted index, each rule under its rarest token, matches them.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_side
+from tessera.llm.common import small_side, written
 
 ALLOW, BLOCK = "allow", "block"
 LABELS = {0: "label allow", 1: "label block"}
 #: Share of the labelled URLs that a rule must fit together with its label, and how often it must be right.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: Labelled URLs that a rule must fit together with its label, and standard errors by which its confidence must lie above
+#: the label's share of all URLs: of many thousand candidate rules some are far above it by chance.
+LEAST, ERRORS = 10, 4.0
 LABEL_BYTES = 64 << 20
 
 
@@ -91,27 +94,43 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*made)))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[TokenRule]:
+def mine(
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least: int = LEAST, errors: float = ERRORS
+) -> list[TokenRule]:
     """Rules from (url, bad): every labelled URL counts, repeated ones as often as they come.
 
-    A URL has at most nine tokens, so at most 512 / min_support rules reach
-    the driver, whatever the corpus. No labelled URL gives no rule.
+    A rule stays if the lower end of its confidence interval (Wilson's, of so
+    many standard errors) is above the share of its label in all URLs. A URL has
+    at most nine tokens, so at most 512 / min_support rules reach the driver,
+    whatever the corpus. No labelled URL gives no rule.
     """
     rows = labelled.where("url is not null and bad is not null")
-    label = F.when(F.col("bad") == 1, F.lit(LABELS[1])).otherwise(F.lit(LABELS[0]))
-    items = rows.select(F.array_append(tokens_of(F.col("url")), label).alias("items"))
-    if not items.head(1):
+    bad = F.col("bad") == 1
+    items = written(rows.select(F.array_append(tokens_of(F.col("url")), F.when(bad, F.lit(LABELS[1])).otherwise(F.lit(LABELS[0]))).alias("items")))
+    n, n_bad = items.select(F.count(F.lit(1)), F.count_if(F.array_contains("items", LABELS[1]))).first()
+    if not n:
         return []
     parts = max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=parts).fit(items)
-    found = model.associationRules.where(F.col("consequent")[0].isin(list(LABELS.values())))
-    rules = [
-        TokenRule(frozenset(r["antecedent"]), r["consequent"][0] == LABELS[1], round(r["confidence"], 12), round(r["support"], 12))
-        for r in found.collect()
-    ]
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, least / n)), numPartitions=parts).fit(items)
+    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    # only sets with a label make a rule: its tokens are the rest of the set, whose count is another row
+    label = F.when(F.array_contains("items", LABELS[1]), F.lit(LABELS[1])).when(F.array_contains("items", LABELS[0]), F.lit(LABELS[0]))
+    sets = written(sets.withColumn("label", label))
+    rules = sets.where("label is not null and size(items) > 1").select(F.array_remove("items", F.col("label")).alias("items"), F.col("n").alias("right"), (F.col("label") == LABELS[1]).alias("blocks"))
+    found = rules.join(sets.where("label is null").select("items", "n"), "items")
+    found = found.select("items", "blocks", (F.col("right") / F.col("n")).alias("confidence"), (F.col("right") / n).alias("support"), "n")
+    share = F.when(F.col("blocks"), n_bad / n).otherwise(1 - n_bad / n)
+    sure = found.where((F.col("confidence") >= min_confidence) & (lower_end(F.col("confidence"), F.col("n"), errors) > share + 1e-12))
+    rules = [TokenRule(frozenset(r["items"]), r["blocks"], round(r["confidence"], 12), round(r["support"], 12)) for r in sure.collect()]
     return pruned(rules)
 
 
+def lower_end(share: Column, n: Column, errors: float) -> Column:
+    """Lower end of Wilson's interval of a share of n."""
+    z = errors * errors
+    return (share + z / (2 * n) - errors * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
+
+
 def pruned(rules: Sequence[TokenRule]) -> list[TokenRule]:
     """Without the rules that a rule of fewer of their tokens, as sure at least, makes needless."""
     by_tokens: dict[frozenset[str], list[TokenRule]] = {}
@@ -157,7 +176,9 @@ def judge(pages: DataFrame, rules: Sequence[HostRule], mined: Sequence[TokenRule
 
     The list's rule decides; where none fits, the best mined rule; where none
     does either, the page is allowed. A null url, or one without ://, has an
-    empty host and path. Repeated rows are judged alike; no row is shuffled.
+    empty host and path. Very long URLs are read whole. Repeated rows are judged
+    alike; no row is shuffled. An empty table gives an empty one; other columns
+    of pages, whatever their names, have no effect.
     """
     text = pages[url].cast("string")
     rows = pages.select(pages[page_id].alias("page_id"), host_of(text).alias("host"), path_of(text).alias("path"), F.coalesce(tokens_of(text), F.array().cast("array<string>")).alias("tokens"))

@@ -53,15 +53,45 @@ def test_mined_rules_are_those_of_counting_all_token_sets(spark):
         TokenRule(some, bool(bad), round(n[bad] / sum(n), 12), round(n[bad] / len(rows), 12))
         for some, n in every.items()
         for bad in (0, 1)
-        if n[bad] / len(rows) >= 0.1 and n[bad] / sum(n) >= 0.6
+        if n[bad] / len(rows) >= 0.1 and n[bad] / sum(n) >= 0.6 and n[bad] / sum(n) > sum(b == bad for _, b in rows) / len(rows)
     ]
-    got = url_rules.mine(frame, 0.1, 0.6)
+    got = url_rules.mine(frame, 0.1, 0.6, least=1, errors=0.0)
     assert sorted(got, key=lambda r: r.order) == sorted(url_rules.pruned(want), key=lambda r: r.order)
     judged = url_rules.judge(frame.select(F.lit(1).alias("page_id"), "url"), [], got).select("verdict").collect()
     assert [r.verdict for r in judged] == ["block" if bad else "allow" for _, bad in rows]
     assert url_rules.mine(frame.limit(0)) == []
 
 
+def test_rules_by_chance_are_left_out_and_real_ones_found(spark):
+    import random
+
+    r = random.Random(5)
+    urls = [f"http://{r.choice('abcdefgh')}.example.com/{r.choice('stuv')}/{r.choice('xyz')}{i}.html" for i in range(1500)]
+    noise = [(u, int(r.random() < 0.24)) for u in urls]
+    assert not any(rule.blocks for rule in url_rules.mine(spark.createDataFrame(noise, "url string, bad int")))
+    real = [(u, int(r.random() < (0.9 if "//c." in u and "/t/" in u else 0.1))) for u in urls]
+    rules = url_rules.mine(spark.createDataFrame(real[:1000], "url string, bad int"))
+    assert any(rule.blocks and {"first c", "folder t"} <= rule.tokens for rule in rules)
+    held = spark.createDataFrame([(bad, u) for u, bad in real[1000:]], "bad int, url string")
+    blocked = [x.page_id for x in url_rules.judge(held, [], rules, page_id="bad").where("verdict = 'block'").collect()]
+    assert len(blocked) > 5 and sum(blocked) / len(blocked) > 0.7
+
+
+def test_given_labels_block_nothing_or_better_than_the_share_of_bad_pages(spark):
+    folder = "/root/testdata/sf0.1"
+    pages, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("pages", "labels"))
+    rows = url_rules.labelled_urls(pages, labels).withColumn("half", F.crc32("url") % 2).cache()
+    rules = url_rules.mine(rows.where("half = 0"))
+    judged = url_rules.judge(rows.where("half = 1"), [], rules, page_id="bad").where("verdict = 'block' and page_id is not null").collect()
+    share = rows.where("half = 1").select(F.avg("bad")).first()[0]
+    assert not judged or sum(x.page_id for x in judged) / len(judged) > share
+
+
+def test_very_long_url(spark):
+    url = "http://a.example.org/" + "é/" * 100_000
+    assert url_rules.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), HOST_RULES, []).first().path == url[len("http://a.example.org") :]
+
+
 def test_index_finds_what_trying_all_rules_finds():
     import random
 
