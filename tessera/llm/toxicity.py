@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.llm.common import renamed, small_side, written
 from tessera.llm.transducer import Transducer
@@ -223,7 +224,7 @@ def _document_counts(rows: DataFrame) -> DataFrame:
         for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(_terms(text))
-            if len(counts) > 200_000:
+            if len(counts) > 50_000:
                 yield _counted(counts)
                 counts = Counter()
         yield _counted(counts)
@@ -321,11 +322,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     learned = _learned(labelled)
     model = _fitted(learned, written(_measured(labelled, learned, "toxic")))
     schema, n_columns = docs.schema, len(docs.columns)
+    plain = docs.select(docs[text]).schema[0].dataType == StringType()
+    at = docs.columns.index(text) if plain else n_columns  # else the text as a string comes along, as a last column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in _slices(batches):
-            stay = [model.total(scorer.events(x)[0]) < 0 for x in batch.column(n_columns).to_pylist()]
+            stay = [model.total(scorer.events(x)[0]) < 0 for x in batch.column(at).to_pylist()]
             yield batch.select(list(range(n_columns))).filter(pa.array(stay, pa.bool_()))
 
-    return docs.select("*", docs[text].cast("string").alias("text read")).mapInArrow(run, schema)
+    read = docs if plain else docs.select("*", docs[text].cast("string").alias("text read"))
+    return read.mapInArrow(run, schema)

@@ -131,3 +131,5 @@ def test_edge_cases(spark, edge_docs):
     kept = toxicity.drop_toxic(docs.union(docs), labels)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted([i for i, r in rows.items() if not r.predicted] * 2)
+    binary = toxicity.drop_toxic(docs.withColumn("text", F.col("text").cast("binary")), labels)
+    assert binary.schema["text"].dataType.simpleString() == "binary" and binary.count() == len(kept.collect()) / 2
