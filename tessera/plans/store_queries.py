@@ -32,6 +32,24 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ragged_orders(orders: DataFrame, path: str) -> None:
+    """Order lines of four cells, one with a comma in it; some rows have a cell too few, some one too many."""
+    last = F.when(F.col("o_orderkey") % 7 == 0, "").when(F.col("o_orderkey") % 11 == 0, ",end,more").otherwise(",end")
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(","), "o_orderstatus", F.lit(',"'), "o_orderpriority", F.lit(', x"'), last)
+    plain = {"header": True, "sep": "\u0001", "quote": "", "escapeQuotes": False}  # lines as they are, under a header in every file
+    orders.select(line.alias("key,status,note,last")).write.options(**plain).csv(path)
+
+
+@query("""SELECT cells, cells = 4 AS kept, count(*) AS n_rows, count(*) FILTER (WHERE record LIKE ',%') AS no_first, min(CASE WHEN cells <> 4 THEN record END) AS example FROM (
+SELECT CASE WHEN o_orderkey % 7 = 0 THEN 3 WHEN o_orderkey % 11 = 0 THEN 5 ELSE 4 END AS cells,
+CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus || ',"' || o_orderpriority || ', x"' ||
+CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN ',end,more' ELSE ',end' END AS record FROM orders) GROUP BY 1""")
+def csv_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "orders-ragged")
+    ragged_orders(table(spark, sf, "orders"), path)
+    return csv_files.csv_cells(spark, path)
+
+
 def nested_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Customers with their address as a struct and their tags as an array; one region has no name."""
     place = F.struct(F.when(F.col("n_regionkey") != 0, F.col("n_name")).alias("nation"), F.struct(F.col("n_regionkey").alias("code")).alias("region"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.features import feature_matrix
 from tessera.session import scratch_path, shared_folder
-from tessera.sources.csv_files import flatten, read_csv, write_csv
+from tessera.sources.csv_files import csv_cells, flatten, read_csv, write_csv
 from tessera.sources.json_files import read_json, write_json
 from tessera.sources import run_store
 from tessera.sources.run_store import DuplicateRun, RunStore
@@ -129,3 +129,17 @@ def test_csv_files_with_other_headers_are_an_error(spark, tmp_path):
 def test_scratch_is_below_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_folder(spark).rstrip("/") + "/x-")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_account_of_rows_left_out(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    (tmp_path / "a.csv").write_text('id,name\n1,"a, b"\n2\n3,c,d\n4,\n')
+    (tmp_path / "b.csv").write_text('id,name\n5,"x ""y"""\n6,"p,q",r,s\n')
+    account = Observation("rows")
+    rows = read_csv(spark, str(tmp_path), account=account)
+    assert sorted(map(tuple, rows.collect())) == [("1", "a, b"), ("4", ""), ("5", 'x "y"')]
+    assert account.get == {"kept": 3, "left_out": 3, "example": "2"}
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path)).collect())) == sorted(map(tuple, rows.collect()))
+    cells = {(r.cells, r.kept, r.n_rows, r.no_first, r.example) for r in csv_cells(spark, str(tmp_path)).collect()}
+    assert cells == {(2, True, 3, 0, None), (1, False, 1, 0, "2"), (3, False, 1, 0, "3,c,d"), (4, False, 1, 0, '6,"p,q",r,s')}
