@@ -19,9 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -282,6 +279,11 @@ def _fitted(learned: Model, measured: DataFrame) -> Model:
     """The learned words with the logistic function of (events, toxic); more weight never lowers a score."""
     if not learned.words and not learned.stems:
         return learned
+    # imported here, as the tasks load this module too and would each hold some 50 MB more
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Matrices
+
     # one insult says nearly as much as ten: weights count by their logarithm
     features = array_to_vector(F.array(F.log1p(F.get("events", F.lit(0)))))
     rows = measured.select(features.alias("features"), F.col("toxic").cast("double").alias("label"))
