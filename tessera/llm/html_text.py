@@ -3,11 +3,14 @@
 The pages of a host are aligned, tree against tree, with one page of the host
 by simple tree matching; runs of equal siblings count as one repeated node.
 Over all pages of the host, a node whose text stays the same is template, one
-whose text varies is a slot. The main text is the slot of the article, or of
-the element that holds most of what varies; menus, adverts and the like, which
-vary too, are told by their elements and class names and left out, as are
-template nodes whose text in the page is the template's. Pages of one host with
-the same text count once.
+whose text varies is a slot; of a repeated node whose text varies as a whole,
+single elements that most pages have are template too. The main text is the slot
+of the article, or of the element that holds most of what varies. Template whose
+text in the page is the template's is left out, within the article as outside of
+it; but where most of an article would go, its pages are copies of one another
+rather than framed alike, and it stays whole. Menus, adverts and the like, which vary
+too, are told by their elements and class names. Pages of one host with the same
+text count once.
 """
 
 from __future__ import annotations
@@ -139,10 +142,21 @@ def _align(mine: list[int], its: list[int], sizes: dict[tuple[int, int], int]) -
 
 
 @lru_cache(maxsize=2000)
-def _reference(page: str) -> tuple[Shape, list[int]]:
-    """Shape of a host's page and the hash of each node's text."""
+def _reference(page: str) -> tuple[Shape, list[int], dict[int, dict[int, int]]]:
+    """Shape of a host's page, the hash of each node's text, and the elements of repeated nodes: node to {hash of text: number}.
+
+    These are numbered on from the last node; elements of a node with the same text are one, those without text none.
+    """
     shape = Shape(parse(page))
-    return shape, [hash("\n".join(map(text_of, nodes))) for nodes in shape.nodes]
+    hashes, elements, number = [], {}, len(shape.labels)
+    for node, nodes in enumerate(shape.nodes):
+        texts = list(map(text_of, nodes))
+        hashes.append(hash("\n".join(texts)))
+        if len(nodes) > 1:
+            different = dict.fromkeys(hash(text) for text in texts if text)
+            elements[node] = {value: number + i for i, value in enumerate(different)}
+            number += len(different)
+    return shape, hashes, elements
 
 
 class _Keyed:
@@ -166,13 +180,18 @@ def _pairs(keyed: _Keyed, reference: str) -> list[int]:
 
 
 def observed(page: str, reference: str) -> Iterator[tuple[int, bool, int]]:
-    """(node of the reference, same text, characters) for each node that the page is aligned with."""
+    """(node or element of the reference, same text, characters) for each node that the page is aligned with."""
     shape = Shape(parse(page))
-    _, hashes = _reference(reference)
+    _, hashes, elements = _reference(reference)
     for number, other in enumerate(_pairs(_Keyed(shape), reference)):
         if other >= 0:
-            text = "\n".join(map(text_of, shape.nodes[number]))
+            texts = list(map(text_of, shape.nodes[number]))
+            text = "\n".join(texts)
             yield other, hash(text) == hashes[other], len(text)
+            if other in elements:
+                here = set(map(hash, texts))
+                for value, element in elements[other].items():
+                    yield element, value in here, 0
 
 
 def _template(shape: Shape, seen: dict[int, tuple[int, int, int]]) -> set[int]:
@@ -188,9 +207,13 @@ def _template(shape: Shape, seen: dict[int, tuple[int, int, int]]) -> set[int]:
 
 
 def induce(reference: str, seen: dict[int, tuple[int, int, int]]) -> tuple[list[int], int]:
-    """(template nodes, node of the main slot) from {node: (pages, pages with the same text, characters)}."""
-    shape, _ = _reference(reference)
+    """(template nodes and elements, node of the main slot) from {node: (pages, pages with the same text, characters)}."""
+    shape, _, elements = _reference(reference)
     fixed, at = _template(shape, seen), 0
+    for element in (x for some in elements.values() for x in some.values()):
+        pages, same, _ = seen.get(element, (0, 0, 0))
+        if pages >= PAGES and same >= SAME * pages:
+            fixed.add(element)
     while True:  # down from the root, where most of what varies is
         varying = {}
         for child in shape.children[at]:
@@ -232,12 +255,19 @@ def extract(page: str, reference: str | None = None, template: list[int] | None
     root = parse(page)
     pairs: list[int] = []
     same: set[int] = set()  # template nodes that have the template's text in this page
+    alike: set[Node] = set()  # and single elements of repeated nodes that have it
     fixed = set(template or ())
     if reference is not None:
         shape = Shape(root)
         pairs = _pairs(_Keyed(shape), reference)
-        hashes = _reference(reference)[1]
-        same = {i for i, other in enumerate(pairs) if other in fixed and hash("\n".join(map(text_of, shape.nodes[i]))) == hashes[other]}
+        _, hashes, elements = _reference(reference)
+        for i, other in enumerate(pairs):
+            known = {value for value, element in elements.get(other, {}).items() if element in fixed}
+            if other in fixed or known:
+                texts = list(map(text_of, shape.nodes[i]))
+                if other in fixed and hash("\n".join(texts)) == hashes[other]:
+                    same.add(i)
+                alike.update(node for node, text in zip(shape.nodes[i], texts, strict=True) if hash(text) in known)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -247,8 +277,23 @@ def extract(page: str, reference: str | None = None, template: list[int] | None
             blocks.append(text)
         line.clear()
 
+    def template_parts(region: Node) -> set[Node]:
+        """The outermost elements of a region that are template; none if they are most of an article."""
+        parts, going, staying = set(), 0, 0
+        todo: list[Node | str] = [region]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, str):
+                staying += len(item.strip())
+            elif item is not region and (item.number in same or item in alike):
+                parts.add(item)
+                going += len(text_of(item))
+            elif item is region or not aside(item):
+                todo.extend(item.children)
+        return set() if going > staying and region.tag in ("article", "main") else parts
+
     for region in _regions(root, fixed, slot, pairs):
-        inside = region.tag in ("article", "main")
+        gone = template_parts(region)
         todo: list[Node | str | None] = [region]
         while todo:
             item = todo.pop()
@@ -260,7 +305,7 @@ def extract(page: str, reference: str | None = None, template: list[int] | None
                 line.append(" ")
             elif item is not region and aside(item):
                 end()
-            elif not inside and item.number in same:
+            elif item in gone:
                 end()
             else:
                 if item.tag in BLOCK or item is region:

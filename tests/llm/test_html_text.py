@@ -120,3 +120,25 @@ def test_an_element_is_left_out_only_with_the_text_of_the_template():
     seen = {node: (5, 4, 20) for node in range(len(Shape(parse(pages[1])).labels))}
     template, slot = induce(pages[1], seen)
     assert 0 not in template and "other" in extract(pages[0], pages[1], template, slot)
+
+
+def test_what_repeats_within_articles_goes(spark):
+    """A block of its own and a paragraph among others that the host's pages share go, what varies stays, as does an article that is template itself."""
+    page = "<body><nav>n</nav><article><h1>Title {0}</h1><p>The {0}th page has words of its own here.</p><p>Follow us for more.</p><p>Own {0} two.</p><ul><li>Terms</li><li>Shop</li></ul></article></body>"
+    rows = [(i, "http://a.b/", page.format(i)) for i in range(10)]
+    rows.append((10, "http://a.b/", page.format(10).replace("Follow us for more.", "No notice here.")))
+    rows.append((11, "http://a.b/", page.format(11).replace("<li>Shop</li>", "<li>A list of its own</li>")))
+    # two pages are too few to tell
+    rows += [(20 + i, "http://c.d/", page.format(i)) for i in range(2)]
+    # near copies of one article, and one article under different menus
+    near = "<article><h1>Copy {0}</h1><p>Same long paragraph in all of them.</p><div>And another block.</div></article>"
+    rows += [(40 + i, "http://g.h/", near.format(i)) for i in range(5)]
+    rows += [(30 + i, "http://e.f/", f"<body><nav>menu {i}</nav><article><p>Same one.</p><p>Same two.</p></article></body>") for i in range(5)]
+    got = {r.page_id: r.text.split("\n\n") for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i] == [f"Title {i}", f"The {i}th page has words of its own here.", f"Own {i} two."]
+    assert got[10] == ["Title 10", "The 10th page has words of its own here.", "No notice here.", "Own 10 two."]
+    assert got[11] == ["Title 11", "The 11th page has words of its own here.", "Own 11 two.", "A list of its own"]
+    assert all(got[20 + i] == [f"Title {i}", f"The {i}th page has words of its own here.", "Follow us for more.", f"Own {i} two.", "Terms", "Shop"] for i in range(2))
+    assert all(got[40 + i] == [f"Copy {i}", "Same long paragraph in all of them.", "And another block."] for i in range(5))
+    assert all(got[30 + i] == ["Same one.", "Same two."] for i in range(5))
