@@ -4,7 +4,9 @@ Every point needs its distance to every other one, so the work is quadratic in
 the number of distinct points; no row per pair is ever produced. Equal points
 are combined first. The distinct points are spread over blocks by hash, as
 large as a task's memory allows, and each task gets two blocks and returns, per
-point and cluster, one sum of distances. What is computed doesn't depend on the
+point and cluster, one sum of distances. Distances are products of small parts of
+the blocks, and those of close points, where a product loses digits, are computed
+from the differences. What is computed doesn't depend on the
 number of rows: the caller names the measure.
 
 With a `step` every coordinate is snapped to a grid of that width before equal
@@ -18,7 +20,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +30,16 @@ from tessera.functions.sqltext import name_sql, number_sql
 from tessera.operators.clustering import vectorized
 from tessera.session import shared_folder
 
-#: Coordinates of a block in bytes; rows of a block follow from the number of features.
-BLOCK_BYTES = 8 << 20
+#: Coordinates, or sums by cluster, of a block in bytes; rows of a block follow from the number of features and labels.
+BLOCK_BYTES = 32 << 20
+#: Pairs of blocks for each core, and rows of a block that aren't worth another one.
+CELLS, LEAST_ROWS = 12, 2000
+#: Rows of two blocks whose distances are computed at a time, and clusters among them that are added up by a product.
+TILE, FEW = (128, 512), 8
+#: Squared distances below this share of the squared norms are computed from differences.
+NEAR = 1e-6
+#: Clusters whose sums share a row.
+BAND = 32
 
 
 def distinct_points(df: DataFrame, label: str, features: Sequence[str], step: float | None = None) -> DataFrame:
@@ -42,47 +53,117 @@ def distinct_points(df: DataFrame, label: str, features: Sequence[str], step: fl
     return df.groupBy(point.alias("point"), F.col(label).alias("label")).agg(F.count("*").alias("weight"))
 
 
-def _sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Task code: distances between two blocks, summed per point and cluster."""
-    low, high = key
-    a, b = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
-    parts = []
-    if len(a) and len(b):
-        left, right = np.vstack(a["point"].to_numpy()), np.vstack(b["point"].to_numpy())
-        clusters_a, of_a = _members(a)
-        clusters_b, of_b = _members(b)
-        to_a, to_b = np.zeros((len(a), len(clusters_b))), np.zeros((len(b), len(clusters_a)))
-        # a few rows at a time, so that the distances stay in the processor's cache
-        for start in range(0, len(left), 128):
-            part = slice(start, start + 128)
-            squared = np.zeros((len(left[part]), len(right)))
-            for d in range(left.shape[1]):
-                gap = np.subtract.outer(left[part, d], right[:, d])
+class _Rows:
+    """Rows of a block that follow each other by cluster: what their distances to others need, and their sums by cluster."""
+
+    def __init__(self, points: np.ndarray, cluster: np.ndarray, weight: np.ndarray, center: np.ndarray):
+        self.points = points
+        moved = points - center
+        self.norms = np.square(moved).sum(axis=1)
+        ones = np.ones(len(points))
+        # one product of these two gives the squared distances: |a|^2 + |b|^2 - 2ab
+        self.wide = np.column_stack([moved, self.norms, ones])
+        self.tall = np.ascontiguousarray(np.column_stack([-2 * moved, ones, self.norms]).T)
+        self.starts = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
+        self.clusters, self.weight = cluster[self.starts], weight
+        self.table = None
+        if len(self.starts) <= FEW:
+            self.table = np.zeros((len(points), len(self.starts)))
+            self.table[np.arange(len(points)), np.searchsorted(self.starts, np.arange(len(points)), side="right") - 1] = weight
+
+    def sums(self, distances: np.ndarray) -> np.ndarray:
+        """Distances of others to these rows, a column each, added up by cluster."""
+        if self.table is not None:
+            return distances @ self.table
+        return np.add.reduceat(distances * self.weight, self.starts, axis=1)
+
+
+def _distances(a: _Rows, b: _Rows) -> np.ndarray:
+    """All distances between two parts. Close pairs, where the product loses digits, are computed from their differences."""
+    squared = a.wide @ b.tall
+    bound = NEAR * (np.fmax.reduce(a.norms) + np.fmax.reduce(b.norms))
+    if not squared.min() > bound:  # also if something is no number
+        i, j = np.nonzero(~(squared > bound))
+        if 8 * len(i) < squared.size:
+            squared[i, j] = np.square(a.points[i] - b.points[j]).sum(axis=1)
+        else:
+            squared[:] = 0
+            for x, y in zip(a.points.T, b.points.T, strict=True):
+                gap = np.subtract.outer(x, y)
                 gap *= gap
                 squared += gap
-            dist = np.sqrt(squared, out=squared)
-            to_a[part] = dist @ of_b
-            to_b += dist.T @ of_a[part]
-        parts = [(a, clusters_b, to_a)] if low == high else [(a, clusters_b, to_a), (b, clusters_a, to_b)]
-    rows = [
-        pd.DataFrame(
-            {
-                "pid": np.repeat(block["pid"].to_numpy(), len(clusters)),
-                "other": np.tile(clusters, len(block)),
-                "total": sums.ravel(),
-            }
-        )
-        for block, clusters, sums in parts
-    ]
-    return pd.concat(rows) if rows else pd.DataFrame({"pid": [], "other": [], "total": []}).astype({"pid": "int64", "other": "int64"})
-
-
-def _members(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The clusters of a block and each row's weight under its own."""
-    clusters, place = np.unique(block["cluster"].to_numpy(), return_inverse=True)
-    table = np.zeros((len(block), len(clusters)))
-    table[np.arange(len(block)), place] = block["weight"].to_numpy()
-    return clusters, table
+    return np.sqrt(squared, out=squared)
+
+
+def _parts(block: pa.Table, center: np.ndarray, rows: int) -> list[_Rows]:
+    points, cluster, weight = _coordinates(block), block["cluster"].to_numpy(), block["weight"].to_numpy().astype(float)
+    return [_Rows(points[i : i + rows], cluster[i : i + rows], weight[i : i + rows], center) for i in range(0, len(points), rows)]
+
+
+def _coordinates(block: pa.Table) -> np.ndarray:
+    """Points as rows of doubles; a missing coordinate is no number."""
+    flat = block["point"].combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
+
+
+def _sums(width: int):
+    """Task code: distances between two blocks, summed per point and cluster, in rows of so many clusters."""
+
+    def run(key: tuple, cell: pa.Table) -> pa.Table:
+        low, high = (x.as_py() for x in key)
+        cell = cell.sort_by("cluster")
+        a, b = (cell.filter(pc.equal(cell["block"], x)) for x in (low, high))
+        if not (a.num_rows and b.num_rows):
+            return _banded([], width)
+        points = _coordinates(a)
+        finite = points[np.isfinite(points).all(axis=1)]
+        center = finite.mean(axis=0) if len(finite) else np.zeros(points.shape[1])
+        clusters_a, clusters_b = (np.unique(x["cluster"].to_numpy()) for x in (a, b))
+        to_a, to_b = np.zeros((a.num_rows, len(clusters_b))), np.zeros((b.num_rows, len(clusters_a)))
+        # so few rows at a time that the distances stay in the processor's cache
+        with np.errstate(invalid="ignore", over="ignore"):
+            left, right = _parts(a, center, TILE[0]), _parts(b, center, TILE[1])
+            for i, one in enumerate(left):
+                rows, own = slice(i * TILE[0], i * TILE[0] + len(one.points)), _places(clusters_a, one)
+                for j, other in enumerate(right):
+                    distances = _distances(one, other)
+                    to_a[rows, _places(clusters_b, other)] += other.sums(distances)
+                    if low != high:
+                        to_b[j * TILE[1] : j * TILE[1] + len(other.points), own] += one.sums(distances.T)
+        return _banded([(a, clusters_b, to_a)] if low == high else [(a, clusters_b, to_a), (b, clusters_a, to_b)], width)
+
+    return run
+
+
+def _places(clusters: np.ndarray, part: _Rows) -> slice:
+    """Where the part's clusters, which follow each other, are among those of its block."""
+    first = int(np.searchsorted(clusters, part.clusters[0]))
+    return slice(first, first + len(part.clusters))
+
+
+def _banded(sums: list[tuple[pa.Table, np.ndarray, np.ndarray]], width: int) -> pa.Table:
+    """(pid, band, totals): the sums of so many neighbouring clusters in one row, those of a block without a member are 0."""
+    parts = []
+    for block, clusters, totals in sums:
+        bands = (clusters - 1) // width
+        for band in np.unique(bands).tolist():
+            row = np.zeros((block.num_rows, width))
+            row[:, (clusters[bands == band] - 1) % width] = totals[:, bands == band]
+            offsets = pa.array(np.arange(0, row.size + 1, width), pa.int32())
+            columns = [block["pid"].combine_chunks(), pa.array(np.full(len(row), band)), pa.ListArray.from_arrays(offsets, pa.array(row.ravel()))]
+            parts.append(pa.Table.from_arrays(columns, ["pid", "band", "totals"]))
+    kinds = pa.schema({"pid": pa.int64(), "band": pa.int64(), "totals": pa.list_(pa.float64())})
+    return pa.concat_tables([x.cast(kinds) for x in parts]) if parts else kinds.empty_table()
+
+
+def block_count(rows: int, features: int, labels: int, parallel: int) -> int:
+    """Blocks that fill a task's memory with coordinates, or with sums by cluster, and make several pairs of blocks for each core.
+
+    Pairs of blocks are dealt by hash, so that some tasks get more of them than others.
+    """
+    coordinates = BLOCK_BYTES // (8 * (features + 4))
+    most = max(1, BLOCK_BYTES // (8 * (features + 4 + labels)), min(coordinates, math.isqrt(BLOCK_BYTES // 8)))
+    return max(1, math.ceil(rows / most), min(math.ceil(math.sqrt(2 * CELLS * parallel)), math.ceil(rows / LEAST_ROWS)))
 
 
 def silhouette_points(
@@ -91,6 +172,8 @@ def silhouette_points(
     """cluster, weight, score: the silhouette of every distinct point. Clusters are numbered in the labels' order."""
     spark = df.sparkSession
     shared_folder(spark)
+    # a task has one core: threads of its products would only wait for those of the other tasks
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     points = distinct_points(df, label, features, step)
     # ids must survive a lost executor, so they are written before use
     points = points.withColumn("pid", F.monotonically_increasing_id()).checkpoint()
@@ -100,21 +183,23 @@ def silhouette_points(
     # one row per label
     sizes = points.groupBy("label").agg(F.sum("weight").alias("n"))
     sizes = sizes.select("label", "n", F.row_number().over(Window.orderBy("label")).cast("long").alias("cluster"))
-    most = block_rows or max(1, BLOCK_BYTES // (8 * len(features)))
+    labels = sizes.count()
     parallel = spark.sparkContext.defaultParallelism
-    # blocks fill a task's memory, but there are at least as many pairs of blocks as cores
-    blocks = max(math.ceil(count / most), min(math.ceil(math.sqrt(2 * parallel)), math.ceil(count / 500)))
+    blocks = math.ceil(count / block_rows) if block_rows else block_count(count, len(features), labels, parallel)
     spread = points.join(sizes, points["label"].eqNullSafe(sizes["label"])).select(
         "pid", "point", "weight", "cluster", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("block")
     )
     # every unordered pair of blocks is one cell; each block goes to all cells it is part of
+    width = min(BAND, labels)
     cells = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", "pid", "point", "cluster", "weight",
     )
     tasks = max(parallel, min(blocks * (blocks + 1) // 2, parallel * blocks))
-    sums = cells.repartition(tasks, "low", "high").groupBy("low", "high").applyInPandas(_sums, "pid LONG, other LONG, total DOUBLE")
-    sums = sums.groupBy("pid", "other").agg(F.sum("total").alias("total"))
+    sums = cells.repartition(tasks, "low", "high").groupBy("low", "high").applyInArrow(_sums(width), "pid LONG, band LONG, totals ARRAY<DOUBLE>")
+    added = F.array(*[F.sum(F.get("totals", F.lit(i))) for i in range(width)])
+    sums = sums.groupBy("pid", "band").agg(added.alias("totals")).select("pid", "band", F.posexplode("totals").alias("place", "total"))
+    sums = sums.select("pid", (F.col("band") * width + F.col("place") + 1).alias("other"), "total")
     whole = sums.join(sizes.select(F.col("cluster").alias("other"), "n"), "other").join(spread.select("pid", "cluster", "weight"), "pid")
     own = F.col("other") == F.col("cluster")
     measured = whole.groupBy("pid", "cluster", "weight").agg(
