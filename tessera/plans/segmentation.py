@@ -82,7 +82,8 @@ def segment(
     labels = components.transform(labelled, [row_id, "prediction"])
     stats = quality.cluster_stats(labelled, "prediction", features, given, k)
     if measure in ("exact", "grid"):
-        measures = silhouette(labelled, "prediction", features, step)
+        # written once: whoever reads two columns of the metrics would have it computed twice
+        measures = silhouette(labelled, "prediction", features, step).checkpoint()
     else:
         value = silhouette_squared(labelled, "prediction", features) if measure else None
         measures = labelled.agg(F.lit(value).cast("double").alias("silhouette"), F.count("*").alias("points"))

@@ -129,6 +129,45 @@ def test_silhouette_on_a_grid_is_that_of_the_snapped_points(spark):
     assert got["points"] == 50 and got[0] == pytest.approx(brute_silhouette(snapped, labels))
 
 
+@pytest.mark.parametrize("block_rows", [None, 30])
+def test_silhouette_of_close_points_far_away_and_of_many_labels(spark, block_rows):
+    rng = np.random.default_rng(9)
+    # next to each other at a million, where a product of coordinates has lost all digits, and one point far off
+    data = np.vstack([1e6 + rng.normal(0, 1e-5, (70, 3)), [[-1e6, 0, 0]]])
+    labels = np.arange(71) % 40
+    got = silhouette.silhouette_points(points(spark, data, labels), "label", ["f0", "f1", "f2"], block_rows=block_rows)
+    assert got.agg({"score": "avg"}).first()[0] == pytest.approx(brute_silhouette(data, labels), abs=1e-9)
+
+
+def test_silhouette_tiles_equal_plain_distances_whatever_the_values():
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(128, 5)), rng.normal(size=(300, 5))
+    a[3], b[7, 1], b[9, 2] = b[4], np.nan, np.inf
+    one, other = (silhouette._Rows(x, np.sort(np.arange(len(x)) % n), np.ones(len(x)), a.mean(axis=0)) for x, n in ((a, 3), (b, 60)))
+    with np.errstate(invalid="ignore"):
+        got, want = silhouette._distances(one, other), np.sqrt(np.square(a[:, None] - b[None]).sum(axis=2))
+    assert got[3, 4] == 0
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+    np.testing.assert_allclose(other.sums(got)[:, :1], want[:, :5].sum(axis=1, keepdims=True), rtol=1e-9)
+    np.testing.assert_allclose(one.sums(got.T)[0], [want[:43, 0].sum(), want[43:86, 0].sum(), want[86:, 0].sum()], rtol=1e-9)
+
+
+def test_silhouette_blocks_are_many_for_the_cores_and_bounded_in_memory():
+    assert silhouette.block_count(80, 3, 2, 12) == 1
+    for rows, features, labels in ((900_000, 4, 5), (600_000, 64, 10), (100_000, 8, 50_000)):
+        blocks = silhouette.block_count(rows, features, labels, 12)
+        own = rows / blocks
+        assert blocks * (blocks + 1) / 2 >= 12 * 12
+        assert 8 * own * features <= silhouette.BLOCK_BYTES and 8 * own * min(labels, own) <= silhouette.BLOCK_BYTES
+
+
+def test_segment_computes_its_silhouette_once(spark):
+    metrics = segment(customers(spark), "id", FEATURES).metrics
+    plan = metrics._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "InPandas" not in plan
+    assert spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] == "1"
+
+
 def test_silhouette_of_singletons_and_of_one_cluster(spark):
     data = np.array([[0.0], [4.0]])
     assert silhouette.silhouette(points(spark, data, np.array([0, 1])), "label", ["f0"]).first()[0] == 1.0
