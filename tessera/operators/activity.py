@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -111,11 +112,27 @@ def bought_lines(lines: DataFrame, orders: DataFrame, names: LineColumns = GIVEN
     return lines.join(buyers, F.col(names.line_order) == F.col(names.order))
 
 
+#: Lines of a task that groups them by customer and part: nearly all pairs differ, and its hash tables take some 200 MB.
+TASK_LINES = 500_000
+
+
+def dealt_lines(lines: DataFrame, orders: DataFrame, names: LineColumns = GIVEN, keep: Sequence[str] = ()) -> DataFrame:
+    """Customer, part and the kept columns of bought lines, dealt by customer and part to tasks of a bounded size.
+
+    Customers seldom buy a part twice, so combining lines before the shuffle would only
+    fill tables with them; and merged to fewer tasks, as adaptive execution does, a
+    task's table would grow with the input.
+    """
+    bought = bought_lines(lines, orders, names).select(names.customer, names.line_part, *keep)
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, math.ceil(lines.count() / TASK_LINES))
+    return bought.repartition(tasks, names.customer, names.line_part)
+
+
 def line_rollup(lines: DataFrame, orders: DataFrame, snapshot: str, names: LineColumns = GIVEN) -> DataFrame:
     """One row per customer and part: lines, returned lines, returned in the last 12 months."""
     returned = F.col(names.flag) == names.returned
     return (
-        bought_lines(lines, orders, names)
+        dealt_lines(lines, orders, names, [names.flag, names.shipped])
         .groupBy(names.customer, names.line_part)
         .agg(
             F.count("*").alias("lines"),
@@ -144,8 +161,7 @@ def returns_and_breadth(rollup: DataFrame, parts: DataFrame, names: LineColumns
 def product_breadth(lines: DataFrame, orders: DataFrame, parts: DataFrame, names: LineColumns = GIVEN) -> DataFrame:
     """Distinct categories and brands per customer."""
     bought = (
-        bought_lines(lines, orders, names)
-        .select(names.customer, names.line_part)
+        dealt_lines(lines, orders, names)
         .distinct()
         .join(parts.select(names.part, names.category, names.brand), F.col(names.line_part) == F.col(names.part))
     )

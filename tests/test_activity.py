@@ -189,6 +189,19 @@ def test_scalars(spark):
     assert float(one(spark, scalars.price_from_margin(lit(10.01), lit(0.35)))[0]) == 13.51
 
 
+def test_lines_are_grouped_by_tasks_of_a_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(activity, "TASK_LINES", 10)
+    lines = spark.range(300).selectExpr("id % 40 AS l_orderkey", "id % 60 AS l_partkey", "'R' AS l_returnflag", "DATE '2024-01-05' AS l_shipdate")
+    orders = spark.range(40).selectExpr("id AS o_orderkey", "IF(id % 7 = 0, NULL, id % 7) AS o_custkey")
+    parts = spark.range(50).selectExpr("id AS p_partkey", "concat('t', id % 9) AS p_type", "concat('b', id % 4) AS p_brand")
+    assert activity.dealt_lines(lines, orders).rdd.getNumPartitions() == 30
+    rows = [(r.o_custkey, r.l_partkey) for r in activity.bought_lines(lines, orders).collect()]
+    rollup = {(r.o_custkey, r.l_partkey): r.lines for r in activity.line_rollup(lines, orders, "2024-02-01").collect()}
+    assert rollup == {pair: rows.count(pair) for pair in set(rows)}
+    want = {c: (len({p % 9 for x, p in rows if x == c and p < 50}), len({p % 4 for x, p in rows if x == c and p < 50})) for c, p in rows if p < 50}
+    assert {r[0]: tuple(r[1:]) for r in activity.product_breadth(lines, orders, parts).collect()} == want
+
+
 def test_own_column_names_and_event_kinds(spark):
     lines = spark.createDataFrame([(1, 7, "back", "2024-01-05"), (1, 8, "ok", "2024-01-05"), (2, 7, "ok", "2022-01-05")], "ord INT, item INT, state STRING, sent STRING")
     orders = spark.createDataFrame([(1, "ann"), (2, "ann")], "id INT, buyer STRING")
