@@ -1,9 +1,10 @@
 """Near copies by the share of word shingles two texts have in common, for the pipeline.
 
 Texts are near copies if the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more. A SimHash of 64 bits can't tell: pairs at 0.8 differ in
-4 to 14 bits. So MinHash bands propose pairs, and each pair is verified over
-the shingles themselves. A pair at exactly 0.8 shares none of the `BANDS`
+shingles is 0.8 or more. Pairs are proposed in two ways and verified over the
+shingles themselves: by ball hashing of the sets' SimHash fingerprints, as in
+`simhash`, and, as pairs at 0.8 differ in 4 to 14 of 64 bits, by MinHash bands as
+well. A pair at exactly 0.8 shares none of the `BANDS`
 bands once in 13,000 times, a closer one less often. Texts with equal sets are
 one class from the start.
 
@@ -87,15 +88,16 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, cid, size, keys, sketch): each text's class, its number of shingles, its bands and its sketch."""
+    """(doc_id, cid, size, bits, keys, sketch): each text's class, its number of shingles, its fingerprint, bands and sketch."""
     for batch in batches:
         made = []
         for text in batch.column(1):
             hashes = shingles(text.as_py())
-            made.append((class_of(hashes), len(hashes), bands(hashes), sketch(hashes)))
-        cid, size, keys, sketches = zip(*made, strict=True) if made else ((), (), (), ())
-        columns = [batch.column(0), pa.array(cid, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cid", "size", "keys", "sketch"])
+            made.append((class_of(hashes), len(hashes), simhash.majority(hashes), bands(hashes), sketch(hashes)))
+        cid, size, bits, keys, sketches = zip(*made, strict=True) if made else ((), (), (), (), ())
+        signed = pa.array(np.array(bits, np.uint64).view(np.int64))
+        columns = [batch.column(0), pa.array(cid, pa.binary()), pa.array(size, pa.int64()), signed, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "cid", "size", "bits", "keys", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,13 +249,25 @@ def _cells(rooted: DataFrame, block: int) -> DataFrame:
     return inside.union(minor.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns))
 
 
+def _ball_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): classes of linked fingerprints, the least class of each, and each class with the least one of its fingerprint."""
+    first = written(classes.groupBy("bits").agg(F.min("cid").alias("first")))
+    ends = [first.select(F.col("bits").alias(x), F.col("first").alias(f"first_{x}")) for x in ("a", "b")]
+    linked = simhash.links(first).join(ends[0], "a").join(ends[1], "b").select("first_a", "first_b")
+    equal = classes.select("bits", "cid").join(first, "bits").where("cid <> first").select("cid", "first")
+    both = linked.union(equal).toDF("a", "b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _roots(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(cid, root) of all classes that are connected over classes that share a band and are similar enough."""
+    """(cid, root) of all classes that are connected over classes that are linked by ball hashing or share a band and are similar enough."""
+    ball = written_alone(_ball_pairs(classes))
     placed = classes.select("cid", "least", F.explode("keys").alias("key"))
     counts = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
     shared = written_alone(placed.join(counts, "key").select("key", "cid", "least", blocks))
-    involved = shared.select("cid", "least").distinct()
+    met = ball.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    involved = shared.select("cid", "least").union(classes.join(met, "cid", "left_semi").select("cid", "least")).distinct()
     named = docs.join(involved.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
     texts = named.union(docs.where("doc_id is null")).mapInArrow(_sets, "cid binary, shingles array<long>")
     sets = texts.join(involved.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.any_value("shingles").alias("shingles"))
@@ -262,7 +276,7 @@ def _roots(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame
     own_block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block")
     none = F.lit(None).cast("array<binary>").alias("failed")
     proposed = _propose(shared.select("key", own_block, "cid", F.col("cid").alias("root"), none), classes)
-    found = written_alone(_verified(proposed.select("a", "b").distinct(), sets))
+    found = written_alone(_verified(proposed.select("a", "b").union(ball).distinct(), sets))
     roots = written(components(found).withColumnRenamed("node", "cid"))
     failed = written(proposed.join(found, ["a", "b"], "left_anti").select("key", "a", "b"))
     again, most = written(failed.select("key").union(shared.where("blocks > 1").select("key")).distinct()), CLOSEST
@@ -294,8 +308,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own = renamed(docs, doc_id=doc_id, text=docs[text].cast("binary"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    rows = written(own.mapInArrow(_classed, f"doc_id {kind}, cid binary, size long, keys array<long>, sketch binary"))
-    same = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    rows = written(own.mapInArrow(_classed, f"doc_id {kind}, cid binary, size long, bits long, keys array<long>, sketch binary"))
+    same = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("size", "bits", "keys", "sketch")))
     classes = written_alone(same)
     rooted = _rooted(classes.select("cid", "least"), _roots(own, classes, block))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

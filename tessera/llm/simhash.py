@@ -55,6 +55,11 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
         first, last = (ends - sizes)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], "<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     set_bits = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 16):  # bounds the memory of very long texts
         some = hashes[part : part + (1 << 16)]

@@ -46,6 +46,21 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, edge_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_ball_hashing_alone_finds_the_near_copies_of_close_fingerprints(spark, edge_docs):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[:n] + ["other"] * 3) for n in (400, 399, 398)] + ["no copy " + " ".join(f"v{i}" for i in range(400))]
+    docs = edge_docs(texts)
+    own = docs.select("doc_id", docs["text"].cast("binary").alias("text"))
+    rows = own.mapInArrow(near_copies._classed, "doc_id long, cid binary, size long, bits long, keys array<long>, sketch binary")
+    # no two classes share a band
+    classes = rows.select(F.col("doc_id").alias("least"), "cid", "size", "bits", F.array("doc_id").alias("keys"), "sketch").localCheckpoint()
+    bits = {r.least: r.bits for r in classes.collect()}
+    near = {(a, b) for a in bits for b in bits if a < b and ((bits[a] ^ bits[b]) & ((1 << 64) - 1)).bit_count() <= 4}
+    assert {(0, 1), (1, 2)} <= near and all(b != 3 for _, b in near)
+    roots = classes.join(near_copies._roots(own, classes), "cid").select("least", "root").collect()
+    assert {r.least for r in roots} == {0, 1, 2} and len({r.root for r in roots}) == 1
+
+
 def test_chains_are_followed_past_the_first_of_a_bucket(spark, edge_docs):
     """Each text is near the next only: what isn't near a bucket's first class is compared with the others."""
     words = [f"w{i}" for i in range(700)]
