@@ -130,11 +130,19 @@ def _sums(width: int):
                     to_a[rows, _places(clusters_b, other)] += other.sums(distances)
                     if low != high:
                         to_b[j * TILE[1] : j * TILE[1] + len(other.points), own] += one.sums(distances.T)
+        _without_numbers(to_a), _without_numbers(to_b)
         return _banded([(a, clusters_b, to_a)] if low == high else [(a, clusters_b, to_a), (b, clusters_a, to_b)], width)
 
     return run
 
 
+def _without_numbers(sums: np.ndarray) -> None:
+    """A point with a distance that is no number has no sums in the cell; an infinite distance only leaves its own cluster's."""
+    infinite = np.isinf(sums)
+    bad = ~np.isfinite(sums).all(axis=1)
+    sums[bad] = np.where(infinite[bad] & (infinite[bad].sum(axis=1, keepdims=True) == 1), sums[bad], np.nan)
+
+
 def _places(clusters: np.ndarray, part: _Rows) -> slice:
     """Where the part's clusters, which follow each other, are among those of its block."""
     first = int(np.searchsorted(clusters, part.clusters[0]))
@@ -142,15 +150,15 @@ def _places(clusters: np.ndarray, part: _Rows) -> slice:
 
 
 def _banded(sums: list[tuple[pa.Table, np.ndarray, np.ndarray]], width: int) -> pa.Table:
-    """(pid, band, totals): the sums of so many neighbouring clusters in one row, those of a block without a member are 0."""
+    """(pid, band, totals): the sums of so many neighbouring clusters in one row; null without a member in the block, or if it is no number."""
     parts = []
     for block, clusters, totals in sums:
         bands = (clusters - 1) // width
         for band in np.unique(bands).tolist():
-            row = np.zeros((block.num_rows, width))
+            row = np.full((block.num_rows, width), np.nan)
             row[:, (clusters[bands == band] - 1) % width] = totals[:, bands == band]
             offsets = pa.array(np.arange(0, row.size + 1, width), pa.int32())
-            columns = [block["pid"].combine_chunks(), pa.array(np.full(len(row), band)), pa.ListArray.from_arrays(offsets, pa.array(row.ravel()))]
+            columns = [block["pid"].combine_chunks(), pa.array(np.full(len(row), band)), pa.ListArray.from_arrays(offsets, pa.array(row.ravel(), from_pandas=True))]
             parts.append(pa.Table.from_arrays(columns, ["pid", "band", "totals"]))
     kinds = pa.schema({"pid": pa.int64(), "band": pa.int64(), "totals": pa.list_(pa.float64())})
     return pa.concat_tables([x.cast(kinds) for x in parts]) if parts else kinds.empty_table()

@@ -152,6 +152,11 @@ def test_silhouette_tiles_equal_plain_distances_whatever_the_values():
     np.testing.assert_allclose(one.sums(got.T)[0], [want[:43, 0].sum(), want[43:86, 0].sum(), want[86:, 0].sum()], rtol=1e-9)
 
 
+def test_silhouette_of_points_without_numbers_is_0(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0), (0, 1.5, 2.0), (1, 9.0, 9.0), (1, None, 9.0), (2, 5.0, 5.0)], "label INT, f0 DOUBLE, f1 DOUBLE")
+    assert tuple(silhouette.silhouette(df, "label", ["f0", "f1"]).first()) == (0.0, 5)
+
+
 def test_silhouette_blocks_are_many_for_the_cores_and_bounded_in_memory():
     assert silhouette.block_count(80, 3, 2, 12) == 1
     for rows, features, labels in ((900_000, 4, 5), (600_000, 64, 10), (100_000, 8, 50_000)):
