@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import renamed, written
-from tessera.llm.word_ids import encoder
+from tessera.llm.word_ids import WordIds, encoder
 from tessera.llm.words import chunks
 
 #: Tokens of a sequence; the id that ends a document.
 CAPACITY, END = 2048, 1
+#: Bytes of text that are encoded at a time.
+CHUNK = 1 << 20
 
 
 def fill_windows(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
@@ -79,31 +81,40 @@ def _closest(left: dict[int, int], room: int) -> dict[int, int]:
     return chosen
 
 
+def _cut(batches: Iterator[pa.RecordBatch], known: WordIds, task: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces of one task's (doc_id, text); the words it has met are forgotten with it."""
+    yield from _coded(batches, known, task, capacity, with_ids)
+    known.forget()
+
+
+def _coded(batches: Iterator[pa.RecordBatch], known: WordIds, task: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(capacity + 1, np.int64)
+    for batch in batches:
+        for some in chunks(batch, 1, CHUNK):
+            rows = []
+            ids, ends = known.encode(some.column(1))
+            ids = np.insert(ids, ends[1:], END).astype("<u4")  # the ending id after each text
+            ends = ends + np.arange(len(ends))
+            for row, (first, last) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                for start in range(first, last, capacity):
+                    data = ids[start : min(start + capacity, last)]
+                    length = len(data)
+                    rows.append((row, start - first, length, zlib.crc32(data), last - first, seen[length], data.tobytes() if with_ids else None))
+                    seen[length] += 1
+            if not rows:
+                continue
+            row, start, length, crc, total, number, data = zip(*rows, strict=True)
+            columns = [some.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+            columns += [pa.array([task] * len(row), pa.int32()), pa.array(number, pa.int64()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_task", "_number", "ids"])
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Documents cut into whole windows and a rest: one row per piece, numbered among equal lengths of its task."""
     own = renamed(docs, doc_id=doc_id, text=docs[text].cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for some in chunks(batch, 1):
-                rows = []
-                ids, ends = encode(some.column(1))
-                ids = np.insert(ids, ends[1:], END).astype("<u4")  # the ending id after each text
-                ends = ends + np.arange(len(ends))
-                for row, (first, last) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                    for start in range(first, last, capacity):
-                        data = ids[start : min(start + capacity, last)]
-                        length = len(data)
-                        rows.append((row, start - first, length, zlib.crc32(data), last - first, seen[length], data.tobytes() if with_ids else None))
-                        seen[length] += 1
-                if not rows:
-                    continue
-                row, start, length, crc, total, number, data = zip(*rows, strict=True)
-                columns = [some.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-                columns += [pa.array([task] * len(row), pa.int32()), pa.array(number, pa.int64()), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_task", "_number", "ids"])
+        yield from _cut(batches, encoder(tokenizer), TaskContext.get().partitionId(), capacity, with_ids)
 
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(

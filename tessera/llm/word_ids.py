@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm.words import split
 
-#: Words remembered by a Python worker before it forgets all.
+#: Words remembered by a task before it forgets all.
 REMEMBERED = 500_000
 
 
@@ -56,6 +56,11 @@ class WordIds:
         ids = of_words[np.repeat(begins[words.codes] - (after - length), length) + np.arange(int(length.sum()))]
         return ids, np.r_[0, after][words.ends]
 
+    def forget(self) -> None:
+        """Lets the words go, and what Arrow holds without using it: an idle worker keeps the tokenizer only."""
+        self.ids = {}
+        pa.default_memory_pool().release_unused()
+
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -130,7 +135,7 @@ _encoders: dict[str, WordIds] = {}
 
 
 def encoder(path: str) -> WordIds:
-    """The worker's encoder for a vocabulary file, kept between tasks."""
+    """The worker's encoder for a vocabulary file, kept between tasks; `forget` is to end each of them."""
     if path not in _encoders:
         _encoders[path] = WordIds(path)
     return _encoders[path]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
-from tessera.llm.word_ids import WordIds
+from tessera.llm.word_ids import WordIds, encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,6 +43,22 @@ def test_marks_in_a_text_are_one_id(tokenizer):
     assert 49407 in want[0] and want[1].count(49407) == 3 and 49406 in want[0]
 
 
+def test_a_worker_forgets_a_tasks_words_but_not_the_tokenizer(tokenizer):
+    texts = [" ".join(f"wörd{i}" for i in range(3000)), None, "one more"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    known = WordIds(PATH)
+    for task in range(2):
+        made = packing._cut(iter([batch, batch]), known, task, 64, False)
+        first = next(made)
+        assert known.ids  # met in this task
+        rows = [first, *made]
+        assert known.ids == {}
+        want = [len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1 for text in texts]
+        lengths = pa.Table.from_batches(rows).group_by("doc_id").aggregate([("length", "sum")]).sort_by("doc_id")
+        assert lengths["length_sum"].to_pylist() == [2 * n for n in want]
+    assert encoder(PATH) is encoder(PATH)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_plan_uses_each_piece_once(counts):
