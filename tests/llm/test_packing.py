@@ -1,4 +1,5 @@
 import random
+import string
 import zlib
 
 import numpy as np
@@ -43,6 +44,24 @@ def test_marks_in_a_text_are_one_id(tokenizer):
     assert 49407 in want[0] and want[1].count(49407) == 3 and 49406 in want[0]
 
 
+def test_letters_are_encoded_once_whatever_case_and_signs(tokenizer):
+    texts = ["Été! été, ÉTÉ... tea### TEA$$$ Tea", "tea, (tea) ΤΕΑ. tea's !? ÿ×", None]
+    known = WordIds(PATH)
+    ids, ends = known.encode(pa.array(texts))
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert set(known.ids) == {"été", "tea", "ÿ×", "!", ",", "...", "###", "$$$", "", "(tea)", "ΤΕΑ", ".", "ΤΕΑ.", "tea's", "!?"}
+
+
+def test_every_letter_and_sign_up_to_two_bytes(tokenizer):
+    letters = [chr(i) for i in range(0x21, 0x800) if i not in range(0x7F, 0xA1)]
+    texts = [f"{x} a{x} {x}a a{x}b a{x}! {x}. {x}'" for x in letters]
+    texts += ["!" + x + y for x in string.punctuation for y in "aÀ1"] + ["Àb" + x + y for x in string.punctuation for y in string.punctuation]
+    ids, ends = WordIds(PATH).encode(pa.array(texts))
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_a_worker_forgets_a_tasks_words_but_not_the_tokenizer(tokenizer):
     texts = [" ".join(f"wörd{i}" for i in range(3000)), None, "one more"]
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
