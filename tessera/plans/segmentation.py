@@ -54,9 +54,10 @@ def segment(
     The restarts share one written and cached copy of the scaled rows and move in
     the same scans, until their labels settle or for so many rounds. They start
     from rows drawn by seed, or from the centres that `starts` makes of the
-    scaled rows (row id and features). measure names the silhouette: "exact", which
-    takes work quadratic in the distinct points, "grid" with a step, "squared",
-    which is linear, or None. It is the same at any number of rows.
+    scaled rows (row id and features). measure names the silhouette: "exact", whose
+    work is quadratic in the distinct points, but for many points of few features,
+    "grid" with a step, "squared", which is linear, or None. It is the same at any
+    number of rows.
     """
     features = list(features)
     if len(features) < 2:
