@@ -8,7 +8,8 @@ largest weight / -ln(u) wins the race. A step is one aggregate over all seeds.
 A round labels every row once per start and moves the centres of all starts in one
 scan. A start is frozen when its labels are those of the round before; the fit
 ends when all are. Distances are NumPy over Arrow batches: centres change with each
-round, and as generated code they would be compiled anew each time. A task adds
+round, and as generated code they would be compiled anew each time. The rows are packed
+once, SLICE rows in one, column by column, and kept for all rounds. A task adds
 up its rows by start and centre, these sums are added by start and centre, and
 the driver gets one row for each.
 """
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,16 +77,30 @@ def _doubles(features: Sequence[str]) -> list[Column]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """The first columns as rows of doubles, and the others."""
+    """The first columns as rows of one array of doubles, and the others."""
     for whole in batches:
         for start in range(0, whole.num_rows, SLICE):
             columns = [c.to_numpy(zero_copy_only=False) for c in whole.slice(start, SLICE).columns]
-            yield np.stack(columns[:width], axis=1), columns[width:]
-
-
-def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distance of every row from every centre."""
-    return np.stack([np.square(x - c).sum(axis=1) for c in centers], axis=1)
+            yield np.stack(columns[:width]), columns[width:]
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's squared distance from the nearest centre, and a line for each centre with 1 where it is that one, the first of equally near ones."""
+    squares = np.empty((len(centers), x.shape[1]))
+    gap = np.empty(x.shape[1])
+    for total, center in zip(squares, centers, strict=True):
+        np.subtract(x[0], center[0], out=total)
+        total *= total
+        for column, value in zip(x[1:], center[1:], strict=True):
+            np.subtract(column, value, out=gap)
+            np.multiply(gap, gap, out=gap)
+            total += gap
+    best = squares.min(axis=0)
+    chosen = squares == best
+    if np.count_nonzero(chosen) != x.shape[1]:  # equally near ones, or something is no number
+        label = squares.argmin(axis=0)
+        best, chosen = np.take_along_axis(squares, label[None], axis=0)[0], np.arange(len(centers))[:, None] == label
+    return best, chosen
 
 
 def _race(chosen: list[np.ndarray], width: int):
@@ -94,9 +110,9 @@ def _race(chosen: list[np.ndarray], width: int):
         best: dict[int, tuple[float, float, list[float]]] = {}
         for x, numbers in _slices(batches, width):
             for seed, (centers, u) in enumerate(zip(chosen, numbers, strict=True)):
-                race = (_squares(x, centers).min(axis=1) if len(centers) else 1.0) / -np.log(u)
+                race = (_nearest(x, centers)[0] if len(centers) else 1.0) / -np.log(u)
                 for i in np.flatnonzero(race == race.max()).tolist():
-                    racer = float(race[i]), float(u[i]), x[i].tolist()
+                    racer = float(race[i]), float(u[i]), x[:, i].tolist()
                     best[seed] = max(best.get(seed, racer), racer)
         seeds, races = list(best), list(zip(*best.values(), strict=True)) or [(), (), ()]
         kinds = (pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
@@ -114,14 +130,29 @@ def fit_all(
     centers = [[(int(i), [float(v) for v in c]) for i, c in start] for start in starts]
     fits: dict[int, Fit] = {}
     signatures: dict[int, tuple] = {}
+    # parts of the hash that add up without loss as doubles: a slice has less than 2^29 rows
+    drop = F.xxhash64(F.col(name_sql(row_id)))
+    parts = [F.shiftrightunsigned(drop, 24 * i).bitwiseAND(F.lit(0xFFFFFF)).cast("double").alias(f"h{i}") for i in range(3)]
+    packed = points.select(*_doubles(features), *parts).mapInArrow(_packed(len(features) + 3), "columns binary")
+    # a Python task costs a tenth of a second, each round
+    packed = packed.coalesce(2 * points.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _rounds(packed, len(features), centers, fits, signatures, rounds)
+    finally:
+        packed.unpersist()
+    return [fits.get(s) or Fit(s, centers[s], float("nan"), 0, False) for s in range(len(starts))]
+
+
+def _rounds(packed: DataFrame, width: int, centers: list[list], fits: dict[int, Fit], signatures: dict[int, tuple], rounds: int) -> None:
+    """Moves the centres until all starts have a fit."""
     for number in range(1, rounds + 1):
-        moving = [s for s in range(len(starts)) if s not in fits]
+        moving = [s for s in range(len(centers)) if s not in fits]
         if not moving:
             break
-        found = _round(points, row_id, features, {s: centers[s] for s in moving})
+        found = _round(packed, width, {s: centers[s] for s in moving})
         for s in moving:
             rows = found.get(s, {})
-            signature = tuple(sorted((i, r["size"], r["mixed"], r["added"]) for i, r in rows.items()))
+            signature = tuple(sorted((i, r["size"], *r["hashes"]) for i, r in rows.items()))
             settled = signatures.get(s) == signature
             signatures[s] = signature
             inertia = float(sum(r["squared"] for r in rows.values()))
@@ -129,7 +160,6 @@ def fit_all(
                 centers[s] = [(i, list(rows[i]["center"]) if i in rows else c) for i, c in centers[s]]
             if settled or number == rounds:
                 fits[s] = Fit(s, centers[s], inertia, number, settled)
-    return [fits.get(s) or Fit(s, centers[s], float("nan"), 0, False) for s in range(len(starts))]
 
 
 def best_of(fits: Sequence[Fit]) -> Fit:
@@ -143,14 +173,22 @@ def _checked(count: int) -> None:
         raise ValueError(f"more than {MAX_CENTERS} centres in all starts")
 
 
-def _round(points: DataFrame, row_id: str, features: Sequence[str], moving: dict[int, Centers]) -> dict[int, dict[int, dict]]:
+def _packed(width: int):
+    """Task code: SLICE rows in one, their doubles column by column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _slices(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["columns"])
+
+    return run
+
+
+def _round(packed: DataFrame, width: int, moving: dict[int, Centers]) -> dict[int, dict[int, dict]]:
     """{start: {centre: size, sums of hashes that tell the labels, inertia, mean of its rows}} by one scan."""
-    width = len(features)
-    rows = points.select(*_doubles(features), F.xxhash64(F.col(name_sql(row_id))).alias("drop"))
-    schema = "start int, id int, size long, mixed long, added long, squared double, sums array<double>"
-    sums = F.expr(f"array({', '.join(f'sum(sums[{i}])' for i in range(width))})").alias("sums")
-    added = rows.mapInArrow(_labelled(moving, width), schema).groupBy("start", "id")
-    added = added.agg(F.sum("size").alias("size"), F.bit_xor("mixed").alias("mixed"), F.sum("added").alias("added"), F.sum("squared").alias("squared"), sums)
+    schema = "start int, id int, size long, hashes array<long>, squared double, sums array<double>"
+    hashes, sums = (F.expr(f"array({', '.join(f'sum({name}[{i}])' for i in range(n))})").alias(name) for name, n in (("hashes", 3), ("sums", width)))
+    added = packed.mapInArrow(_labelled(moving, width), schema).groupBy("start", "id")
+    added = added.agg(F.sum("size").alias("size"), hashes, F.sum("squared").alias("squared"), sums)
     found: dict[int, dict[int, dict]] = {}
     for row in added.collect():
         center = [total / row["size"] for total in row["sums"]]
@@ -164,13 +202,15 @@ def _labelled(moving: dict[int, Centers], width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {s: _Totals(len(centers), width) for s, centers in sorted_centers.items()}
-        for x, (drop,) in _slices(batches, width):
-            for s, centers in sorted_centers.items():
-                totals[s].add(x, drop, _squares(x, np.array([c for _, c in centers])))
+        places = {s: np.array([c for _, c in centers]) for s, centers in sorted_centers.items()}
+        for columns in (value.as_py() for batch in batches for value in batch.column(0)):
+            x = np.frombuffer(columns).reshape(width + 3, -1)
+            for s, centers in places.items():
+                totals[s].add(x, *_nearest(x[:width], centers))
         rows = [(s, centers[i][0], *totals[s].row(i)) for s, centers in sorted_centers.items() for i in np.flatnonzero(totals[s].size).tolist()]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
-        columns = [pa.array(v, kind) for v, kind in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(columns, ["start", "id", "size", "mixed", "added", "squared", "sums"])
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.float64()))
+        columns = [pa.array(v, kind) for v, kind in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["start", "id", "size", "hashes", "squared", "sums"])
 
     return run
 
@@ -179,18 +219,19 @@ class _Totals:
     """Sums over the rows of each centre."""
 
     def __init__(self, centers: int, width: int):
-        self.size, self.mixed, self.added = (np.zeros(centers, np.int64) for _ in range(3))
+        self.size, self.hashes = np.zeros(centers, np.int64), np.zeros((centers, 3), np.int64)
         self.squared, self.sums = np.zeros(centers), np.zeros((centers, width))
 
-    def add(self, x: np.ndarray, drop: np.ndarray, squares: np.ndarray) -> None:
-        label = squares.argmin(axis=1)
-        order = np.argsort(label, kind="stable")
-        used, starts = np.unique(label[order], return_index=True)
-        self.size[used] += np.diff(np.r_[starts, len(order)])
-        self.mixed[used] ^= np.bitwise_xor.reduceat(drop[order], starts)
-        self.added[used] += np.add.reduceat((drop & 0xFFFFFF)[order], starts)
-        self.squared[used] += np.add.reduceat(squares[order, label[order]], starts)
-        self.sums[used] += np.add.reduceat(x[order], starts, axis=0)
+    def add(self, x: np.ndarray, squared: np.ndarray, chosen: np.ndarray) -> None:
+        """Rows given column by column, the parts of their hashes last, with their squared distances and centres."""
+        self.size += np.count_nonzero(chosen, axis=1)
+        if np.isfinite(squared).all():
+            added = chosen.astype(float) @ np.vstack([x, squared]).T
+        else:  # a product with 0 would spread what is no number to all centres
+            added = np.stack([np.where(c, [*x, squared], 0.0).sum(axis=1) for c in chosen])
+        self.sums += added[:, :-4]
+        self.hashes += added[:, -4:-1].astype(np.int64)
+        self.squared += added[:, -1]
 
     def row(self, i: int) -> tuple:
-        return int(self.size[i]), int(self.mixed[i]), int(self.added[i]), float(self.squared[i]), self.sums[i].tolist()
+        return int(self.size[i]), self.hashes[i].tolist(), float(self.squared[i]), self.sums[i].tolist()

@@ -127,3 +127,35 @@ def test_rows_of_one_id_are_told_apart_by_their_labels(spark):
 def test_too_many_centers_are_refused(spark):
     with pytest.raises(ValueError, match="more than"):
         restarts.draw_starts(frame(spark, DATA), "id", FEATURES, 300, range(5))
+
+
+@pytest.mark.parametrize("bad", [np.nan, np.inf])
+def test_rows_without_numbers_only_change_their_own_centre(bad):
+    x, hashes = rng.normal(size=(3, 500)), rng.integers(0, 1 << 24, (3, 500)).astype(float)
+    x[1, 7] = bad
+    centers = np.array([[0.0, 0, 0], [1, 1, 1], [1, 1, 1], [-1, 0, 1]])
+    with np.errstate(invalid="ignore"):
+        squared, chosen = restarts._nearest(x, centers)
+        totals = restarts._Totals(4, 3)
+        totals.add(np.vstack([x, hashes]), squared, chosen)
+        label = np.square(x[None] - centers[:, :, None]).sum(axis=1).argmin(axis=0)
+    assert (chosen.argmax(axis=0) == label).all() and (chosen.sum(axis=0) == 1).all() and label[7] == 0
+    for i in range(4):
+        rows = label == i
+        assert totals.size[i] == rows.sum() and (totals.hashes[i] == hashes[:, rows].sum(axis=1)).all()
+        np.testing.assert_allclose(totals.sums[i], x[:, rows].sum(axis=1))
+    assert np.isfinite(totals.squared[1:]).all() and totals.size[2] == 0
+
+
+def test_rounds_run_in_few_tasks_over_packed_rows(spark):
+    """However many parts the points have, a round has no more tasks than keep the cores busy."""
+    start = list(enumerate(drawn(DATA, 4, 3).tolist()))
+    points, context = frame(spark, DATA, 40).checkpoint(), spark.sparkContext
+    context.setJobGroup("few tasks", "few tasks")
+    try:
+        restarts.fit_all(points, "id", FEATURES, [start], 3)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [context.statusTracker().getJobInfo(j).stageIds for j in context.statusTracker().getJobIdsForGroup("few tasks")]
+    tasks = [i.numTasks for s in stages for i in map(context.statusTracker().getStageInfo, s) if i]
+    assert tasks and max(tasks) <= 2 * context.defaultParallelism
