@@ -11,8 +11,7 @@ number of rows: the caller names the measure.
 
 MANY points of few features and clusters are dealt by place, not by hash, and their sums
 come from cells of neighbouring points (`cells`), which takes work that grows little
-faster than the points. Distances are off by less than 1e-6 of themselves by that, sums in
-tests by less than 1e-8 of themselves.
+faster than the points. Sums are those of all pairs but for a share of less than 1e-8, as measured.
 
 With a `step` every coordinate is snapped to a grid of that width before equal
 points are combined, which is another measure: all rows still count, and no
