@@ -7,10 +7,12 @@ the series of the distance is below d * (r / d) ** (DEGREE + 1) / 30, or 1e-9 of
 nodes' polynomials could magnify that at each end (39 times in two, 133 in three, 657 in
 four dimensions), which is no useful bound; measured between cells as close as allowed, no
 distance is off by more than 6e-11, 2e-10 and 7e-10 of itself. Tests hold sums to 1e-8.
-So weighted nodes stand in for a cell's points, at both ends of the distances, and every point counts with its own place.
-Close cells are halved on, and at last their distances are computed point by point; so
-are all, if the points are few or fill so many dimensions that nodes aren't fewer. The
-nodes lie along a cell's principal axes; the shorter an axis, the fewer it needs.
+
+So weighted nodes stand in for a cell's points, at both ends of the distances, and every
+point counts with its own place. Close cells are halved on, and at last their distances
+are computed point by point; so are all, if the points are few or fill so many dimensions
+that nodes aren't fewer. The nodes lie along a cell's principal axes; the shorter an axis,
+the fewer it needs.
 """
 
 from __future__ import annotations
